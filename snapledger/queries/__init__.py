@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from snapledger.queries import history, scalars  # noqa: F401
+from snapledger.queries import admission, history, reads, scalars  # noqa: F401
 from snapledger.queries.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
