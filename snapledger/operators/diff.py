@@ -209,10 +209,14 @@ def diff_lifecycle(prev: DataFrame, curr: DataFrame, identity: Sequence[str]) ->
 
 
 def price_history_changes(
-    history: DataFrame, identity: Sequence[str], order: Sequence[str], segment: Column
+    history: DataFrame, identity: Sequence[str], order: Sequence[str], segment: Column | None = None
 ) -> DataFrame:
-    """Change events of every consecutive pair in an append-only price history."""
+    """Change events of every consecutive pair in an append-only price history.
+
+    See :func:`last_before` for ``segment``. Only the compared columns travel through the shuffles.
+    """
     names = [*PRICE_FIELDS.values(), *PRICE_TEXT_FIELDS.values(), "snapshot_id"]
+    history = history.select(*dict.fromkeys([*identity, *order, *names, "observed_at"]))
     paired = last_before(history, identity, order, segment, F.struct(*names), "before")
     both = paired.filter(F.col("before").isNotNull())
     events = price_field_events(lambda n: F.col("before")[n], lambda n: F.col(n))

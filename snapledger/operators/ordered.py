@@ -32,7 +32,7 @@ def last_before(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     value: Column,
     out: str,
     where: Column | None = None,
@@ -40,11 +40,16 @@ def last_before(
 ) -> DataFrame:
     """For every row, ``value`` of the nearest earlier row of its key that satisfies ``where``.
 
-    A plain window would sort a whole key in one task. Here a key is cut into time segments: the window
-    runs inside (key, segment), one edge row per segment is carried forward across segments, and the two
-    are combined. ``segment`` must grow with ``order``. ``reverse`` looks at later rows instead.
+    A plain window would sort a whole key in one task. Here a key is cut into segments: the window runs
+    inside (key, segment), one edge row per segment is carried forward across segments, and the two are
+    combined. ``segment`` must grow with ``order``, such as a day of the time column; it bounds a task by
+    what one key receives in that span. Without one, rows are range-partitioned over key and order and
+    written to the checkpoint folder once, so every segment is one evenly sized range whatever the keys
+    look like. ``reverse`` looks at later rows instead.
     """
     keys, order = list(keys), list(order)
+    if segment is None:
+        df, segment = _range_segments(df, [*keys, *order]), F.col("_range")
     boxed = F.struct(value.alias("v"))  # boxed, so a null value still counts as a row
     rows = df.withColumn("_seg", segment).withColumn("_val", boxed if where is None else F.when(where, boxed))
 
@@ -67,7 +72,15 @@ def last_before(
     )
     joined = rows.withColumn("_in", nearest).join(carry, [*keys, "_seg"], "left")
     found = F.coalesce("_in", "_carry")["v"]
-    return joined.withColumn(out, found).drop("_seg", "_val", "_in", "_carry")
+    return joined.withColumn(out, found).drop("_seg", "_val", "_in", "_carry", "_range")
+
+
+def _range_segments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with the number of the range they fall into, fixed on disk so every reader sees the same one."""
+    ensure_checkpoint_dir(df.sparkSession)
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(count, *columns).withColumn("_range", F.spark_partition_id())
+    return placed.checkpoint()
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", partitions: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snapledger.operators import contracts, gate
-from snapledger.queries.history import KEY, month, sql_stamp, stamp
+from snapledger.queries.history import KEY, sql_stamp, stamp
 from snapledger.queries.registry import query
 from snapledger.queries.scalars import sql_fixed
 from snapledger.queries.sqlviews import cte
@@ -160,7 +160,7 @@ LIMITS = {"min_viable": 1, "min_expected": 2, "max_drop": 0.4, "max_spike": 3.0,
 
 def manifest(spark, folder):
     """Every run is announced, also one without records; failed runs carry the collector's error."""
-    runs = gate.baselines(views.runs(spark, folder), F.date_trunc("year", F.col("started_at")))
+    runs = gate.baselines(views.runs(spark, folder), F.to_date("started_at"))
     limits = {name: F.lit(value) for name, value in LIMITS.items()}
     return runs.select(
         F.col("run_id").alias("batch_id"), "source_id", "started_at",
@@ -369,7 +369,7 @@ def d19_illegal_transitions(spark, folder):
     status = F.col("status")
     state = F.when(status == "succeeded", "healthy").when(status == "partial", "degraded").when(status == "failed", "quarantined").otherwise("healing")
     history = views.run_headers(spark, folder).select("run_id", "source_id", F.col("started_at").alias("at"), state.alias("state"))
-    rows = gate.illegal_transitions(history, F.date_trunc("year", F.col("at")))
+    rows = gate.illegal_transitions(history, F.to_date("at"))
     return rows.select("run_id", "source_id", "before", "state")
 
 
@@ -503,5 +503,5 @@ def a10_skip_replayed(spark, folder):
     f" case when status = 'running' and nxt is not null then '{sinks.ABANDONED}' else error_message end as error_message from n",
 )
 def a11_close_abandoned(spark, folder):
-    rows = sinks.close_abandoned(views.run_headers(spark, folder), F.date_trunc("year", F.col("started_at")))
+    rows = sinks.close_abandoned(views.run_headers(spark, folder), F.to_date("started_at"))
     return rows.select("run_id", "status", stamp("completed_at"), "error_message")

@@ -34,10 +34,6 @@ def sql_day(column: str, name: str | None = None) -> str:
     return f"strftime({column}, '%Y-%m-%d') as {name or column}"
 
 
-def month(column: str) -> Column:
-    return F.date_trunc("month", F.col(column))
-
-
 def _latest_sql(source: str, where: str = "true", partition: str = "entity_id, mode, tier", newest: str = NEWEST_SQL) -> str:
     return (
         f"select * exclude (rn) from (select *, row_number() over (partition by {partition} order by {newest}) as rn"
@@ -472,7 +468,7 @@ from paired, lateral (values ('inputPricePer1MTokens', 'num', p_input, input, nu
 where p_id is not null and (f.o is distinct from f.n or f.ot is distinct from f.nt)""",
 )
 def f9_price_history_changes(spark, folder):
-    rows = diff.price_history_changes(views.price_obs(spark, folder), KEY, ORDER, month("observed_at"))
+    rows = diff.price_history_changes(views.price_obs(spark, folder), KEY, ORDER)
     return rows.select(
         *KEY, stamp("observed_at"), "prev_snapshot_id", "curr_snapshot_id", "field_name", "change_type", "old_num", "new_num"
     )

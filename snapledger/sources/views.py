@@ -16,9 +16,9 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def price_obs(spark: SparkSession, folder: str) -> DataFrame:
-    """Price observations: one row per (run, entity, mode, tier) quote."""
-    lines = load(spark, folder, "lineitem")
+def price_obs(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    """Price observations: one row per (run, entity, mode, tier) quote. ``lines`` may be one micro-batch."""
+    lines = load(spark, folder, "lineitem") if lines is None else lines
     parts = load(spark, folder, "part").select("p_partkey", "p_brand", "p_name")
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     line = F.col("l_linenumber")
@@ -49,9 +49,9 @@ PRICE_IDENTITY = ["entity_id", "mode", "tier"]
 PRICE_ORDER = ["observed_at", "run_id", "line_no", "supplier_id", "input"]
 
 
-def run_headers(spark: SparkSession, folder: str) -> DataFrame:
+def run_headers(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
     """Collection runs without their record counts."""
-    orders = load(spark, folder, "orders")
+    orders = load(spark, folder, "orders") if orders is None else orders
     status = (
         F.when(F.col("o_orderstatus") == "F", "succeeded")
         .when(F.col("o_orderstatus") == "P", "partial")
@@ -195,9 +195,9 @@ def capabilities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def changes(spark: SparkSession, folder: str) -> DataFrame:
+def changes(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """Stored change events before classification."""
-    events = load(spark, folder, "events").withColumn("k", _k())
+    events = (load(spark, folder, "events") if events is None else events).withColumn("k", _k())
     kind, k = F.col("event_type"), F.col("k")
     change_type = (
         F.when(kind == "purchase", "price_decreased").when(kind == "error", "price_increased")
@@ -243,9 +243,9 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_prices(spark: SparkSession, folder: str) -> DataFrame:
+def raw_prices(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Raw price records in batches, with the faults an untrusted collector produces."""
-    lines = load(spark, folder, "lineitem")
+    lines = load(spark, folder, "lineitem") if lines is None else lines
     parts = load(spark, folder, "part").select("p_partkey", "p_brand", "p_name", "p_size")
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     line, size = F.col("l_linenumber"), F.col("p_size")
