@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,6 +15,7 @@ NON_TEXTUAL = (
     r"[\x{200B}-\x{200F}\x{2028}\x{2029}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{206A}-\x{206F}"
     r"\x{E000}-\x{F8FF}\x{FEFF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 )
+HTTP_URL = r"(?i)^https?://([^\s/?#@]*@)?[^\s/?#@:]+(:\d*)?([/?#][\s\S]*)?\z"
 _EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 REDACTED = "[redacted]"
@@ -86,9 +88,9 @@ def key_from_ascii(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-@F.pandas_udf(StringType())
-def _compatibility_form(values: pd.Series) -> pd.Series:
-    return values.str.normalize("NFKC")
+@F.arrow_udf(StringType())
+def _compatibility_form(values: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(values, form="NFKC")
 
 
 def identity_key(name: Column) -> Column:
@@ -123,10 +125,8 @@ def canonical_key(provider: Column, api_id: Column, entity_id: Column) -> Column
 
 
 def is_http_url(url: Column) -> Column:
-    """True only for a parseable http or https URL with a host."""
-    protocol = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    host = F.try_parse_url(url, F.lit("HOST"))
-    return F.coalesce(protocol.isin("http", "https") & host.isNotNull(), F.lit(False))
+    """True only for an http or https URL with a host."""
+    return F.coalesce(url.rlike(HTTP_URL), F.lit(False))
 
 
 def last_path_segment(url: Column) -> Column:

@@ -183,20 +183,24 @@ def to_fixed(value: Column, digits: int) -> Column:
 
     ``round`` works on the shortest decimal text, so 1.65 would become 1.7 although the double is below
     1.65. The scaled product is split into its rounded value and its rounding error; the error decides an
-    apparent tie.
+    apparent tie. The steps run over one-element arrays, so that each operand is evaluated once instead of
+    being repeated in the expression tree.
     """
     scale = float(10 ** digits)
-    size = F.abs(value)
-    split = size * 134217729.0
-    high = split - (split - size)
-    low = size - high
-    product = size * scale
-    error = (high * scale - product) + low * scale
-    whole = F.floor(product).cast("double")
-    rest = product - whole
-    up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
-    rounded = F.when(up, whole + 1).otherwise(whole) / scale
-    return F.when(value < 0, -rounded).otherwise(rounded)
+
+    def parts(size: Column) -> Column:
+        split = size * 134217729.0
+        return F.struct(size.alias("size"), (split - (split - size)).alias("high"), (size * scale).alias("product"))
+
+    def rounded(p: Column) -> Column:
+        error = (p["high"] * scale - p["product"]) + (p["size"] - p["high"]) * scale
+        whole = F.floor(p["product"])
+        rest = p["product"] - whole
+        up = (rest > 0.5) | ((rest == 0.5) & (error >= 0))
+        return (whole + F.when(up, 1).otherwise(0)) / scale
+
+    size = F.get(F.transform(F.transform(F.array(F.abs(value)), parts), rounded), F.lit(0))
+    return F.signum(value) * size
 
 
 def price_delta(old: Column, new: Column) -> tuple[Column, Column]:

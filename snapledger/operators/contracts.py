@@ -6,7 +6,7 @@ the valid records), the identity key and the batch limits. Users extend it with
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +65,15 @@ class Contract:
     invariants: Sequence[Invariant] = ()
     limits: Limits = field(default_factory=Limits)
     authoritative: bool = False
+    # Shorter conditions that together say the same as all checks, for deciding without explaining.
+    quick: Sequence[Column] = ()
+
+
+def _any(conditions: Iterable[Column]) -> Column:
+    result = F.lit(False)
+    for condition in conditions:
+        result = result | condition
+    return result
 
 
 def _true(condition: Column) -> Column:
@@ -72,13 +81,13 @@ def _true(condition: Column) -> Column:
 
 
 def missing(*columns: str) -> Check:
-    return Check(f"missing {'/'.join(columns)}", F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda n: n))
+    return Check(f"missing {'/'.join(columns)}", _any(F.col(c).isNull() for c in columns))
 
 
 def bad_shape(column: str, shape: str, limit: int, code: str = SCHEMA) -> Check:
-    value = F.col(column)
-    broken = ~value.rlike(shape) | ~F.char_length(value).between(1, limit)
-    return Check(f"invalid {column}", _true(broken), code)
+    """Shape and length in one pattern, so a record costs one match per field."""
+    bounded = rf"^(?=[\s\S]{{1,{limit}}}\z)" + shape.removeprefix("^")
+    return Check(f"invalid {column}", _true(~F.col(column).rlike(bounded)), code)
 
 
 def not_trimmed(column: str) -> Check:
@@ -95,6 +104,12 @@ def bad_price(column: str) -> Check:
     return Check(f"invalid {column}", _true(broken))
 
 
+def any_bad_price(columns: Sequence[str]) -> Column:
+    """The price checks of several columns at once: NaN sorts above infinity, and NULLs are skipped."""
+    prices = [F.col(c) for c in columns]
+    return _true((F.least(*prices) < 0) | (F.greatest(*prices) >= float("inf")))
+
+
 def no_price(columns: Sequence[str]) -> Check:
     return Check("no price", F.coalesce(*[F.col(c) for c in columns]).isNull())
 
@@ -158,11 +173,12 @@ def price_contract(provider: str | None = None, limits: Limits | None = None) ->
         bad_shape("context_tier", SLUG_SHAPE, 50, ENUM),
         bad_shape("pricing_unit", r"[\s\S]", 100),
         bad_url("source_url"),
-        *[bad_price(c) for c in PRICES],
         no_price(PRICES),
     ]
     if provider is not None:
         checks.append(differs("provider", provider))
+    quick = [*[c.broken for c in checks], any_bad_price(PRICES)]
+    checks += [bad_price(c) for c in PRICES]
     none_priced = F.coalesce(*[F.col(c) for c in PRICES]).isNull()
     any_negative = F.least(*[F.coalesce(F.col(c), F.lit(0.0)) for c in PRICES]) < 0
     return Contract(
@@ -171,7 +187,7 @@ def price_contract(provider: str | None = None, limits: Limits | None = None) ->
             Invariant(NULL_PRICES, "all prices null", PRICES, lambda valid: F.bool_and(valid(none_priced))),
             Invariant(SEMANTIC, "negative price", PRICES, lambda valid: F.bool_or(valid(any_negative))),
         ),
-        limits or Limits(1, 2, 0.4, 3.0, 0.15),
+        limits or Limits(1, 2, 0.4, 3.0, 0.15), quick=tuple(quick),
     )
 
 
@@ -300,14 +316,31 @@ def issues(contract: Contract) -> Column:
     return F.filter(F.array(*found), lambda i: i.isNotNull())
 
 
+def issue_rows(records: DataFrame, contract: Contract, keys: Sequence[str]) -> DataFrame:
+    """One row per (record, broken check), found in one pass over the records."""
+    found = [F.when(c.broken, F.struct(F.lit(c.code).alias("code"), F.lit(c.message).alias("message"))) for c in contract.checks]
+    rows = records.select(*keys, F.explode(F.array(*found)).alias("i")).filter(F.col("i").isNotNull())
+    return rows.select(*keys, "i.code", "i.message")
+
+
 def validate(records: DataFrame, contract: Contract) -> DataFrame:
-    return records.withColumn("issues", issues(contract)).withColumn("schema_ok", F.size("issues") == 0)
+    """Adds ``schema_ok``, ``enum_fault`` and the full list of ``issues``.
+
+    The two flags are plain conditions that stop at the first broken check. The list costs more and is
+    pruned from every plan that only asks for the flags.
+    """
+    flags = F.struct(
+        (~_any(contract.quick or [c.broken for c in contract.checks])).alias("schema_ok"),
+        _any(c.broken for c in contract.checks if c.code == ENUM).alias("enum_fault"),
+    )
+    # Generated, so that a filter on a flag reads it instead of repeating every check.
+    return records.select("*", F.inline(F.array(flags))).withColumn("issues", issues(contract))
 
 
 def first_valid(validated: DataFrame, contract: Contract, batch: str = "batch_id", position: str = "position") -> DataFrame:
     """The valid records: of several with one identity in a batch, the first by position."""
     keys = [batch, *contract.key]
-    rest = [c for c in validated.columns if c not in keys]
+    rest = [c for c in validated.columns if c not in (*keys, "schema_ok", "enum_fault", "issues")]
     return (
         validated.filter("schema_ok").groupBy(*keys)
         .agg(F.min_by(F.struct(*rest), position).alias("_row")).select(*keys, "_row.*")

@@ -43,9 +43,6 @@ LIFECYCLE_FIELDS = {
     "recommendedReplacement": "replacement",
 }
 
-_EVENT = "struct<change_type:string,field_name:string,old_num:double,new_num:double,old_text:string,new_text:string>"
-
-
 def _event(change_type, field=None, old_num=None, new_num=None, old_text=None, new_text=None) -> Column:
     def col(value, kind):
         return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
@@ -70,8 +67,8 @@ def price_direction(old: Column, new: Column) -> Column:
     )
 
 
-def price_field_events(old, new, text_fields: Mapping[str, str] = PRICE_TEXT_FIELDS) -> Column:
-    """Array of the change events between two observations of one identity.
+def price_field_events(old, new, text_fields: Mapping[str, str] = PRICE_TEXT_FIELDS) -> list[Column]:
+    """The possible change events between two observations of one identity; NULL where a field did not move.
 
     ``old`` and ``new`` map a column name to the Column holding it on that side.
     """
@@ -82,7 +79,18 @@ def price_field_events(old, new, text_fields: Mapping[str, str] = PRICE_TEXT_FIE
     for field, name in text_fields.items():
         moved = ~old(name).eqNullSafe(new(name))
         events.append(F.when(moved, _event("metadata_changed", field, old_text=old(name), new_text=new(name))))
-    return F.filter(F.array(*events), lambda e: e.isNotNull())
+    return events
+
+
+def unpivot(rows: DataFrame, keep: Sequence, events: Sequence[Column]) -> DataFrame:
+    """One row per non-null event, with the event's fields as columns.
+
+    The array is built in place and its NULLs are dropped after the explode, which keeps the whole step
+    inside generated code.
+    """
+    exploded = rows.select(*keep, F.explode(F.array(*events)).alias("e")).filter(F.col("e").isNotNull())
+    names = [c for c in exploded.columns if c != "e"]
+    return exploded.select(*names, "e.*")
 
 
 def pair_states(prev: DataFrame, curr: DataFrame, identity: Sequence[str], how: str = "full_outer") -> DataFrame:
@@ -116,17 +124,12 @@ def diff_prices(
     pairs = pair_states(prev, curr, identity)
     has_prev, has_curr = F.col("p").isNotNull(), F.col("c").isNotNull()
     moved = price_field_events(lambda n: F.col("p")[n], lambda n: F.col("c")[n], texts)
-    added = F.array(_event("model_added", new_text=F.col("c")["snapshot_id"]))
-    removed = F.array(_event("model_removed", old_text=F.col("p")["snapshot_id"]))
-    events = (
-        F.when(has_prev & has_curr, moved).when(has_curr, added).otherwise(removed).cast(f"array<{_EVENT}>")
-    )
-    exploded = pairs.select(
-        *identity,
-        F.col("p")["snapshot_id"].alias("prev_snapshot_id"),
-        F.col("c")["snapshot_id"].alias("curr_snapshot_id"),
-        F.explode(events).alias("e"),
-    ).select(*identity, "prev_snapshot_id", "curr_snapshot_id", "e.*")
+    both = has_prev & has_curr
+    events = [F.when(both, event) for event in moved]
+    events.append(F.when(~has_prev, _event("model_added", new_text=F.col("c")["snapshot_id"])))
+    events.append(F.when(~has_curr, _event("model_removed", old_text=F.col("p")["snapshot_id"])))
+    ids = [F.col("p")["snapshot_id"].alias("prev_snapshot_id"), F.col("c")["snapshot_id"].alias("curr_snapshot_id")]
+    exploded = unpivot(pairs, [*identity, *ids], events)
 
     presence = pairs.groupBy(*entity).agg(
         F.bool_or(has_prev).alias("_any_prev"),
@@ -184,9 +187,7 @@ def _diff_fields(prev, curr, identity, fields: Mapping[str, str], asserted=None)
             _as_json(new, kinds[name]).alias("new_value"),
         )
         events.append(F.when(moved, value))
-    return pairs.select(
-        *identity, F.explode(F.filter(F.array(*events), lambda e: e.isNotNull())).alias("e")
-    ).select(*identity, "e.*")
+    return unpivot(pairs, identity, events)
 
 
 def diff_capabilities(prev: DataFrame, curr: DataFrame, identity: Sequence[str]) -> DataFrame:
@@ -220,13 +221,8 @@ def price_history_changes(
     paired = last_before(history, identity, order, segment, F.struct(*names), "before")
     both = paired.filter(F.col("before").isNotNull())
     events = price_field_events(lambda n: F.col("before")[n], lambda n: F.col(n))
-    return both.select(
-        *identity,
-        "observed_at",
-        F.col("before")["snapshot_id"].alias("prev_snapshot_id"),
-        F.col("snapshot_id").alias("curr_snapshot_id"),
-        F.explode(events).alias("e"),
-    ).select(*identity, "observed_at", "prev_snapshot_id", "curr_snapshot_id", "e.*")
+    ids = [F.col("before")["snapshot_id"].alias("prev_snapshot_id"), F.col("snapshot_id").alias("curr_snapshot_id")]
+    return unpivot(both, [*identity, "observed_at", *ids], events)
 
 
 def identity_violations(df: DataFrame, identity: Sequence[str]) -> DataFrame:

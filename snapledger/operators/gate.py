@@ -41,7 +41,7 @@ def batch_evidence(validated: DataFrame, contract: Contract, batch: str = "batch
     first = F.min_by(F.struct(*[F.col(c) for c in inputs] or [F.lit(0).alias("_none")]), F.when(ok, F.col(position)))
     per_identity = validated.groupBy(batch, ok.alias("_ok"), *identity).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.bool_or(F.exists("issues", lambda i: i["code"] == ENUM)).alias("_enum"),
+        F.bool_or("enum_fault").alias("_enum"),
         first.alias("_first"),
     )
     flat = per_identity.select(batch, "_ok", "_n", "_enum", *[F.col("_first")[c].alias(c) for c in inputs])

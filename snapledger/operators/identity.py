@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions import text
+from snapledger.session import ensure_checkpoint_dir
+
+
+def _fixed(rows: DataFrame) -> DataFrame:
+    """Rows several later steps read, computed once and kept on shared storage."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def _keyed(rows: DataFrame, name: str) -> DataFrame:
@@ -25,10 +32,10 @@ def resolve_identities(incoming: DataFrame, entities: DataFrame, aliases: DataFr
     verdict, ``create`` turns it into new, ``fail`` fails the job.
     """
     ids = _keyed(incoming.select("provider", "api_id").distinct(), "api_id")
-    known = _keyed(entities.select("provider", "entity_id", "name"), "name")
+    known = _fixed(_keyed(entities.select("provider", "entity_id", "name"), "name"))
     alias_keys = (
         _keyed(aliases.select("provider", "alias", "entity_id", "last_seen_at"), "alias")
-        .join(entities.select("provider", "entity_id"), ["provider", "entity_id"], "left_semi")
+        .join(known.select("provider", "entity_id"), ["provider", "entity_id"], "left_semi")
         .groupBy("provider", "exact_key")
         .agg(F.max_by("entity_id", F.struct("last_seen_at", "entity_id")).alias("alias_entity"))
     )
@@ -38,6 +45,7 @@ def resolve_identities(incoming: DataFrame, entities: DataFrame, aliases: DataFr
     settled_entity = F.coalesce("alias_entity", F.when(F.col("exact_n") == 1, F.col("exact_entity")))
     staged = staged.withColumn("settled", settled_entity).withColumn(
         "how", F.when(F.col("alias_entity").isNotNull(), "alias").when(F.col("settled").isNotNull(), "exact"))
+    staged = _fixed(staged.select("provider", "api_id", "exact_key", "family_key", "settled", "how"))
 
     used = staged.filter(F.col("settled").isNotNull()).select("provider", F.col("settled").alias("entity_id")).distinct()
     free = known.join(used, ["provider", "entity_id"], "left_anti")

@@ -23,17 +23,22 @@ def build_evidence(changes: DataFrame) -> DataFrame:
     """Stored change events as classified, scored and summarised evidence."""
     raw, field = F.col("change_type"), F.col("field_name")
     absolute, percent = price_delta(F.col("old_num"), F.col("new_num"))
-    priced = (F.col("category") == "pricing") & field.isNotNull()
-    slug = text.provider_slug(F.col("provider"))
-    staged = (
-        changes.withColumns({"provider": slug, "kind": labels.published_type(raw, field), "category": labels.category(raw, field)})
-        .withColumns({
-            "provider_name": labels.lookup(F.col("provider"), PROVIDER_NAMES, F.col("provider")),
-            "absolute_change": F.when(priced, absolute),
-            "percent_change": F.when(priced, percent),
-            "authority": labels.authority(F.col("category")),
-        })
+    group = labels.category(raw, field)
+    priced = (group == "pricing") & field.isNotNull()
+    derived = F.struct(
+        labels.published_type(raw, field).alias("kind"),
+        group.alias("category"),
+        F.when(priced, absolute).alias("absolute_change"),
+        F.when(priced, percent).alias("percent_change"),
     )
+    # Derived once per row: a filter on a generated column is not rewritten in terms of its inputs, so the
+    # many uses below read a value. Filters on stored columns still pass through to the scan.
+    slugged = changes.withColumn("provider", text.provider_slug(F.col("provider")))
+    staged = slugged.select("*", F.inline(F.array(derived)))
+    staged = staged.withColumns({
+        "provider_name": labels.lookup(F.col("provider"), PROVIDER_NAMES, F.col("provider")),
+        "authority": labels.authority(F.col("category")),
+    })
     kind, delta = F.col("kind"), F.col("percent_change")
     return staged.withColumns({
         "significance": labels.significance(kind, F.col("category"), delta, F.col("model_name")).cast("int"),

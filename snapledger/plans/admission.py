@@ -136,7 +136,7 @@ def change_rows(events: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def quarantine_rows(validated: DataFrame, decided: DataFrame) -> DataFrame:
-    raw = F.to_json(F.struct(*[c for c in validated.columns if c not in ("issues", "schema_ok")]))
+    raw = F.to_json(F.struct(*[c for c in validated.columns if c not in ("issues", "schema_ok", "enum_fault")]))
     held = validated.withColumn("raw", raw).join(
         decided.filter("refused").select("batch_id", "source_id"), "batch_id")
     return held.select(

@@ -9,6 +9,7 @@ from snapledger.queries.history import KEY, sql_stamp, stamp
 from snapledger.queries.registry import query
 from snapledger.queries.scalars import sql_fixed
 from snapledger.queries.sqlviews import cte
+from snapledger.session import ensure_checkpoint_dir
 from snapledger.sources import sinks, tables, views
 
 # Each price check in SQL: (message, code, condition).
@@ -133,14 +134,14 @@ def b13_text_quality(spark, folder):
 )
 def b14_issue_codes(spark, folder):
     # All faults of a record come from one pass over it.
-    rows = validated_prices(spark, folder).select("batch_id", "position", F.explode("issues").alias("i"))
-    message = F.col("i.message")
+    rows = contracts.issue_rows(views.raw_prices(spark, folder), contracts.price_contract(), ["batch_id", "position"])
+    message = F.col("message")
     fault = (
         F.when(message.startswith("missing"), "missing").when(message.contains("http"), "url")
         .when(message == "no price", "no price").when(message.endswith("_price"), "price")
         .otherwise(F.regexp_replace(message, "^invalid ", ""))
     )
-    return rows.select("batch_id", "position", F.col("i.code").alias("code"), fault.alias("fault"))
+    return rows.select("batch_id", "position", "code", fault.alias("fault"))
 
 
 @query(
@@ -334,7 +335,8 @@ def d16_severity(spark, folder):
 )
 def d17_admit_split(spark, folder):
     validated = validated_prices(spark, folder)
-    decided = decisions(spark, folder)
+    ensure_checkpoint_dir(spark)
+    decided = decisions(spark, folder).select("batch_id", "refused").checkpoint()
     kept = gate.admitted(contracts.first_valid(validated, contracts.price_contract()), decided)
     refused = gate.quarantined(validated, decided)
     return (
