@@ -20,7 +20,7 @@ from snapledger.operators.health import freshness
 from snapledger.operators.ordered import latest
 
 
-def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None,
+def read_files(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_batch: int | None = None,
                names: str = "*") -> DataFrame:
     """Files of a folder as a stream; ``names`` narrows them by file name."""
     reader = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", names)
