@@ -30,6 +30,23 @@ def as_of(snapshots: DataFrame, keys: Sequence[str], order: Sequence[str], until
     return latest(rows, keys, order)
 
 
+def as_of_pairs(snapshots: DataFrame, keys: Sequence[str], order: Sequence[str], cut: str, until: str,
+                time_column: str = "observed_at") -> DataFrame:
+    """The states before ``cut`` and from ``cut`` to before ``until`` side by side as ``p`` and ``c``.
+
+    Both come from one scan and one shuffle: two picks of the same aggregate instead of two states and a
+    full outer join.
+    """
+    values = [c for c in snapshots.columns if c not in keys]
+    at, row = F.col(time_column), F.struct(*order)
+    rows = snapshots.filter(at < F.lit(until).cast("timestamp"))
+    early = at < F.lit(cut).cast("timestamp")
+    return rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), F.when(early, row)).alias("p"),
+        F.max_by(F.struct(*values), F.when(~early, row)).alias("c"),
+    )
+
+
 # Context tiers that price an ordinary request, best first.
 STANDARD_TIERS = ("default", "short", "base", "standard")
 LONG_TIER = r"(?i)long|extended|large|\b>\s*\d"

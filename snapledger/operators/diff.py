@@ -119,30 +119,42 @@ def diff_prices(
     """
     if checked:
         prev, curr = unique_or_fail(prev, identity, "price"), unique_or_fail(curr, identity, "price")
+    return diff_pairs(pair_states(prev, curr, identity), identity, entity, compare_currency)
+
+
+def diff_pairs(
+    pairs: DataFrame,
+    identity: Sequence[str] = ("entity_id", "mode", "tier"),
+    entity: Sequence[str] = ("entity_id",),
+    compare_currency: bool = False,
+) -> DataFrame:
+    """:func:`diff_prices` for states that are already side by side as ``p`` and ``c``.
+
+    Only added and removed identities have to know whether their whole entity came or went, so only they
+    are joined with the entity's presence.
+    """
     scope = [c for c in identity if c not in entity]
     texts = dict(PRICE_TEXT_FIELDS, **({"currency": "currency"} if compare_currency else {}))
-    pairs = pair_states(prev, curr, identity)
     has_prev, has_curr = F.col("p").isNotNull(), F.col("c").isNotNull()
-    moved = price_field_events(lambda n: F.col("p")[n], lambda n: F.col("c")[n], texts)
-    both = has_prev & has_curr
-    events = [F.when(both, event) for event in moved]
-    events.append(F.when(~has_prev, _event("model_added", new_text=F.col("c")["snapshot_id"])))
-    events.append(F.when(~has_curr, _event("model_removed", old_text=F.col("p")["snapshot_id"])))
     ids = [F.col("p")["snapshot_id"].alias("prev_snapshot_id"), F.col("c")["snapshot_id"].alias("curr_snapshot_id")]
-    exploded = unpivot(pairs, [*identity, *ids], events)
+
+    moves = price_field_events(lambda n: F.col("p")[n], lambda n: F.col("c")[n], texts)
+    moved = unpivot(pairs.filter(has_prev & has_curr), [*identity, *ids], moves)
 
     presence = pairs.groupBy(*entity).agg(
         F.bool_or(has_prev).alias("_any_prev"),
         F.bool_or(has_curr).alias("_any_curr"),
         F.min(F.struct(*scope)).alias("_first"),
     )
-    joined = exploded.join(presence, list(entity))
-    whole = ((F.col("change_type") == "model_added") & ~F.col("_any_prev")) | (
-        (F.col("change_type") == "model_removed") & ~F.col("_any_curr")
-    )
-    kept = joined.withColumn("_whole", whole).filter(~F.col("_whole") | (F.struct(*scope) == F.col("_first")))
-    scoped = {c: F.when(~F.col("_whole"), F.col(c)) for c in scope}
-    return kept.withColumns(scoped).drop("_whole", "_any_prev", "_any_curr", "_first")
+    ends = pairs.filter(~(has_prev & has_curr)).select(*identity, *ids).join(presence, list(entity))
+    came = F.col("prev_snapshot_id").isNull()
+    whole = F.when(came, ~F.col("_any_prev")).otherwise(~F.col("_any_curr"))
+    kept = ends.withColumn("_whole", whole).filter(~F.col("_whole") | (F.struct(*scope) == F.col("_first")))
+    event = _event(F.when(came, "model_added").otherwise("model_removed"), None, None, None, F.col("prev_snapshot_id"), F.col("curr_snapshot_id"))
+    scoped = [F.when(~F.col("_whole"), F.col(c)).alias(c) if c in scope else F.col(c) for c in identity]
+    ended = kept.select(*scoped, "prev_snapshot_id", "curr_snapshot_id", event.alias("e")).select(
+        *identity, "prev_snapshot_id", "curr_snapshot_id", "e.*")
+    return moved.unionByName(ended)
 
 
 def event_rank() -> Column:

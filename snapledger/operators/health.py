@@ -177,7 +177,7 @@ def ecosystem_status(health: DataFrame) -> DataFrame:
 
 
 def dashboard_totals(current_prices: DataFrame, entities: DataFrame, changes: DataFrame, health: DataFrame, now: Column) -> DataFrame:
-    """Headline numbers. Each input is reduced to one row before the single-row joins."""
+    """Headline numbers, each input reduced to one row on its own."""
     def within(hours: int) -> Column:
         return F.unix_micros(F.col("detected_at")) >= F.unix_micros(now) - hours * 3_600_000_000
 
@@ -193,12 +193,11 @@ def dashboard_totals(current_prices: DataFrame, entities: DataFrame, changes: Da
         F.count_if(F.col("run.status") == "failed").alias("active_alerts"),
         F.max("run.completed_at").alias("last_refresh"),
     )
-    one = F.lit(1).alias("_one")
-    frames = [f.select(one, "*") for f in (priced, known, moved, alarms)]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.join(frame, "_one")
-    return result.drop("_one")
+    # Each part is one row with its own columns; stacked and reduced once, they need no join.
+    stacked = priced
+    for part in (known, moved, alarms):
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def fleet_run_status(attempts: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ def price_states(spark, folder):
     )
 
 
+def price_pairs(spark, folder):
+    """Both states from one pass, with only the compared columns."""
+    names = [*KEY, *ORDER, "snapshot_id", "cached", "cache_write", "output", "pricing_unit", "source_url"]
+    return current.as_of_pairs(views.price_obs(spark, folder).select(*names), KEY, ORDER, PREV_UNTIL, CURR_UNTIL)
+
+
 PRICE_OUT = ["entity_id", "mode", "tier", "snapshot_id", "input", "cached", "cache_write", "output", "run_id"]
 PRICE_OUT_SQL = ", ".join(PRICE_OUT)
 
@@ -106,7 +112,7 @@ DIFF_CTE = cte("v_price_obs", prev=PREV_SQL, curr=CURR_SQL).rstrip() + "," + EVE
     " count(distinct entity_id) as entities, round(avg(new_num - old_num), 2) as mean_move from events group by 1, 2",
 )
 def flagship_price_movement(spark, folder):
-    events = diff.diff_prices(*price_states(spark, folder))
+    events = diff.diff_pairs(price_pairs(spark, folder))
     # Entity counts come from one extra grouping level, so no distinct set is held per group.
     per_entity = events.groupBy("change_type", F.coalesce("field_name", F.lit("")).alias("field_name"), "entity_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -336,7 +342,7 @@ def f1_diff_prices(spark, folder):
 
 @query("f2_metadata_changes", DIFF_CTE + f"select {', '.join(EVENT_OUT)} from events where change_type = 'metadata_changed'")
 def f2_metadata_changes(spark, folder):
-    events = diff.diff_prices(*price_states(spark, folder))
+    events = diff.diff_pairs(price_pairs(spark, folder))
     return events.filter("change_type = 'metadata_changed'").select(*EVENT_OUT)
 
 
@@ -346,7 +352,7 @@ def f2_metadata_changes(spark, folder):
     " where change_type in ('model_added','model_removed') group by 1, 2, 3",
 )
 def f3_collapse_whole_entities(spark, folder):
-    events = diff.diff_prices(*price_states(spark, folder)).filter(F.col("change_type").isin("model_added", "model_removed"))
+    events = diff.diff_pairs(price_pairs(spark, folder)).filter(F.col("change_type").isin("model_added", "model_removed"))
     return events.groupBy("entity_id", "change_type", F.col("mode").isNull().alias("whole_entity")).agg(
         F.count(F.lit(1)).alias("events")
     )
@@ -357,7 +363,7 @@ def f3_collapse_whole_entities(spark, folder):
     DIFF_CTE + "select change_type, mode is null as no_mode, tier is null as no_tier, count(*) as events from events group by 1, 2, 3",
 )
 def f4_whole_entity_scope(spark, folder):
-    events = diff.diff_prices(*price_states(spark, folder))
+    events = diff.diff_pairs(price_pairs(spark, folder))
     return events.groupBy(
         "change_type", F.col("mode").isNull().alias("no_mode"), F.col("tier").isNull().alias("no_tier")
     ).agg(F.count(F.lit(1)).alias("events"))
@@ -439,7 +445,7 @@ def f6_diff_lifecycle(spark, folder):
     " when 'price_increased' then 3 else 4 end, coalesce(field_name, '')) as rank from events",
 )
 def f7_event_order(spark, folder):
-    events = diff.diff_prices(*price_states(spark, folder))
+    events = diff.diff_pairs(price_pairs(spark, folder))
     named = ["entity_id", "mode", "tier", "change_type", "field_name"]
     return global_rank(events.select(*named), diff.event_order(KEY))
 
