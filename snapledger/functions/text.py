@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -90,7 +90,9 @@ def key_from_ascii(name: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def _compatibility_form(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    # Not pyarrow.compute.utf8_normalize: its NFKC leaves accents decomposed.
+    folded = [None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()]
+    return pa.array(folded, pa.string())
 
 
 def identity_key(name: Column) -> Column:

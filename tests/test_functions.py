@@ -46,8 +46,8 @@ def test_shutdown_table_states(spark):
 
 
 def test_identity_key_folds_compatibility_forms(spark):
-    inputs = [" models/Gemini 2.5 Pro ", "ＧＰＴ－４ｏ", "ﬁne²", "--A__b--", "Claude  Opus"]
-    assert apply(spark, inputs, text.identity_key(F.col("v"))) == ["gemini-2-5-pro", "gpt-4o", "fine2", "a-b", "claude-opus"]
+    inputs = [" models/Gemini 2.5 Pro ", "ＧＰＴ－４ｏ", "ﬁne²", "--A__b--", "Claude  Opus", "Café X", "Cafe\u0301 X"]
+    assert apply(spark, inputs, text.identity_key(F.col("v"))) == ["gemini-2-5-pro", "gpt-4o", "fine2", "a-b", "claude-opus", "caf-x", "caf-x"]
 
 
 @pytest.mark.parametrize("provider,name,family", [
