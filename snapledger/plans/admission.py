@@ -161,4 +161,4 @@ def log_rows(decided: DataFrame) -> DataFrame:
 
 def _append_new(rows: DataFrame, root: str, table: str, keys: list[str]) -> None:
     stored = sinks.read_ledger(rows.sparkSession, root, table)
-    rows.join(stored.select(*keys), keys, "left_anti").write.mode("append").parquet(f"{root}/{table}")
+    sinks.conform(rows, table).join(stored.select(*keys), keys, "left_anti").write.mode("append").parquet(f"{root}/{table}")

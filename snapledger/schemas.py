@@ -49,7 +49,7 @@ LEDGER_DDL = {
     "dim_alias": "provider_id STRING, entity_id STRING, source_id STRING, alias STRING, alias_type STRING,"
     " first_seen_at TIMESTAMP, last_seen_at TIMESTAMP",
     "fact_run": "run_id STRING, source_id STRING, status STRING, external_run_id STRING, triggered_by STRING,"
-    " started_at TIMESTAMP, completed_at TIMESTAMP, records_seen INT, records_accepted INT, records_rejected INT,"
+    " started_at TIMESTAMP, completed_at TIMESTAMP, records_seen BIGINT, records_accepted BIGINT, records_rejected BIGINT,"
     " error_message STRING, validation_errors ARRAY<STRUCT<record_index: INT, code: STRING, message: STRING>>",
     "fact_price": f"snapshot_id STRING, run_id STRING, source_id STRING, provider_id STRING, entity_id STRING,"
     f" mode STRING, tier STRING, input {MONEY}, cached {MONEY}, cache_write {MONEY}, output {MONEY},"
@@ -80,8 +80,15 @@ LEDGER_DDL = {
 }
 
 
+# Tables stored in folders per value of one more column.
+PARTITIONS = {
+    "fact_price": "month STRING", "fact_lifecycle": "month STRING", "fact_capability": "month STRING", "fact_change": "day DATE",
+}
+
+
 def ledger_schema(name: str) -> T.StructType:
-    return _struct(LEDGER_DDL[name])
+    partition = f", {PARTITIONS[name]}" if name in PARTITIONS else ""
+    return _struct(LEDGER_DDL[name] + partition)
 
 
 # Raw observations as they arrive: loosely typed, position kept, corrupt lines kept.

@@ -33,27 +33,31 @@ def new_snapshots(rows: DataFrame, existing: DataFrame, keys: Sequence[str], ord
 
 
 def read_ledger(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A ledger table, empty if nothing was written yet."""
-    path = f"{root}/{table}"
+    """A ledger table under its declared schema, empty if nothing was written yet."""
+    schema = ledger_schema(table)
     try:
-        stored = spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(f"{root}/{table}")
     except AnalysisException:
-        return spark.createDataFrame([], ledger_schema(table))
-    return stored
+        return spark.createDataFrame([], schema)
+
+
+def conform(rows: DataFrame, table: str) -> DataFrame:
+    """Rows under the declared columns and types of a ledger table; what they do not have is NULL."""
+    fields = ledger_schema(table).fields
+    return rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+    ])
 
 
 def append_snapshots(rows: DataFrame, root: str, table: str, order: Sequence[str] = ("observed_at", "snapshot_id")) -> None:
     """Append to a ledger table partitioned by month; only the months the batch touches are read back."""
-    spark, month = rows.sparkSession, F.date_format("observed_at", "yyyy-MM")
-    dated = rows.withColumn("month", month)
-    existing = read_ledger(spark, root, table)
-    if "month" in existing.columns:
-        # A join against the batch's months prunes partitions at run time.
-        existing = existing.join(dated.select("month").distinct(), "month", "left_semi")
-    fresh = new_snapshots(dated, existing, NATURAL_KEYS[table], order)
-    fresh.repartition("month", F.hash(*NATURAL_KEYS[table]) % 16).write.mode("append").partitionBy("month").parquet(
-        f"{root}/{table}"
-    )
+    dated = conform(rows.withColumn("month", F.date_format("observed_at", "yyyy-MM")), table)
+    # A join against the batch's months prunes partitions at run time.
+    touched = read_ledger(rows.sparkSession, root, table).join(dated.select("month").distinct(), "month", "left_semi")
+    fresh = new_snapshots(dated, touched, NATURAL_KEYS[table], order)
+    # Sixteen writers per month at most, so a month that holds most rows is not one file.
+    spread = fresh.repartition("month", F.pmod(F.hash(*NATURAL_KEYS[table]), F.lit(16)))
+    spread.write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
 
 
 def collapse_changes(changes: DataFrame, keys: Sequence[str] = CHANGE_KEY) -> DataFrame:
@@ -71,9 +75,8 @@ def collapse_changes(changes: DataFrame, keys: Sequence[str] = CHANGE_KEY) -> Da
 
 def append_changes(changes: DataFrame, root: str) -> None:
     """Append events that are not stored yet, partitioned by detection day."""
-    spark = changes.sparkSession
-    fresh = collapse_changes(changes).withColumn("day", F.to_date("detected_at"))
-    stored = read_ledger(spark, root, "fact_change")
+    fresh = conform(collapse_changes(changes).withColumn("day", F.to_date("detected_at")), "fact_change")
+    stored = read_ledger(changes.sparkSession, root, "fact_change").join(fresh.select("day").distinct(), "day", "left_semi")
     match = None
     left, right = fresh.alias("n"), stored.select(*CHANGE_KEY).alias("s")
     for key in CHANGE_KEY:
