@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import decontamination, sentencepiece, sharding, simhash, warc
-from snapledger.llm.common import table
+from snapledger.llm import decontamination, html, language, quality, sentencepiece, sharding, simhash, toxicity, warc
+from snapledger.llm.common import fold, table
 from snapledger.queries.registry import Query
 
 LLM: dict[str, Query] = {}
@@ -53,6 +53,29 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "tokens.*")
 
 
+@query("op3_html")
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "main.text", "main.n_chars")
+
+
+def labelled(spark: SparkSession, folder: str, parts: int, held_out: int, label: str) -> DataFrame:
+    """Documents with a label, outside the fold that is held out."""
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("_of"), F.col(label))
+    labels = labels.filter(fold(F.col("_of"), parts) != held_out)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    return docs.join(labels, F.col("doc_id") == F.col("_of")).drop("_of")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    model = toxicity.fit(labelled(spark, folder, 5, 0, "toxic"))
+    found = toxicity.scored(table(spark, folder, "documents").select("doc_id", "text"), model, out="score")
+    return found.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 OP5_SQL = """
 with lowered as (
   select 'd' as side, doc_id as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
@@ -88,6 +111,32 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def language_model(spark: SparkSession, folder: str) -> language.Model:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identified(table(spark, folder, "documents").select("doc_id", "text"), language_model(spark, folder))
+    return found.select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score"
+    )
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.Machine:
+    return quality.fit(labelled(spark, folder, 4, 2, "quality"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    found = quality.scored(docs, quality_model(spark, folder), out="score")
+    return found.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
