@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import decontamination, html, language, quality, sentencepiece, sharding, simhash, toxicity, warc
+from snapledger.llm import decontamination, html, language, neighbours, quality, sentencepiece, sharding, simhash, toxicity, warc
 from snapledger.llm.common import fold, table
 from snapledger.queries.registry import Query
 
@@ -145,6 +145,31 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OP9_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e,
+    label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0 as good
+  from embeddings
+), link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and a.good and b.good
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), walk as (select vec_id as origin, vec_id as reached from v union select walk.origin, link.b from walk join link on walk.reached = link.a
+), smallest as (select origin, min(reached) as c from walk group by origin
+), n as (select a, count(*) as n from link group by a)
+select v.vec_id, cast(coalesce(n.n, 0) as bigint) as n_links, smallest.c as component_id, v.vec_id = smallest.c as kept
+from v left join n on v.vec_id = n.a join smallest on v.vec_id = smallest.origin
+"""
+
+
+@query("op9_neighbours", OP9_SQL)
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = neighbours.near_vectors(table(spark, folder, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), 8)
