@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.llm import decontamination, html, language, neighbours, quality, sentencepiece, sharding, simhash, toxicity, warc
 from snapledger.llm.common import fold, table
+from snapledger.llm.training import labelled, language_model, quality_model
 from snapledger.queries.registry import Query
 
 LLM: dict[str, Query] = {}
@@ -59,14 +61,6 @@ def op3_html(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "main.text", "main.n_chars")
 
 
-def labelled(spark: SparkSession, folder: str, parts: int, held_out: int, label: str) -> DataFrame:
-    """Documents with a label, outside the fold that is held out."""
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("_of"), F.col(label))
-    labels = labels.filter(fold(F.col("_of"), parts) != held_out)
-    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
-    return docs.join(labels, F.col("doc_id") == F.col("_of")).drop("_of")
-
-
 @query("op4_toxicity")
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(labelled(spark, folder, 5, 0, "toxic"))
@@ -111,11 +105,6 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def language_model(spark: SparkSession, folder: str) -> language.Model:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return language.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
-
-
 @query("op6_language")
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     found = language.identified(table(spark, folder, "documents").select("doc_id", "text"), language_model(spark, folder))
@@ -124,10 +113,6 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def quality_model(spark: SparkSession, folder: str) -> quality.Machine:
-    return quality.fit(labelled(spark, folder, 4, 2, "quality"))
-
-
 @query("op7_quality")
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
@@ -176,3 +161,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

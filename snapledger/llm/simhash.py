@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.llm.common import cut, per_row
@@ -122,17 +122,40 @@ def near_duplicates(
     df: DataFrame, limit: int = 2, segments: int = 8, bucket: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Rows (id, fp, component): the smallest id reachable over links, for every row of the input."""
-    rows = cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text").select("id", "fp"))
-    classes = components_of(rows, limit, segments, bucket)
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    rows = cut(_slim(df, id_col, text_col))
+    return rows.join(components_of(rows, limit, segments, bucket).select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+def _slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text").select("id", "fp")
 
 
 def components_of(rows: DataFrame, limit: int = 2, segments: int = 8, bucket: int = 64) -> DataFrame:
-    """Rows (fp, component) per distinct fingerprint of ``rows`` (id, fp)."""
+    """Rows (fp, root, component, at) per distinct fingerprint of ``rows`` (id, fp); ``at`` is the fingerprint that has the smallest id."""
     groups = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     nodes = groups.select(F.col("fp").alias("node"), "fp")
     linked = components(links(nodes, limit, segments, bucket))
-    rooted = groups.join(linked, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "least", "root")
+    rooted = groups.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
-    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    return cut(rooted.join(least, "root").select("fp", "component"))
+    first = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("fp").alias("at"))).alias("first")
+    named = cut(rooted.groupBy("root").agg(first).select("root", F.col("first.id").alias("component"), F.col("first.at").alias("at")))
+    return cut(rooted.join(named, "root").select("fp", "root", "component", "at"))
+
+
+def deduplicated(df: DataFrame, limit: int = 2, segments: int = 8, bucket: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of every component, with all its columns; of rows that repeat this id, one.
+
+    A component whose ids are all null keeps one row too. The decision is made on ids and fingerprints; texts are shuffled once.
+    """
+    rows = cut(_slim(df, id_col, text_col))
+    classes = components_of(rows, limit, segments, bucket)
+    kept = cut(classes.filter("fp = at").select(F.col("fp").alias("_fp_kept"), F.col("component").alias("_id_kept")))
+    same = (F.col("_fp") == F.col("_fp_kept")) & F.col("_id").eqNullSafe(F.col("_id_kept"))
+    held = rows.withColumnsRenamed({"id": "_id", "fp": "_fp"}).join(kept, same, "left_semi")
+    repeated = not held.groupBy("_id", "_fp").count().filter("count > 1").isEmpty()
+    marked = fingerprints(df, text_col, "_fp").withColumn("_id", F.col(id_col))
+    found = marked.join(kept, same, "left_semi")
+    if repeated:
+        order = Window.partitionBy("_id", "_fp").orderBy(F.col(text_col))
+        found = found.withColumn("_turn", F.row_number().over(order)).filter("_turn = 1")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns])
