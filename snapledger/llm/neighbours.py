@@ -124,8 +124,11 @@ def _nearest(size: int):
     return best, "u long, v long, cos double"
 
 
-def _meet(best: int, chunk: int):
-    """What the members of each meeting place learn of each other, over sorted Arrow batches of (at, node, vec)."""
+def _meet(best: int, chunk: int, angle: float):
+    """What the members of each meeting place learn of each other, over sorted Arrow batches of (at, node, vec, radius).
+
+    Every member learns of its ``best`` nearest, and of all with which it may have a link.
+    """
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -143,7 +146,7 @@ def _meet(best: int, chunk: int):
             yield from done(pa.Table.from_batches(held))
 
     def done(table: pa.Table):
-        at, ids = table["at"].to_numpy(), table["node"].to_numpy()
+        at, ids, radius = table["at"].to_numpy(), table["node"].to_numpy(), table["radius"].to_numpy()
         flat = table["vec"].combine_chunks()
         values, offsets = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
         edges = np.flatnonzero(np.diff(at)) + 1
@@ -158,10 +161,14 @@ def _meet(best: int, chunk: int):
                 cos = x @ x.T
                 np.fill_diagonal(cos, -2)
                 k = min(best, n - 1)
-                top = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-cos, axis=1)[:, :k]
-                us.append(np.repeat(ids[a:b], k))
-                vs.append(ids[a:b][top].ravel())
-                cs.append(np.take_along_axis(cos, top, 1).ravel())
+                told = np.zeros((n, n), bool)
+                np.put_along_axis(told, np.argpartition(-cos, k - 1, axis=1)[:, :k], True, 1)
+                r = radius[a:b]
+                told |= cos >= np.cos(np.minimum(np.pi, angle + r[:, None] + r[None]))
+                i, j = np.nonzero(told)
+                us.append(ids[a:b][i])
+                vs.append(ids[a:b][j])
+                cs.append(cos[i, j])
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, cs)], names=["u", "v", "cos"])
 
@@ -228,7 +235,7 @@ def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99
     lists = cut(_lists(pairs, size))
     possible = cut(_possible(lists, balls, angle))
     known = possible.count()
-    vectors = balls.select(F.col("node").alias("_n"), F.transform("vec", lambda x: x.cast("float")).alias("vec"))
+    vectors = balls.select(F.col("node").alias("_n"), F.transform("vec", lambda x: x.cast("float")).alias("vec"), "radius")
     reach = balls.select(F.col("node").alias("_n"), (F.lit(1.5 * angle) + F.col("radius")).alias("reach"))
     for round_no in range(max_rounds):
         both = lists.select("u", "v").unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -238,8 +245,8 @@ def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99
         rooms = F.ceil(F.coalesce("m", F.lit(1)) / 64).cast("int")
         spread = visits.join(crowd, F.col("u") == F.col("_c"), "left")
         place = F.xxhash64("u", F.pmod(F.xxhash64("v", F.lit(round_no)), rooms))
-        carried = spread.select(place.alias("at"), F.col("v").alias("node")).join(vectors, F.col("node") == F.col("_n")).select("at", "node", "vec")
-        met = carried.repartition("at").sortWithinPartitions("at").mapInArrow(_meet(3, CHUNK), "u long, v long, cos float")
+        carried = spread.select(place.alias("at"), F.col("v").alias("node")).join(vectors, F.col("node") == F.col("_n")).select("at", "node", "vec", "radius")
+        met = carried.repartition("at").sortWithinPartitions("at").mapInArrow(_meet(3, CHUNK, angle + 1e-3), "u long, v long, cos float")
         # Lists whose last entry could still link are saturated: they get twice the room.
         last = lists.groupBy("u").agg(F.min("cos").alias("low"), F.count(F.lit(1)).alias("n"))
         roomy = size.join(last, F.col("node") == F.col("u"), "left").join(reach, F.col("node") == F.col("_n"))
