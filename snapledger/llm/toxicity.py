@@ -161,15 +161,14 @@ def train(texts: list[bytes | None], labels: np.ndarray, dim: int = 8, epochs: i
     if labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, np.float32), 8.0 if labels[0] else -8.0)
     rng = np.random.default_rng(seed)
-    # Words of each text as lists of buckets, flat.
-    bags = [_bag(_lower(t)) for t in texts]
     seen = np.zeros(BUCKETS, np.int32)
-    for grams, _, own in bags:
+    for t in texts:
+        grams, _, own = _bag(_lower(t))
         seen[np.unique(np.concatenate([grams, own]))] += 1
     kept = np.flatnonzero(seen >= MIN_TEXTS)
     slot = np.zeros(BUCKETS, np.int32)  # row 0 is the vector of nothing
     slot[kept] = np.arange(1, len(kept) + 1)
-    bags = [(slot[grams], ends, slot[own]) for grams, ends, own in bags]
+    bags = [_reduced(_bag(_lower(t)), slot) for t in texts]
     emb = rng.normal(0, 0.1, (len(kept) + 1, dim)).astype(np.float32)
     emb[0] = 0
     out = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
@@ -181,18 +180,18 @@ def train(texts: list[bytes | None], labels: np.ndarray, dim: int = 8, epochs: i
     for epoch in range(epochs):
         balance = 0.5 / share if epoch < epochs // 2 else 1.0
         line = (emb @ (out[:, 1] - out[:, 0])).astype(np.float64)
-        worst = [_worst(bag, line, rng) for bag in bags]
+        worst = [_worst(bag, line) for bag in bags]
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             buckets, weights, owner = [], [], []
             for row, k in enumerate(chosen):
-                grams, ends, own = bags[k]
+                grams, ends, own, sizes_of = bags[k]
                 a, b = worst[k]
                 lo, hi = (ends[a - 1] if a else 0), (ends[b - 1] if b else 0)
-                sizes = np.diff(np.concatenate([[lo], ends[a:b]]))
+                sizes = np.diff(ends[a:b], prepend=lo)
                 buckets += [grams[lo:hi], own[a:b]]
-                weights += [np.repeat(0.5 / np.maximum(sizes, 1) / max(1, b - a), sizes), np.full(b - a, 0.5 / max(1, b - a))]
+                weights += [np.repeat(0.5 / np.maximum(sizes_of[a:b], 1) / max(1, b - a), sizes), np.full(b - a, 0.5 / max(1, b - a))]
                 owner.append(np.full(hi - lo + b - a, row))
             buckets, owner = np.concatenate(buckets), np.concatenate(owner)
             weights = np.concatenate(weights).astype(np.float32)
@@ -244,13 +243,22 @@ def _bag(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket[order], np.cumsum(np.bincount(word, minlength=base)), np.concatenate(owns)
 
 
-def _worst(bag, line: np.ndarray, rng) -> tuple[int, int]:
+def _reduced(bag, slot: np.ndarray):
+    """A bag without the buckets that stand for nothing, and the number of n-grams each word had with them."""
     grams, ends, own = bag
+    mapped = slot[grams]
+    kept = mapped > 0
+    before = np.concatenate([[0], np.cumsum(kept)])
+    sizes = np.diff(ends, prepend=0)
+    return mapped[kept], before[ends].astype(np.int32), slot[own], np.minimum(sizes, 65535).astype(np.uint16)
+
+
+def _worst(bag, line: np.ndarray) -> tuple[int, int]:
+    grams, ends, own, sizes = bag
     if len(ends) <= WINDOW:
         return 0, len(ends)
     total = np.concatenate([[0.0], np.cumsum(line[grams])])
     sums = total[ends] - total[np.concatenate([[0], ends[:-1]])]
-    sizes = np.diff(np.concatenate([[0], ends]))
     a = int(np.argmax(passages(0.5 * sums / np.maximum(sizes, 1) + 0.5 * line[own])))
     return a, a + WINDOW
 
@@ -259,8 +267,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """Train on about ``max_rows`` of the labelled rows (id, text, label 0 or 1), drawn by hash; rows without a label are skipped."""
     usable = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
     rows = labelled_sample(usable, F.col(id_col), max_rows).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-    held = rows.toPandas().sort_values(["i", "t", "y"])
-    return train([t.encode("utf-8") for t in held["t"]], held["y"].to_numpy(np.int64))
+    held = sorted((str(r["i"]), r["t"].encode("utf-8"), r["y"]) for r in rows.toLocalIterator())
+    return train([t for _, t, _ in held], np.array([y for _, _, y in held], np.int64))
 
 
 def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
