@@ -111,8 +111,8 @@ def significance(kind: Column, group: Column, percent: Column, name: Column) ->
 
 
 def plain_number(value: Column) -> Column:
-    """A number without trailing zeros, as a reader would write it."""
-    text = F.call_function("format_number", value, F.lit("0.######"))
+    """A number without trailing zeros, with all decimals a stored price can have."""
+    text = F.call_function("format_number", value, F.lit("0.########"))
     return F.when(value.isNotNull(), text)
 
 
@@ -189,7 +189,7 @@ STATE_WORDS = ("active", "legacy", "deprecated", "retired", "preview")
 def value_text(text: Column, number: Column) -> Column:
     """One side of a before/after pair as display text."""
     trimmed = F.trim(text)
-    shown = F.when(F.lower(trimmed).isin(*STATE_WORDS), F.concat(F.upper(F.substring(trimmed, 1, 1)), F.substring(trimmed, 2, 100)))
+    shown = F.when(F.lower(trimmed).isin(*STATE_WORDS), F.concat(F.upper(F.substring(trimmed, 1, 1)), F.substr(trimmed, F.lit(2))))
     return F.coalesce(price_text(number), shown, F.nullif(trimmed, F.lit("")))
 
 

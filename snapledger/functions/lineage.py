@@ -42,8 +42,10 @@ def folded_key(key: Column) -> Column:
 
 
 def raw_entries(raw: Column) -> Column:
-    """Top-level entries of a JSON object as (folded, key, value); an array stands for its first element."""
-    first = F.when(F.substring(F.ltrim(raw), 1, 1) == "[", F.get_json_object(raw, "$[0]")).otherwise(raw)
+    """Top-level entries of a JSON object as (folded, key, value); an array must hold one record and stands for it."""
+    several = F.raise_error(F.lit("a raw record is an array of several records")).cast("string")
+    only = F.when(F.coalesce(F.json_array_length(raw), F.lit(0)) > 1, several).otherwise(F.get_json_object(raw, "$[0]"))
+    first = F.when(F.substring(F.ltrim(raw), 1, 1) == "[", only).otherwise(raw)
     entries = F.map_entries(F.from_json(first, "map<string,string>"))
     return F.transform(
         entries, lambda e: F.struct(folded_key(e["key"]).alias("folded"), e["key"].alias("key"), e["value"].alias("value"))

@@ -63,7 +63,7 @@ def is_month_only(text: Column) -> Column:
 def retirement_dates(text: Column) -> tuple[Column, Column]:
     """(exact date, lower bound) of a retirement notice; at most one is set."""
     bounded = F.coalesce(text.startswith(NOT_BEFORE), F.lit(False))
-    lower = english_date(F.substring(text, len(NOT_BEFORE) + 1, 100))
+    lower = english_date(F.substr(text, F.lit(len(NOT_BEFORE) + 1)))
     return F.when(~bounded, english_date(text)), F.when(bounded, lower)
 
 

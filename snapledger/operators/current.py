@@ -24,12 +24,21 @@ def latest_comparable(
 def as_of(snapshots: DataFrame, keys: Sequence[str], order: Sequence[str], until: str, since: str | None = None,
           time_column: str = "observed_at") -> DataFrame:
     """The state known just before ``until``, optionally from observations at or after ``since``."""
-    rows = snapshots.filter(F.col(time_column) < F.lit(until).cast("timestamp"))
+    rows = _before(snapshots, until, time_column)
     if since is not None:
-        rows = rows.filter(F.col(time_column) >= F.lit(since).cast("timestamp"))
+        bound = F.lit(since).cast("timestamp")
+        rows = rows.filter(F.col(time_column) >= bound)
+        rows = rows.filter(F.col("month") >= F.date_format(bound, "yyyy-MM")) if "month" in rows.columns else rows
     return latest(rows, keys, order)
 
 
+def _before(snapshots: DataFrame, until: str, time_column: str) -> DataFrame:
+    """Rows before an instant; on a ledger table only the folders of the months up to it are read."""
+    bound = F.lit(until).cast("timestamp")
+    rows = snapshots.filter(F.col(time_column) < bound)
+    return rows.filter(F.col("month") <= F.date_format(bound, "yyyy-MM")) if "month" in rows.columns else rows
+
+
 def as_of_pairs(snapshots: DataFrame, keys: Sequence[str], order: Sequence[str], cut: str, until: str,
                 time_column: str = "observed_at") -> DataFrame:
     """The states before ``cut`` and from ``cut`` to before ``until`` side by side as ``p`` and ``c``.
@@ -39,7 +48,7 @@ def as_of_pairs(snapshots: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     values = [c for c in snapshots.columns if c not in keys]
     at, row = F.col(time_column), F.struct(*order)
-    rows = snapshots.filter(at < F.lit(until).cast("timestamp"))
+    rows = _before(snapshots, until, time_column)
     early = at < F.lit(cut).cast("timestamp")
     return rows.groupBy(*keys).agg(
         F.max_by(F.struct(*values), F.when(early, row)).alias("p"),

@@ -109,10 +109,23 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", parti
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, out: str = "rank", offset: int = 0) -> DataFrame:
-    """A numbered page of a sorted result; only ``offset + k`` rows are ever gathered."""
-    page = df.orderBy(*order).limit(offset + k)
-    numbered = page.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return numbered.filter(F.col(out) > offset) if offset else numbered
+    """A numbered page of a sorted result. The first page gathers ``k`` rows; later ones are cut out of the full ranking."""
+    if offset:
+        return global_rank(df, order, out).filter((F.col(out) > offset) & (F.col(out) <= offset + k))
+    page = df.orderBy(*order).limit(k)
+    return page.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, out: str, spread: int = 64) -> DataFrame:
+    """The first ``limit`` rows of every key, numbered from 1.
+
+    Ranks are taken twice: within parts of a key, dealt by a hash of the row, then among what the parts keep. So no task sorts more
+    than a part of a key's rows, whatever the limit.
+    """
+    part = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(spread))
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+    some = df.withColumn("_part", part).withColumn(out, F.row_number().over(inner)).filter(F.col(out) <= limit).drop("_part", out)
+    return some.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= limit)
 
 
 def unique_or_fail(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

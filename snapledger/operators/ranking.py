@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions import text
 from snapledger.functions.values import round_cost
-from snapledger.operators.ordered import global_rank, top_k
+from snapledger.operators.ordered import global_rank, top_k, top_per_key
 
 SATISFIED, UNSATISFIED, UNKNOWN, NOT_APPLICABLE = "satisfied", "unsatisfied", "unknown", "not_applicable"
 METRICS = {"lowest_total_cost": "total_cost", "lowest_input_cost": "input_cost", "lowest_output_cost": "output_cost"}
@@ -184,8 +184,8 @@ def rank_by_context(rows: DataFrame) -> DataFrame:
 def rank_workloads(rows: DataFrame, workloads: Sequence[tuple[str, int, int]], k: int, currency: str = "USD") -> DataFrame:
     """The k cheapest entities of every workload (name, input tokens, output tokens).
 
-    The workloads are a literal array in the plan, so each entity is read once; the rank filter keeps at
-    most k rows per workload and map task before the shuffle.
+    The workloads are a literal array in the plan, so each entity is read once; only the best k of every part of a workload's rows
+    reach the last ranking.
     """
     specs = F.array(*[
         F.struct(F.lit(n).alias("name"), F.lit(i).cast("bigint").alias("input"), F.lit(o).cast("bigint").alias("output"))
@@ -193,6 +193,4 @@ def rank_workloads(rows: DataFrame, workloads: Sequence[tuple[str, int, int]], k
     ])
     spread = rows.withColumn("_w", F.explode(specs)).withColumn("workload", F.col("_w.name"))
     costed = with_costs(spread, F.col("_w.input"), F.col("_w.output"), currency).withColumn("metric", F.col("total_cost"))
-    window = Window.partitionBy("workload").orderBy(*rank_order())
-    placed = costed.filter(F.col("metric").isNotNull()).withColumn("rank", F.row_number().over(window))
-    return placed.filter(F.col("rank") <= k).drop("_w")
+    return top_per_key(costed.filter(F.col("metric").isNotNull()).drop("_w"), ["workload"], rank_order(), k, "rank")

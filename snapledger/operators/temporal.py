@@ -70,10 +70,14 @@ def _instant(value: datetime | str) -> Column:
 
 
 def in_window(df: DataFrame, since, until, column: str = "detected_at") -> DataFrame:
+    """Rows inside inclusive bounds; on a table stored by day only the folders of these days are read."""
+    stored_by_day = "day" in df.columns
     if since is not None:
         df = df.filter(F.col(column) >= _instant(since))
+        df = df.filter(F.col("day") >= F.to_date(_instant(since))) if stored_by_day else df
     if until is not None:
         df = df.filter(F.col(column) <= _instant(until))
+        df = df.filter(F.col("day") <= F.to_date(_instant(until))) if stored_by_day else df
     return df
 
 
@@ -259,12 +263,17 @@ def compare_providers(evidence: DataFrame, wanted: Sequence[str] = tuple(PROVIDE
     )
 
 
+def with_impact(evidence: DataFrame) -> DataFrame:
+    """Every event with the reason it matters."""
+    reason = labels.impact_reason(F.col("kind"), F.col("field_name"), F.col("new_text"), F.col("percent_change"))
+    return evidence.withColumn("impact_reason", reason)
+
+
 def significant_changes(evidence: DataFrame, k: int = 10, min_score: int = 75, since=None, until=None) -> DataFrame:
     """The k highest-scoring events with a reason; ties go to the newest, then to the smallest id."""
     rows = in_window(evidence, since, until).filter(F.col("significance") >= min_score)
     order = [F.col("significance").desc(), F.col("detected_at").desc(), F.col("event_id").asc()]
-    reason = labels.impact_reason(F.col("kind"), F.col("field_name"), F.col("new_text"), F.col("percent_change"))
-    return top_k(rows, order, k).withColumn("impact_reason", reason)
+    return with_impact(top_k(rows, order, k))
 
 
 def narrative_counts(evidence: DataFrame) -> DataFrame:

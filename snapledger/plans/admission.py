@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.functions import text, values
@@ -55,7 +55,7 @@ def snapshot_rows(valid: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previous: str) -> DataFrame:
-    """What the new batch is compared with, for the sources it covers.
+    """The stored state that the first new batch of each source is compared with.
 
     ``last_run``: what the newest comparable run of each source showed, so a gone identity is reported
     once. ``state``: the newest row per identity over all runs, so it is reported by every later run.
@@ -68,6 +68,63 @@ def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previ
     return latest(covered.join(usable.select("run_id"), "run_id", "left_semi"), STATE, ["observed_at", "created_at", "snapshot_id"])
 
 
+def decide_in_order(known: DataFrame, evidence: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Decisions of several batches per source, each judged against the newest good batch before it.
+
+    A batch's baseline depends on the decisions of the batches before it. Decisions are made for all batches at once, baselines are
+    taken from them, and both are repeated until nothing changes: after n rounds the first n batches of every source are final, and
+    usually few rounds are needed. A batch whose external run was admitted earlier in the manifest is a replay and is dropped.
+
+    ``known`` has the stored baseline as ``lkg`` (run_id, count, at); the result has that of each batch.
+    """
+    order = ["started_at", "batch_id"]
+    turn = Window.partitionBy("source_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("source_id", "external_run_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # One narrow row per batch: what the rules need, nothing of the records.
+    fixed = known.join(evidence, "batch_id", "left").withColumn("_stored", F.col("lkg")).checkpoint()
+    facts = [c for c in evidence.columns if c != "batch_id"]
+    rows = fixed.withColumn("_replay", F.lit(False))
+    for _ in range(max_rounds):
+        held = rows.withColumn("baseline_count", F.col("lkg.count").cast("bigint"))
+        decided = gate.decide(held.drop(*facts), held.select("batch_id", *facts))
+        good = ~F.col("refused") & ~F.col("_replay")
+        clean = good & (F.col("records_invalid") == 0)
+        own = F.struct(F.col("batch_id").alias("run_id"), F.col("records_valid").alias("count"), F.col("started_at").alias("at"))
+        stated = decided.withColumns({
+            "_lkg": F.coalesce(F.last(F.when(clean, own), ignorenulls=True).over(turn), F.col("_stored")),
+            "_again": F.coalesce(F.max(good).over(same), F.lit(False)) & F.col("external_run_id").isNotNull(),
+        }).checkpoint()
+        moved = ~F.col("_lkg.run_id").eqNullSafe(F.col("lkg.run_id")) | (F.col("_again") != F.col("_replay"))
+        if stated.filter(moved).isEmpty():
+            return stated.filter(~F.col("_replay")).drop("_lkg", "_again", "_replay", "_stored")
+        rows = fixed.drop("lkg").join(stated.select("batch_id", F.col("_lkg").alias("lkg"), F.col("_again").alias("_replay")), "batch_id")
+    raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
+
+
+def compared_states(stored: DataFrame, snapshots: DataFrame, decided: DataFrame, previous: str) -> tuple[DataFrame, DataFrame]:
+    """(previous, current) rows of every admitted batch, named by ``batch_id``; the first batch meets the stored state.
+
+    ``last_run`` compares with the batch before. ``state`` compares with the newest row of every identity, so a row also stands for
+    the batches after it that do not show its identity.
+    """
+    turn = Window.partitionBy("source_id").orderBy("started_at", "batch_id")
+    admitted = decided.filter(~F.col("refused"))
+    turns = admitted.select("batch_id", "source_id", F.row_number().over(turn).alias("_turn"))
+    ends = turns.groupBy("source_id").agg(F.max("_turn").alias("_end"))
+    current_rows = snapshots.join(turns.drop("source_id"), snapshots["run_id"] == turns["batch_id"])
+    every = current_rows.drop("batch_id").unionByName(stored.select(*snapshots.columns).withColumn("_turn", F.lit(0))).join(ends, "source_id")
+    if previous == "last_run":
+        last = F.col("_turn") + 1
+    else:
+        following = F.lead("_turn").over(Window.partitionBy(*STATE).orderBy("_turn"))
+        every = every.withColumn("_next", following)
+        last = F.coalesce("_next", "_end")
+    reached = every.filter(F.col("_turn") < F.col("_end")).withColumn("_for", F.explode(F.sequence(F.col("_turn") + 1, last)))
+    named = turns.select(F.col("source_id").alias("_s"), F.col("_turn").alias("_t"), "batch_id")
+    before = reached.join(named, (F.col("source_id") == F.col("_s")) & (F.col("_for") == F.col("_t")))
+    return before.select("batch_id", *snapshots.columns), current_rows.select("batch_id", *snapshots.columns)
+
+
 @dataclass(frozen=True)
 class Outcome:
     decisions: DataFrame
@@ -78,11 +135,12 @@ class Outcome:
 def admit_prices(
     records: DataFrame, manifest: DataFrame, root: str, contract: contracts.Contract | None = None, previous: str = "last_run"
 ) -> Outcome:
-    """Run one or many announced price batches through the gate and write what follows from it.
+    """Run announced price batches, one or many per source, through the gate and write what follows from them.
 
     ``records``: contract columns plus ``batch_id`` and ``position``. ``manifest``: batch_id, source_id,
-    started_at, external_run_id, collector_error, one row per announced batch. The run log is written
-    last, so a job that dies before is repeated in full, and every earlier write skips what is stored.
+    started_at, external_run_id, collector_error, one row per announced batch. Batches of a source count in the order of their start:
+    each is judged and compared with the ones before it. Everything is computed and checked before the first write. The run log is
+    written last, so a job that dies before is repeated in full, and every earlier write skips what is stored.
     """
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
@@ -90,25 +148,25 @@ def admit_prices(
     log = sinks.read_ledger(spark, root, "fact_run")
     finished = log.select(F.col("run_id").alias("batch_id"))
     announced = sinks.skip_replayed(manifest, log).join(finished, "batch_id", "left_anti")
-    baseline = gate.current_baseline(log)
-    known = announced.join(baseline, "source_id", "left").withColumn("baseline_count", F.col("lkg.count").cast("bigint")).drop("lkg")
-    known = with_limits(known, contract.limits)
+    known = with_limits(announced.join(gate.current_baseline(log), "source_id", "left"), contract.limits)
 
     validated = contracts.validate(records.join(known.select("batch_id"), "batch_id", "left_semi"), contract)
-    # The decision is read by five writers; it is fixed once so they cannot disagree.
-    decided = gate.decide(known, gate.batch_evidence(validated, contract)).checkpoint()
+    decided = decide_in_order(known, gate.batch_evidence(validated, contract)).checkpoint()
 
     valid = gate.admitted(contracts.first_valid(validated, contract), decided)
-    snapshots = snapshot_rows(valid, known)
+    snapshots = snapshot_rows(valid, known).checkpoint()
     stored = sinks.read_ledger(spark, root, "fact_price")
-    before = previous_state(stored, log, decided.filter(~F.col("refused")).select("source_id").distinct(), previous)
-    events = diff.diff_prices(_numbers(before), _numbers(snapshots), STATE, STATE[:2])
-    changes = change_rows(events, decided).checkpoint()
+    sources = decided.filter(~F.col("refused")).select("source_id").distinct()
+    before, after = compared_states(previous_state(stored, log, sources, previous), snapshots, decided, previous)
+    events = diff.diff_prices(_numbers(before), _numbers(after), ["batch_id", *STATE], ["batch_id", *STATE[:2]])
+    # Conflicting events of one identity fail here, while nothing is written yet.
+    changes = sinks.collapse_changes(change_rows(events, decided)).checkpoint()
+    incidents = incident_rows(decided, sinks.read_incidents(spark, root)).checkpoint()
 
     sinks.append_snapshots(snapshots, root, "fact_price")
     sinks.append_changes(changes, root)
     _append_new(quarantine_rows(validated, decided), root, "fact_quarantine", ["run_id", "position"])
-    _append_new(incident_rows(decided), root, "fact_incident", ["incident_id"])
+    _append_new(incidents, root, "fact_incident", ["incident_id", "status"])
     _append_new(log_rows(decided), root, "fact_run", ["run_id"])
     return Outcome(decided, snapshots, changes)
 
@@ -119,9 +177,8 @@ def _numbers(rows: DataFrame) -> DataFrame:
 
 def change_rows(events: DataFrame, decided: DataFrame) -> DataFrame:
     """Diff events under the columns of the change table."""
-    runs = decided.filter(~F.col("refused")).groupBy("source_id").agg(
-        F.max_by(F.struct("batch_id", "started_at"), F.struct("started_at", "batch_id")).alias("r"))
-    joined = events.join(runs, "source_id")
+    runs = decided.select("batch_id", F.struct("batch_id", "started_at").alias("r"))
+    joined = events.join(runs, "batch_id")
 
     def as_json(number: str, shown: str):
         return F.coalesce(F.col(number).cast("string"), F.when(F.col(shown).isNotNull(), F.concat(F.lit('"'), shown, F.lit('"'))))
@@ -143,8 +200,41 @@ def quarantine_rows(validated: DataFrame, decided: DataFrame) -> DataFrame:
         F.concat(F.lit("incident-"), "batch_id").alias("incident_id"), "source_id", F.col("batch_id").alias("run_id"), "position", "raw", "issues")
 
 
-def incident_rows(decided: DataFrame) -> DataFrame:
-    return gate.open_incidents(decided).join(decided.select(F.col("batch_id").alias("run_id"), F.col("started_at").alias("created_at")), "run_id")
+def incident_rows(decided: DataFrame, stored: DataFrame) -> DataFrame:
+    """New incidents, and those that an admitted batch resolves, stored ones included.
+
+    A refused batch opens an incident; an admitted one resolves the newest that is open for its source. That is how brackets are
+    matched: an incident at depth d is resolved by the next admitted batch that finds d incidents open. Depths come from running sums
+    over one narrow row per batch, pairs from the neighbour at the same depth.
+    """
+    opened = gate.open_incidents(decided).join(
+        decided.select(F.col("batch_id").alias("run_id"), F.col("started_at").alias("created_at"), F.col("lkg.run_id").alias("lkg_run_id"),
+                       F.col("lkg.at").alias("lkg_at")), "run_id")
+    opened = sinks.conform(opened, "fact_incident")
+    sources = decided.select("source_id").distinct()
+    waiting = stored.filter(F.col("status").isin(*gate.OPEN_STATES)).join(sources, "source_id", "left_semi")
+    marks = (
+        waiting.select("source_id", F.lit(0).alias("_late"), F.col("created_at").alias("_at"), F.col("run_id").alias("_run"), "incident_id", F.lit(1).alias("_step"))
+        .unionByName(opened.select("source_id", F.lit(1).alias("_late"), F.col("created_at").alias("_at"), F.col("run_id").alias("_run"), "incident_id", F.lit(1).alias("_step")))
+        .unionByName(decided.filter(~F.col("refused")).select(
+            "source_id", F.lit(1).alias("_late"), F.col("started_at").alias("_at"), F.col("batch_id").alias("_run"), F.lit(None).cast("string").alias("incident_id"),
+            F.lit(-1).alias("_step")))
+    )
+    along = Window.partitionBy("source_id").orderBy("_late", "_at", "_run")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    summed = marks.withColumn("_sum", F.sum("_step").over(upto))
+    # An admitted batch that finds nothing open must not count: the lowest sum so far is the ground.
+    depth = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto))
+    found_open = F.lag("_depth").over(along) > 0
+    leveled = summed.withColumn("_depth", depth).withColumn("_hit", (F.col("_step") == 1) | F.coalesce(found_open, F.lit(False))).filter("_hit")
+    level = F.when(F.col("_step") == 1, F.col("_depth")).otherwise(F.col("_depth") + 1)
+    at_level = Window.partitionBy("source_id", "_level").orderBy("_late", "_at", "_run")
+    matched = leveled.withColumn("_level", level).withColumn("_ends", F.lag("incident_id").over(at_level)).filter("_step = -1 and _ends is not null")
+    ends = matched.select(F.col("_ends").alias("incident_id"), F.col("_at").alias("_resolved"))
+    both = waiting.unionByName(opened).join(ends, "incident_id", "left")
+    closed = F.col("_resolved").isNotNull()
+    settled = both.withColumns({"status": F.when(closed, "resolved").otherwise(F.col("status")), "resolved_at": F.coalesce("_resolved", "resolved_at")})
+    return sinks.conform(settled, "fact_incident")
 
 
 def log_rows(decided: DataFrame) -> DataFrame:

@@ -173,10 +173,10 @@ def k13_workload_ranking(spark, folder):
 
 KNOWN_SQL = """select provider, min(row_id) as entity_id, name from (select n.*, l.l_shipdate from v_name n join
   (select concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, cast(round(l_extendedprice*100) as bigint)) as row_id, l_shipdate from lineitem) l using (row_id))
-  where l_shipdate < timestamp '1996-01-01' group by 1, 3"""
+  where l_shipdate < timestamp '1998-06-01' group by 1, 3"""
 INCOMING_SQL = """select distinct provider, name as api_id from (select n.*, l.l_shipdate from v_name n join
   (select concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey, cast(round(l_extendedprice*100) as bigint)) as row_id, l_shipdate from lineitem) l using (row_id))
-  where l_shipdate >= timestamp '2001-01-01'"""
+  where l_shipdate >= timestamp '1998-06-01'"""
 
 
 def named_rows(spark, folder):
@@ -188,10 +188,10 @@ def named_rows(spark, folder):
 def identity_inputs(spark, folder):
     rows = named_rows(spark, folder)
     at = F.col("observed_at")
-    known = rows.filter(at < F.lit("1996-01-01").cast("timestamp")).groupBy("provider", "name").agg(F.min("row_id").alias("entity_id"))
-    incoming = rows.filter(at >= F.lit("2001-01-01").cast("timestamp")).select("provider", F.col("name").alias("api_id")).distinct()
+    known = rows.filter(at < F.lit("1998-06-01").cast("timestamp")).groupBy("provider", "name").agg(F.min("row_id").alias("entity_id"))
+    incoming = rows.filter(at >= F.lit("1998-06-01").cast("timestamp")).select("provider", F.col("name").alias("api_id")).distinct()
     aliases = known.filter(F.col("name").endswith("-001") & F.col("name").contains("Red")).select(
-        "provider", F.upper("name").alias("alias"), "entity_id", F.lit("1996-01-01").cast("timestamp").alias("last_seen_at"))
+        "provider", F.upper("name").alias("alias"), "entity_id", F.lit("1998-06-01").cast("timestamp").alias("last_seen_at"))
     return incoming, known, aliases
 
 
@@ -331,53 +331,61 @@ def n2_grounded_sets(spark, folder):
     return grounding.grounded(texts.select("user_id").distinct(), ["user_id"], violations)
 
 
-QUESTION_SQL = """select event_id, (['Did Gemini or Claude models change','How much does GPT cost','Compare grok and OpenAI context window','Which models support image input','List maximum output'])[k % 5 + 1]
+QUESTION_SQL = """select event_id, (['Did Gemini or Claude models change','How much does GPT cost','Compare grok and OpenAI context window','Which models support image input','List maximum output of 16k, audio output'])[k % 5 + 1]
   || (['',' this week',' last month',' ytd',' in the last quarter'])[k // 20 + 1] || case when user_id % 3 = 0 then ', deprecated or retired' when user_id % 3 = 1 then ', replaced' else '' end
-  || ' for ' || k || case when k > 50 then 'm' else 'k' end || ' input tokens and ' || value || 'k output, ' || k || ',000 context?' as text from (select *, cast(props->>'k' as int) as k from events)"""
+  || ' for ' || case when k % 2 = 0 then k || case when k > 50 then 'm' else ' k' end || ' input tokens' else 'input tokens of ' || k || 'k' end || ' and ' || value || 'k output, '
+  || case when k % 3 = 0 then 'context window of ' || k || 'm' else k || ',000 context?' end as text from (select *, cast(props->>'k' as int) as k from events)"""
 
 
 def questions(spark, folder):
     events = tables.load(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     heads = F.array(*[F.lit(t) for t in ("Did Gemini or Claude models change", "How much does GPT cost", "Compare grok and OpenAI context window",
-                                         "Which models support image input", "List maximum output")])
+                                         "Which models support image input", "List maximum output of 16k, audio output")])
     spans = F.array(*[F.lit(t) for t in ("", " this week", " last month", " ytd", " in the last quarter")])
     third = F.pmod("user_id", F.lit(3))
     tail = F.when(third == 0, ", deprecated or retired").when(third == 1, ", replaced").otherwise("")
-    k = F.col("k")
+    k, shown_k = F.col("k"), F.col("k").cast("string")
     shown = F.concat(
-        F.element_at(heads, F.pmod(k, F.lit(5)) + 1), F.element_at(spans, F.floor(k / 20).cast("int") + 1), tail, F.lit(" for "), k.cast("string"),
-        F.when(k > 50, "m").otherwise("k"), F.lit(" input tokens and "), F.col("value").cast("string"), F.lit("k output, "), k.cast("string"), F.lit(",000 context?"))
+        F.element_at(heads, F.pmod(k, F.lit(5)) + 1), F.element_at(spans, F.floor(k / 20).cast("int") + 1), tail, F.lit(" for "),
+        F.when(k % 2 == 0, F.concat(shown_k, F.when(k > 50, "m").otherwise(" k"), F.lit(" input tokens"))).otherwise(F.concat(F.lit("input tokens of "), shown_k, F.lit("k"))),
+        F.lit(" and "), F.col("value").cast("string"), F.lit("k output, "),
+        F.when(k % 3 == 0, F.concat(F.lit("context window of "), shown_k, F.lit("m"))).otherwise(F.concat(shown_k, F.lit(",000 context?"))))
     return events.select("event_id", shown.alias("text"))
 
 
-def _sql_first(words) -> str:
-    return "case " + " ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in words) + " end"
+# What the rules must yield, spelled out again for the words that occur in these questions.
+_AMOUNT_SQL = "(\\d[\\d,._]*\\s*[kmb]?)"
 
 
-def _sql_all(words) -> str:
-    return "array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in words) + "], lambda x: x is not null), ',')"
-
-
-def _sql_quantity(pattern: str) -> str:
-    digits, unit = f"regexp_extract(text, '{pattern}', 1)", f"lower(regexp_extract(text, '{pattern}', 2))"
-    return (
-        f"nullif(cast(floor(try_cast(nullif(regexp_replace({digits}, '[,_\\s]', '', 'g'), '') as double)"
-        f" * case {unit} when 'k' then 1000 when 'm' then 1000000 when 'b' then 1000000000 else 1 end + 0.5) as bigint), 0)"
-    )
-
-
-_MENTIONS = ", ".join(
-    f"case when regexp_matches(text, '{p}') then {{'at': strpos(text, regexp_extract(text, '{p}', 0)), 'slug': '{n}'}} end" for n, p in grounding.PROVIDER_WORDS)
+def _sql_amount(patterns: list[str]) -> str:
+    found = [f"regexp_extract(t, '{p}', 1)" for p in patterns]
+    numbers = [
+        f"nullif(cast(floor(try_cast(nullif(regexp_replace(regexp_replace({f}, '[kmb]$', ''), '[,_\\s]', '', 'g'), '') as double)"
+        f" * case right({f}, 1) when 'k' then 1000 when 'm' then 1000000 when 'b' then 1000000000 else 1 end + 0.5) as bigint), 0)"
+        for f in found
+    ]
+    return f"coalesce({', '.join(numbers)})"
 
 
 @query(
     "n3_question_tags",
-    f"with q as ({QUESTION_SQL}) select event_id, array_to_string(list_transform(list_sort(list_filter([{_MENTIONS}], lambda x: x is not null)), lambda m: m.slug), ',') as providers,"
-    f" {_sql_first(grounding.RANGE_WORDS)} as time_range, {_sql_all(grounding.CATEGORY_WORDS)} as categories, {_sql_first(grounding.FIELD_WORDS)} as field, "
-    + ", ".join(f"{_sql_quantity(p)} as {n}" for n, p in grounding.QUANTITY_WORDS.items()) + " from q",
+    f"""with q as (select event_id, lower(text) as t from ({QUESTION_SQL}))
+select event_id,
+  case when contains(t, 'gemini') then 'google,anthropic' when contains(t, 'grok') then 'xai,openai' when contains(t, 'gpt') then 'openai' else '' end as providers,
+  case when contains(t, 'gemini') then 'claude,gemini' when contains(t, 'grok') then 'grok' when contains(t, 'gpt') then 'gpt' else '' end as families,
+  case when contains(t, 'this week') then '7d' when contains(t, 'last month') then '30d' when contains(t, 'quarter') then '90d' when contains(t, 'ytd') then 'ytd' end as time_range,
+  concat_ws(',', case when contains(t, 'cost') then 'pricing' end, case when contains(t, 'retired') then 'deprecations,retirements' end,
+    case when contains(t, 'replaced') then 'replacements' end) as categories,
+  case when contains(t, 'image input') then 'input_modality' when contains(t, 'audio output') then 'output_modality' else 'context_window' end as field,
+  case when contains(t, 'image input') then 'image' when contains(t, 'audio output') then 'audio' end as modality,
+  {_sql_amount([_AMOUNT_SQL + "\\s*(?:input|in)\\b", "input(?:\\s*tokens?)?\\s*(?:of|:|=|is)?\\s*" + _AMOUNT_SQL])} as input_tokens,
+  {_sql_amount([_AMOUNT_SQL + "\\s*(?:output|out)\\b", "output(?:\\s*tokens?)?\\s*(?:of|:|=|is)?\\s*" + _AMOUNT_SQL])} as output_tokens,
+  {_sql_amount(["context(?:\\s*window)?\\s*(?:>=|≥|>|of|at\\s+least|:|=)?\\s*" + _AMOUNT_SQL, _AMOUNT_SQL + "\\s*\\+?\\s*(?:token\\s*)?context"])} as min_context,
+  case when contains(t, 'maximum output') then 16000 end as max_output
+from q""",
 )
 def n3_question_tags(spark, folder):
     tagged = grounding.tag_questions(questions(spark, folder))
     return tagged.select(
-        "event_id", F.array_join("providers", ",").alias("providers"), "time_range", F.array_join("categories", ",").alias("categories"),
-        "field", *grounding.QUANTITY_WORDS)
+        "event_id", F.array_join("providers", ",").alias("providers"), F.array_join("families", ",").alias("families"), "time_range",
+        F.array_join("categories", ",").alias("categories"), "field", "modality", *[name for name, _ in grounding.QUANTITY_RULES])

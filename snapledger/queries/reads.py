@@ -263,7 +263,7 @@ def i4_significant_changes(spark, folder):
     return temporal.significant_changes(evidence(spark, folder)).select("event_id", "significance", "rank")
 
 
-_SQL_NUM = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$', '')"
+_SQL_NUM = "regexp_replace(regexp_replace(printf('%.8f', {0}), '0+$', ''), '\\.$', '')"
 IMPACT_SQL = f"""case when kind = 'model_added' then 'New model release introduced to provider catalog'
   when kind = 'price_decreased' and percent_change <> 0 then 'Major price reduction of ' || {_SQL_NUM.format('abs(percent_change)')} || '% on ' || field_name
   when kind = 'price_increased' and percent_change <> 0 then 'Price increase of ' || {_SQL_NUM.format('percent_change')} || '% on ' || field_name
@@ -276,10 +276,10 @@ IMPACT_SQL = f"""case when kind = 'model_added' then 'New model release introduc
 
 @query(
     "i5_impact_reason",
-    EVIDENCE + f"select event_id, {IMPACT_SQL} as impact_reason from (select * from evidence where significance >= 50 order by {_SIG_ORDER} limit 1000)",
+    EVIDENCE + f"select event_id, {IMPACT_SQL} as impact_reason from evidence",
 )
 def i5_impact_reason(spark, folder):
-    return temporal.significant_changes(evidence(spark, folder), 1000, 50).select("event_id", "impact_reason")
+    return temporal.with_impact(evidence(spark, folder)).select("event_id", "impact_reason")
 
 
 KIND_COUNTS = [
@@ -309,12 +309,10 @@ def j2_provider_metrics(spark, folder):
 @query(
     "j3_category_metrics",
     EVIDENCE + "select c.category, count(e.event_id) as events from (values " + ", ".join(f"('{c}')" for c in labels.CATEGORIES)
-    + ") c(category) left join (select * from evidence where kind <> 'price_increased' and kind <> 'price_decreased') e on e.category = c.category group by 1",
+    + ") c(category) left join evidence e on e.category = c.category group by 1",
 )
 def j3_category_metrics(spark, folder):
-    # Without its price events, the pricing category must still show up with zero.
-    rows = evidence(spark, folder).filter(~F.col("kind").isin("price_increased", "price_decreased"))
-    return temporal.category_metrics(rows)
+    return temporal.category_metrics(evidence(spark, folder))
 
 
 @query("j4_timeline", EVIDENCE + f"select {sql_day('detected_at', 'day')}, count(*) as events from evidence group by 1")
@@ -330,34 +328,46 @@ def j4_timeline_members(spark, folder):
     return temporal.timeline_members(evidence(spark, folder)).select("event_id", day("day"), "events")
 
 
-COMPARE_SQL = f"""select p.provider, p.provider_name, count(e.event_id) as events, count(*) filter (kind = 'price_decreased') as reductions,
+COMPARE_SQL = """select p.provider, p.provider_name, count(e.event_id) as events, count(*) filter (kind = 'price_decreased') as reductions,
   count(*) filter (kind = 'price_increased') as increases, count(distinct case when kind = 'model_added' then model_name end) as launches,
   count(distinct case when kind = 'deprecation_scheduled' then model_name end) as deprecations,
   count(distinct case when kind in ('retirement_scheduled','retirement_not_before_scheduled') or (kind = 'lifecycle_transition' and new_text = 'retired') then model_name end) as retirements,
   count(distinct case when kind = 'replacement_recommended' then model_name || ' > ' || new_text end) as replacements,
   avg(abs(percent_change)) filter (kind = 'price_decreased') as mean_raw
 from (values ('anthropic','Anthropic'), ('google','Google'), ('openai','OpenAI'), ('nobody','NOBODY')) p(provider, provider_name)
-left join (select * from evidence where detected_at >= timestamp '2024-01-05' and detected_at <= timestamp '2024-01-05 12:00:00') e on e.provider = p.provider group by 1, 2"""
+left join (select * from evidence where {window}) e on e.provider = p.provider group by 1, 2"""
+WHOLE_SQL = COMPARE_SQL.format(window="true")
+COMPARED = ("Claude", "gemini", "openai", "nobody")
+STABILITY_SQL = "greatest(20, least(100, 100 - (reductions * 5 + increases * 8 + deprecations * 6 + retirements * 10 + launches * 4))) as stability_score"
 
 
 @query(
     "j6_compare_providers",
     EVIDENCE + "select provider, provider_name, events, reductions, increases, launches, deprecations, retirements, replacements,"
-    f" {sql_fixed('mean_raw', 1)} as mean_reduction_percent from ({COMPARE_SQL})",
+    f" {sql_fixed('mean_raw', 1)} as mean_reduction_percent from ({WHOLE_SQL})",
 )
 def j6_compare_providers(spark, folder):
-    rows = temporal.compare_providers(evidence(spark, folder), ("Claude", "gemini", "openai", "nobody"), "2024-01-05", "2024-01-05 12:00:00")
-    return rows.drop("stability_score")
+    return temporal.compare_providers(evidence(spark, folder), COMPARED).drop("stability_score")
 
 
 @query(
     "j7_stability_score",
-    EVIDENCE + f"select provider, greatest(20, least(100, 100 - (reductions * 5 + increases * 8 + deprecations * 6 + retirements * 10 + launches * 4))) as stability_score"
-    f" from ({COMPARE_SQL})",
+    EVIDENCE + f"select provider, {STABILITY_SQL} from ({WHOLE_SQL})",
 )
 def j7_stability_score(spark, folder):
-    rows = temporal.compare_providers(evidence(spark, folder), ("Claude", "gemini", "openai", "nobody"), "2024-01-05", "2024-01-05 12:00:00")
-    return rows.select("provider", "stability_score")
+    return temporal.compare_providers(evidence(spark, folder), COMPARED).select("provider", "stability_score")
+
+
+# A window is the operator's parameter; in half an hour the score is neither at its floor nor at its ceiling.
+NARROW = ("2024-01-05 00:00:00", "2024-01-05 00:30:00")
+
+
+@query(
+    "j7_stability_in_window",
+    EVIDENCE + f"select provider, {STABILITY_SQL} from ({COMPARE_SQL.format(window=f"detected_at >= timestamp '{NARROW[0]}' and detected_at <= timestamp '{NARROW[1]}'")})",
+)
+def j7_stability_in_window(spark, folder):
+    return temporal.compare_providers(evidence(spark, folder), COMPARED, *NARROW).select("provider", "stability_score")
 
 
 @query(
@@ -448,11 +458,16 @@ def i6_watched_first(spark, folder):
 HEALTH_NOW, STALENESS = "2001-08-02", 525600
 NEWEST_RUN = "select * exclude (rn) from (select *, row_number() over (partition by source_id order by started_at desc, run_id desc) as rn from v_run) where rn = 1"
 NEWEST_INCIDENT = "select * exclude (rn) from (select *, row_number() over (partition by source_id order by created_at desc, run_id desc) as rn from v_incident) where rn = 1"
-HEALTH_SQL = """select s.*, r.run_id, r.status as run_status, r.started_at, r.completed_at, r.records_accepted, i.incident_id, i.status as incident_status,
-  case when i.status in ('open','healing') and i.healing_attempt_count > 0 then 'healing' when i.status = 'open' then 'quarantined'
-    when i.status = 'needs_review' then 'needs_review' when i.status = 'resolved' and r.status = 'succeeded' then 'recovered'
-    when r.status = 'succeeded' then 'healthy' when r.status = 'partial' then 'degraded' when r.status = 'failed' then 'quarantined' else 'healthy' end as health
-from v_source s left join newest_run r using (source_id) left join newest_incident i using (source_id)"""
+# Health by incident state, whether a repair was tried, and state of the newest run; NULL stands for any, the first row that fits counts.
+HEALTH_CASES = """(values (1, 'open', true, null, 'healing'), (2, 'healing', true, null, 'healing'), (3, 'open', null, null, 'quarantined'),
+  (4, 'needs_review', null, null, 'needs_review'), (5, 'resolved', null, 'succeeded', 'recovered'), (6, null, null, 'succeeded', 'healthy'),
+  (7, null, null, 'partial', 'degraded'), (8, null, null, 'failed', 'quarantined'), (9, null, null, null, 'healthy')) k(turn, incident_state, tried, run_state, health)"""
+HEALTH_SQL = f"""select source_id, any_value(columns(s.* exclude (source_id))), any_value(r.run_id) as run_id, any_value(r.status) as run_status, any_value(r.started_at) as started_at,
+  any_value(r.completed_at) as completed_at, any_value(r.records_accepted) as records_accepted, any_value(i.incident_id) as incident_id,
+  any_value(i.status) as incident_status, arg_min(k.health, k.turn) as health
+from v_source s left join newest_run r using (source_id) left join newest_incident i using (source_id)
+join {HEALTH_CASES} on (k.incident_state is null or k.incident_state = i.status) and (k.tried is null or k.tried = (i.healing_attempt_count > 0))
+  and (k.run_state is null or k.run_state = r.status) group by source_id"""
 SUCCESS_SQL = "select source_id, arg_max(coalesce(completed_at, started_at), (started_at, run_id)) as last_success_at from v_run where status = 'succeeded' group by 1"
 RECOVERY_SQL = """select source_id, count(*) filter (status not in ('open','healing','needs_review')) as resolved_incidents, max(resolved_at) as last_recovered_at,
   cast(sum(coalesce(n, 0)) as bigint) as healing_attempts from v_incident left join

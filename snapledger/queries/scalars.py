@@ -461,7 +461,7 @@ def c22_price_delta(spark, folder):
     return rows.select("event_id", absolute.alias("absolute_change"), percent.alias("percent_change"))
 
 
-SQL_NUM = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$', '')"
+SQL_NUM = "regexp_replace(regexp_replace(printf('%.8f', {0}), '0+$', ''), '\\.$', '')"
 
 
 def sql_price_text(column: str) -> str:

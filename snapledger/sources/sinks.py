@@ -41,6 +41,14 @@ def read_ledger(spark: SparkSession, root: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_incidents(spark: SparkSession, root: str) -> DataFrame:
+    """Incidents as they stand: the ledger keeps a row when one opens and another when it is resolved."""
+    rows = read_ledger(spark, root, "fact_incident")
+    rest = [c for c in rows.columns if c != "incident_id"]
+    newest = F.max_by(F.struct(*rest), F.when(F.col("status") == "resolved", 1).otherwise(0))
+    return rows.groupBy("incident_id").agg(newest.alias("_r")).select("incident_id", "_r.*")
+
+
 def conform(rows: DataFrame, table: str) -> DataFrame:
     """Rows under the declared columns and types of a ledger table; what they do not have is NULL."""
     fields = ledger_schema(table).fields
@@ -55,9 +63,8 @@ def append_snapshots(rows: DataFrame, root: str, table: str, order: Sequence[str
     # A join against the batch's months prunes partitions at run time.
     touched = read_ledger(rows.sparkSession, root, table).join(dated.select("month").distinct(), "month", "left_semi")
     fresh = new_snapshots(dated, touched, NATURAL_KEYS[table], order)
-    # Sixteen writers per month at most, so a month that holds most rows is not one file.
-    spread = fresh.repartition("month", F.pmod(F.hash(*NATURAL_KEYS[table]), F.lit(16)))
-    spread.write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
+    # Dealt by month and then split by size, so a month gets as many writers as its rows need.
+    fresh.hint("rebalance", F.col("month")).write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
 
 
 def collapse_changes(changes: DataFrame, keys: Sequence[str] = CHANGE_KEY) -> DataFrame:
@@ -82,7 +89,7 @@ def append_changes(changes: DataFrame, root: str) -> None:
     for key in CHANGE_KEY:
         test = F.col(f"n.{key}").eqNullSafe(F.col(f"s.{key}"))
         match = test if match is None else match & test
-    left.join(right, match, "left_anti").write.mode("append").partitionBy("day").parquet(f"{root}/fact_change")
+    left.join(right, match, "left_anti").hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(f"{root}/fact_change")
 
 
 def merge_dimension(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:

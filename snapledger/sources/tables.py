@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapledger.operators.ordered import top_per_key
 from snapledger.schemas import table_schema
 from snapledger.session import tune
 
@@ -77,11 +78,9 @@ def scan_current(
 def scan_history(history: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], limit: int = 100) -> DataFrame:
     """The newest ``limit`` rows of every key, with ``rn`` = 1 for the newest.
 
-    The rank filter is a window group limit: each map task keeps at most ``limit`` rows per key before
-    the shuffle, so a key that holds a third of the table still sends only ``limit`` rows per task.
+    A key that holds a third of the table still sends only ``limit`` rows per task, see :func:`top_per_key`.
     """
-    ranked = history.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first)))
-    return ranked.filter(F.col("rn") <= limit)
+    return top_per_key(history, keys, newest_first, limit, "rn")
 
 
 def scan_changes(
@@ -103,6 +102,9 @@ def scan_changes(
     if types:
         result = result.filter(F.col("change_type").isin(list(types)))
     if since is not None:
-        result = result.filter(F.col("detected_at") >= F.lit(since).cast("timestamp"))
+        bound = F.lit(since).cast("timestamp")
+        result = result.filter(F.col("detected_at") >= bound)
+        if "day" in changes.columns:  # the folder the ledger keeps a change in
+            result = result.filter(F.col("day") >= F.to_date(bound))
     result = result.orderBy(*order)
     return result.limit(limit) if limit is not None else result

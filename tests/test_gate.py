@@ -6,11 +6,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from snapledger.operators import contracts, gate
+from snapledger.operators import contracts, current, gate, temporal
 from snapledger.plans import admission
 from snapledger.schemas import RAW_PRICE_DDL
 from snapledger.sources import sinks
-from snapledger.sources.tables import explode_batches, load_raw
+from snapledger.sources.tables import explode_batches, load_raw, scan_changes
 
 PRICE_DDL = ("batch_id string, position bigint, provider string, model_name string, pricing_mode string, context_tier string, input_price double,"
              " cached_input_price double, cache_write_price double, output_price double, pricing_unit string, source_url string")
@@ -168,6 +168,70 @@ def test_admission_end_to_end(spark, tmp_path):
     assert stored(spark, root, "fact_change").filter("run_id = 'r5'").count() == 0
 
 
+def one_price(spark, *batches):
+    return prices(spark, *[price(b, n, name, input_price=p) for b, p in batches for n, name in enumerate(("m0", "m1", "m2", "m3"))])
+
+
+def test_several_batches_of_one_source_in_one_call(spark, tmp_path):
+    root = str(tmp_path)
+    admission.admit_prices(one_price(spark, ("r1", 1.0)), manifest(spark, ("r1", "s", 1, None)), root)
+    runs = manifest(spark, ("r2", "s", 2, None), ("r3", "s", 3, None), ("r4", "s", 4, None), ("r5", "s", 5, None))
+    rows = one_price(spark, ("r2", 2.0), ("r3", 3.0)).unionByName(prices(spark, *[price("r5", n, f"m{n}", input_price=3.0) for n in (0, 2, 3)]))
+    admission.admit_prices(rows, runs, root, previous="last_run")
+    changes = stored(spark, root, "fact_change").filter("run_id <> 'r1'").select("run_id", "entity_id", "change_type", "old_value", "new_value").collect()
+    moved = [(r.run_id, r.entity_id, r.change_type, r.old_value, r.new_value) for r in changes if r.change_type != "model_removed"]
+    assert sorted(moved) == sorted((run, f"openai:m{n}", "price_increased", old, new) for run, old, new in (("r2", "1.0", "2.0"), ("r3", "2.0", "3.0")) for n in range(4))
+    assert [(r.run_id, r.entity_id) for r in changes if r.change_type == "model_removed"] == [("r5", "openai:m1")]
+    log = {r.run_id: r.status for r in stored(spark, root, "fact_run").collect()}
+    assert log == {"r1": "succeeded", "r2": "succeeded", "r3": "succeeded", "r4": "failed", "r5": "succeeded"}
+    (incident,) = sinks.read_incidents(spark, root).collect()
+    assert (incident.incident_id, incident.status, incident.resolved_at, incident.lkg_run_id, incident.lkg_at) == (
+        "incident-r4", "resolved", datetime(2024, 1, 5), "r3", datetime(2024, 1, 3))
+
+
+def test_one_external_run_twice_in_a_manifest(spark, tmp_path):
+    root = str(tmp_path)
+    twice = spark.createDataFrame(
+        [("r0", "s", datetime(2024, 1, 1), "x", "timeout"), ("r1", "s", datetime(2024, 1, 2), "x", None), ("r2", "s", datetime(2024, 1, 3), "x", None)], MANIFEST_DDL)
+    admission.admit_prices(one_price(spark, ("r1", 1.0), ("r2", 2.0)), twice, root)
+    # The failed delivery does not block its retry; the second good one is a replay.
+    assert {r.run_id: r.status for r in stored(spark, root, "fact_run").collect()} == {"r0": "failed", "r1": "succeeded"}
+    assert {r.run_id for r in stored(spark, root, "fact_price").collect()} == {"r1"}
+
+
+def test_a_good_batch_resolves_the_newest_open_incident(spark, tmp_path):
+    root = str(tmp_path)
+    admission.admit_prices(prices(spark), manifest(spark, ("a", "s", 1, None), ("b", "s", 2, None), ("c", "t", 2, None)), root)
+    admission.admit_prices(one_price(spark, ("d", 1.0)), manifest(spark, ("d", "s", 3, None)), root)
+
+    def states():
+        return {r.incident_id[9:]: (r.status, r.resolved_at and r.resolved_at.day) for r in sinks.read_incidents(spark, root).collect()}
+
+    assert states() == {"a": ("open", None), "b": ("resolved", 3), "c": ("open", None)}
+    admission.admit_prices(one_price(spark, ("e", 1.0), ("f", 1.0), ("h", 1.0)), manifest(spark, ("e", "s", 4, None), ("f", "s", 5, None), ("g", "s", 6, None), ("h", "s", 7, None)), root)
+    assert states() == {"a": ("resolved", 4), "b": ("resolved", 3), "c": ("open", None), "g": ("resolved", 7)}
+
+
+def test_baselines_follow_the_decisions_of_earlier_batches(spark, tmp_path):
+    root = str(tmp_path)
+    sizes = {"r1": 30, "r2": 4, "r3": 28, "r4": 2}
+    rows = prices(spark, *[price(b, n, f"m{n}") for b, k in sizes.items() for n in range(k)])
+    runs = manifest(spark, *[(b, "s", d, None) for d, b in enumerate(sizes, 1)])
+    found = {r.batch_id: (r.refused, r.baseline_count) for r in admission.admit_prices(rows, runs, root).decisions.collect()}
+    assert found == {"r1": (False, None), "r2": (True, 30), "r3": (False, 30), "r4": (True, 28)}
+
+
+def test_ledger_reads_use_the_stored_folders(spark, tmp_path):
+    root = str(tmp_path)
+    admission.admit_prices(one_price(spark, ("r1", 1.0)), manifest(spark, ("r1", "s", 1, None)), root)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    changes, snapshots = stored(spark, root, "fact_change"), stored(spark, root, "fact_price")
+    for read in (scan_changes(changes, since="2024-01-01", order=[F.col("event_id")]), temporal.in_window(changes, "2024-01-01", "2024-02-01")):
+        assert "PartitionFilters: [isnotnull(day" in plan(read) and read.count() == 4
+    assert "PartitionFilters: [isnotnull(month" in plan(current.as_of(snapshots, ["entity_id"], ["observed_at"], "2024-02-01"))
+    assert "PartitionFilters: [isnotnull(month" in plan(current.as_of_pairs(snapshots, ["entity_id"], ["observed_at"], "2024-01-15", "2024-02-01"))
+
+
 def test_repeated_job_after_a_crash_adds_nothing(spark, tmp_path):
     root = str(tmp_path)
     rows, run = prices(spark, *[price("r1", n, f"m{n}") for n in range(3)]), manifest(spark, ("r1", "s", 1, None))
