@@ -15,10 +15,8 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from snapledger.llm.common import cut
 
@@ -41,12 +39,19 @@ def splitters(keyed: DataFrame, total: int, ranges: int, per_range: int = 32) ->
     return np.unique(sample["_key"].to_numpy()[np.minimum(at, len(mass) - 1)])
 
 
-def _locate(cuts: np.ndarray):
-    @arrow_udf("long")
-    def locate(keys: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, keys.to_numpy(zero_copy_only=False), side="right").astype(np.int64))
+def _locate(cuts: np.ndarray, key, step: int = 32):
+    """Number of splitters at or below the key: first among every ``step``-th of them, then in the stretch that is left."""
+    if not len(cuts):
+        return F.lit(0).cast("long")
 
-    return locate
+    def held(values) -> F.Column:
+        return F.lit([int(v) for v in values]).cast("array<bigint>")
+
+    def below(values) -> F.Column:
+        return F.size(F.filter(values, lambda x: x <= key))
+
+    start = below(held(cuts[step - 1 :: step])) * step
+    return (start + below(F.slice(held(cuts), start + 1, F.lit(step)))).cast("long")
 
 
 def shard(
@@ -68,7 +73,7 @@ def shard(
     ranges = shards * ranges_per_shard
     cuts = splitters(keyed, total, ranges)
     target, share = max(1.0, total / ranges), max(1.0, total / shards)
-    placed = cut(keyed.withColumn("_range", _locate(cuts)("_key")))
+    placed = cut(keyed.withColumn("_range", _locate(cuts, F.col("_key"))))
     sums = {r["_range"]: r["_bytes"] for r in placed.groupBy("_range").agg(F.sum("_size").alias("_bytes")).collect()}
     # Overfull ranges: texts that hold most of a range by themselves leave it.
     overfull = [k for k, b in sums.items() if b > 1.5 * target]

@@ -4,7 +4,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-from snapledger.llm.sharding import shard
+import numpy as np
+from pyspark.sql import functions as F
+
+from snapledger.llm.sharding import _locate, shard
 
 
 def check(spark, rows, shards=8, slack=0.1):
@@ -57,3 +60,12 @@ def test_more_pieces_change_nothing_but_slots(spark):
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_ranges_are_found_as_by_bisection(spark):
+    rng = np.random.default_rng(1)
+    keys = spark.range(0, 400).selectExpr("xxhash64(id) as k").unionByName(spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (5,)], "k long"))
+    for n in (0, 1, 31, 32, 33, 64, 511):
+        cuts = np.unique(np.append(rng.integers(-(1 << 63), (1 << 63) - 1, max(0, n - 1)), [5][:n]))
+        for r in keys.withColumn("at", _locate(cuts, F.col("k"))).collect():
+            assert r["at"] == np.searchsorted(cuts, r["k"], side="right")
