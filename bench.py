@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -29,7 +30,8 @@ def main() -> None:
     from snapledger.session import local_session
 
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, os.environ.get("BENCH_MEMORY", "16g"))
+    shared = tempfile.TemporaryDirectory(prefix="bench-checkpoints-")  # gone when the run ends
+    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, os.environ.get("BENCH_MEMORY", "16g"), shared.name)
     # The first job pays for JVM and code generation start-up; it is not part of any query.
     REGISTRY["g1_latest_price"].build(spark, folder).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}

@@ -187,17 +187,27 @@ def open_incidents(decisions: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 
 def resolve_incidents(incidents: DataFrame, admitted_runs: DataFrame) -> DataFrame:
-    """The newest open incident of each source and the first admitted run after it, which resolves it.
-
-    Only one incident per source takes part, so the join is one row against a source's runs.
-    """
+    """The newest open incident of each source and the first admitted run after it, which resolves it."""
     newest = incidents.filter(F.col("status").isin(*OPEN_STATES)).groupBy("source_id").agg(
         F.max_by(F.struct("incident_id", "created_at"), F.struct("created_at", "run_id")).alias("i")
     )
-    later = admitted_runs.join(newest, "source_id").filter(F.col("started_at") >= F.col("i.created_at"))
-    return later.groupBy("source_id", "i.incident_id").agg(
-        F.min_by(F.struct("run_id", "started_at"), F.struct("started_at", "run_id")).alias("r")
-    ).select("source_id", "incident_id", F.col("r.run_id").alias("resolved_by"), F.col("r.started_at").alias("resolved_at"))
+    first = first_run_from(admitted_runs, newest.select("source_id", F.col("i.created_at").alias("bound")))
+    return newest.join(first, "source_id").select(
+        "source_id", "i.incident_id", F.col("r.run_id").alias("resolved_by"), F.col("r.started_at").alias("resolved_at"))
+
+
+def first_run_from(runs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The first run ``r`` of each source at or after its ``bound`` (source_id, bound).
+
+    Runs are first reduced to one per source and day; only the day of the bound is read run by run. So the runs of a busy source
+    never meet in one task.
+    """
+    pick = F.min_by(F.struct("run_id", "started_at"), F.struct("started_at", "run_id")).alias("r")
+    dated = runs.select("source_id", "run_id", "started_at", F.to_date("started_at").alias("_day"))
+    bound_day = F.to_date("bound")
+    whole = dated.groupBy("source_id", "_day").agg(pick).join(bounds, "source_id").filter(F.col("_day") > bound_day).select("source_id", "r.*")
+    same = dated.join(bounds.withColumn("_day", bound_day), ["source_id", "_day"]).filter(F.col("started_at") >= F.col("bound"))
+    return whole.unionByName(same.select("source_id", "run_id", "started_at")).groupBy("source_id").agg(pick)
 
 
 def recovery_runs(incidents: DataFrame, runs: DataFrame) -> DataFrame:
@@ -207,12 +217,8 @@ def recovery_runs(incidents: DataFrame, runs: DataFrame) -> DataFrame:
         F.max_by(F.struct("incident_id", "run_id", "resolved_at"), F.struct("resolved_at", "run_id")).alias("i")
     )
     usable = runs.filter(F.col("status").isin("succeeded", "partial") & (F.col("records_accepted") > 0))
-    after = usable.join(newest, "source_id").filter(
-        (F.col("started_at") >= F.col("i.resolved_at")) & (F.col("run_id") != F.col("i.run_id"))
-    )
-    first = after.groupBy("source_id").agg(
-        F.min_by(F.struct("run_id", "started_at"), F.struct("started_at", "run_id")).alias("r")
-    )
+    others = usable.join(newest.select("source_id", F.col("i.run_id").alias("run_id")), ["source_id", "run_id"], "left_anti")
+    first = first_run_from(others, newest.select("source_id", F.col("i.resolved_at").alias("bound")))
     return newest.join(first, "source_id", "left").select(
         "source_id", "i.incident_id", "i.resolved_at", F.col("r.run_id").alias("recovery_run"), F.col("r.started_at").alias("recovered_at")
     )

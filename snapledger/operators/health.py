@@ -112,13 +112,20 @@ def fleet_counts(view: DataFrame) -> DataFrame:
 def consecutive_failures(runs: DataFrame) -> DataFrame:
     """Finished, unsuccessful runs per source since its last success.
 
-    Two aggregates instead of a running window: the last success per source, then a count after it.
+    Runs are first summed per source and day; only the day of the last success is read run by run. So the runs of a busy source
+    never meet in one task.
     """
     order = F.struct("started_at", "run_id")
-    last = runs.filter(F.col("status") == "succeeded").groupBy("source_id").agg(F.max(order).alias("_ok"))
-    after = F.col("_ok").isNull() | (order > F.col("_ok"))
     counted = ~F.col("status").isin("running", "skipped", "succeeded")
-    return runs.join(last, "source_id", "left").groupBy("source_id").agg(F.count_if(after & counted).alias("consecutive_failures"))
+    dated = runs.withColumn("_day", F.to_date("started_at"))
+    days = dated.groupBy("source_id", "_day").agg(
+        F.count_if(counted).alias("_n"), F.max(F.when(F.col("status") == "succeeded", order)).alias("_ok_on_day"))
+    last = days.groupBy("source_id").agg(F.max("_ok_on_day").alias("_ok"))
+    later = F.col("_ok").isNull() | F.coalesce(F.col("_day") > F.to_date("_ok.started_at"), F.lit(False))
+    whole = days.join(last, "source_id").groupBy("source_id").agg(F.sum(F.when(later, F.col("_n")).otherwise(0)).alias("_n"))
+    bound = last.filter(F.col("_ok").isNotNull()).withColumn("_day", F.to_date("_ok.started_at"))
+    same = dated.join(bound, ["source_id", "_day"]).filter(counted & (order > F.col("_ok"))).groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    return whole.unionByName(same).groupBy("source_id").agg(F.sum("_n").alias("consecutive_failures"))
 
 
 def attempt_summary(runs: DataFrame, alert_after: int = 3) -> DataFrame:

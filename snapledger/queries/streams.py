@@ -52,17 +52,19 @@ def s1_streaming_admission(spark, folder):
     return spark.read.parquet(f"{root}/rows").drop("micro")
 
 
-@query("s2_replay_dedupe", cte("v_run_header") + "select distinct source_id, external_run_id from v_run_header")
+@query(
+    "s2_replay_dedupe",
+    cte("v_run_header") + "select distinct source_id, external_run_id, true as ended_well from v_run_header where status in ('succeeded', 'partial')"
+    " union all select source_id, external_run_id, false from v_run_header where status not in ('succeeded', 'partial')",
+)
 def s2_replay_dedupe(spark, folder):
     root = scratch(spark, "replay")
-    orders = table_stream(spark, folder, "orders")
-    runs = orders.select(
-        F.col("o_custkey").alias("source_id"), F.concat(F.lit("x"), F.date_format("o_orderdate", "yyyy-MM")).alias("external_run_id"),
-        F.col("o_orderdate").alias("started_at"))
+    runs = views.run_headers(spark, folder, table_stream(spark, folder, "orders"))
     kept = jobs.first_delivery(runs)
     writer = kept.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").start(f"{root}/rows").awaitTermination()
-    return spark.read.parquet(f"{root}/rows").select("source_id", "external_run_id")
+    ended_well = F.col("status").isin("succeeded", "partial").alias("ended_well")
+    return spark.read.parquet(f"{root}/rows").select("source_id", "external_run_id", ended_well)
 
 
 @query("s3_daily_counts", EVIDENCE + f"select {sql_day('detected_at', 'day')}, provider, category, count(*) as events from evidence group by 1, 2, 3")
@@ -70,8 +72,8 @@ def s3_daily_counts(spark, folder):
     root = scratch(spark, "daily")
     events = table_stream(spark, folder, "events")
     counts = jobs.daily_counts(build_evidence(views.changes(spark, folder, events)))
-    jobs.write_latest(counts, f"{root}/rows", f"{root}/checkpoint")
-    return jobs.newest_version(spark, f"{root}/rows").select(day("day"), "provider", "category", "events")
+    jobs.write_updates(counts, f"{root}/rows", f"{root}/checkpoint")
+    return jobs.newest_rows(spark, f"{root}/rows", ["day", "provider", "category"]).select(day("day"), "provider", "category", "events")
 
 
 @query("s4_state_changes", REGISTRY["f9_price_history_changes"].sql)
@@ -94,5 +96,6 @@ from (select source_id, max(started_at) as last_start, cast(floor((epoch_us(time
 def s5_silent_sources(spark, folder):
     root = scratch(spark, "silent")
     runs = views.run_headers(spark, folder, table_stream(spark, folder, "orders"))
-    jobs.staleness_stream(runs, f"{root}/rows", f"{root}/checkpoint", lambda: lit_ts("2001-08-02"), F.lit(43200), F.lit(525600))
-    return jobs.newest_version(spark, f"{root}/rows").select("source_id", "freshness", "age_minutes", "overdue")
+    jobs.starts_stream(runs, f"{root}/rows", f"{root}/checkpoint")
+    judged = jobs.silent_now(spark, f"{root}/rows", lit_ts("2001-08-02"), F.lit(43200), F.lit(525600))
+    return judged.select("source_id", "freshness", "age_minutes", "overdue")

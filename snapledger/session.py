@@ -24,8 +24,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and the local benchmark."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoints: str | None = None) -> SparkSession:
+    """Session for tests and the local benchmark; ``checkpoints`` is the folder for ``spark.checkpoint.dir``."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("snapledger")
@@ -33,7 +33,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)

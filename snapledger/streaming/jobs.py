@@ -50,13 +50,22 @@ def admission_stream(stream: DataFrame, admit: Callable[[DataFrame, int], object
     return run_batches(stream, lambda rows, batch_id: admit(rows, batch_id), checkpoint, available_now)
 
 
-def first_delivery(runs: DataFrame, delay: str = "40 days", keys: Sequence[str] = ("source_id", "external_run_id")) -> DataFrame:
-    """One row per external run while its repeats can still arrive within ``delay``; state older than that is dropped."""
-    return runs.withWatermark("started_at", delay).dropDuplicatesWithinWatermark(list(keys))
+def first_delivery(runs: DataFrame, delay: str = "40 days") -> DataFrame:
+    """One row per external run that ended well, while its repeats can still arrive within ``delay``; older state is dropped.
+
+    A run that failed, or has no external id, repeats nothing and blocks nothing: it passes, and so does its retry.
+    """
+    ended_well = F.col("status").isin("succeeded", "partial") & F.col("external_run_id").isNotNull()
+    delivery = F.when(ended_well, F.concat(F.lit("external/"), "external_run_id")).otherwise(F.concat(F.lit("run/"), F.col("run_id").cast("string")))
+    keyed = runs.withColumn("_delivery", delivery).withWatermark("started_at", delay)
+    return keyed.dropDuplicatesWithinWatermark(["source_id", "_delivery"]).drop("_delivery")
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events per UTC day, provider and category. Rows later than the watermark are dropped."""
+    """Events per UTC day, provider and category.
+
+    In update mode (see :func:`write_updates`) rows of days that the watermark has passed are dropped, and their state is freed.
+    """
     return (
         events.withWatermark("detected_at", delay)
         .groupBy(F.window("detected_at", "1 day").alias("w"), "provider", "category")
@@ -65,12 +74,17 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def write_latest(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete", available_now: bool = True) -> StreamingQuery:
-    """Keep the newest full result of an aggregate as a table. Its size is the number of groups."""
+def write_updates(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write the groups that each micro-batch changed. :func:`newest_rows` reads the result."""
     def step(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return run_batches(stream, step, checkpoint, available_now, mode)
+    return run_batches(stream, step, checkpoint, available_now, "update")
+
+
+def newest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last written row of every group."""
+    return latest(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
 
 def newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
@@ -135,11 +149,14 @@ def silent_sources(starts: DataFrame, now: Column, cadence_minutes: Column, max_
     })
 
 
-def staleness_stream(runs: DataFrame, path: str, checkpoint: str, clock: Callable[[], Column], cadence_minutes: Column,
-                     max_staleness_minutes: Column, available_now: bool = True) -> StreamingQuery:
-    """Judge all sources again with every micro-batch, also the ones it did not touch."""
-    def step(starts: DataFrame, batch_id: int) -> None:
-        judged = silent_sources(starts, clock(), cadence_minutes, max_staleness_minutes)
-        judged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def starts_stream(runs: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep the newest start and success of every source up to date; a micro-batch writes the sources it touched."""
+    return write_updates(last_starts(runs), path, checkpoint, available_now)
+
 
-    return run_batches(last_starts(runs), step, checkpoint, available_now, "complete")
+def silent_now(spark: SparkSession, path: str, now: Column, cadence_minutes: Column, max_staleness_minutes: Column) -> DataFrame:
+    """All sources of a :func:`starts_stream` judged at ``now``.
+
+    A batch to run on a timer: it needs no new rows, so a feed that has fallen silent altogether is reported too.
+    """
+    return silent_sources(newest_rows(spark, path, ["source_id"]), now, cadence_minutes, max_staleness_minutes)

@@ -49,23 +49,41 @@ def test_rows_older_than_the_state_are_ignored_and_repeats_replace(spark, tmp_pa
 
 
 def test_external_runs_are_processed_once(spark, tmp_path):
-    schema = "source_id string, external_run_id string, started_at timestamp"
+    schema = "run_id string, source_id string, external_run_id string, started_at timestamp, status string"
     start = datetime(2024, 1, 1)
     for day in range(3):
-        rows = [("s", "x1", start + timedelta(days=day)), ("s", f"y{day}", start + timedelta(days=day))]
+        at = start + timedelta(days=day)
+        # x1 comes three times; z fails at first, so its retry must pass, and is a repeat only after that.
+        rows = [(f"a{day}", "s", "x1", at, "succeeded"), (f"b{day}", "s", f"y{day}", at, "partial"), (f"c{day}", "s", "z", at, "failed" if day == 0 else "succeeded")]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     kept = jobs.first_delivery(jobs.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1))
     writer = kept.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
     writer.format("parquet").start(str(tmp_path / "out")).awaitTermination()
-    found = sorted(r.external_run_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert found == ["x1", "y0", "y1", "y2"]
+    found = sorted((r.external_run_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == [("x1", "succeeded"), ("y0", "partial"), ("y1", "partial"), ("y2", "partial"), ("z", "failed"), ("z", "succeeded")]
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    schema = "detected_at timestamp, provider string, category string"
+    for days in ([1, 1, 2], [8], [8], [2, 8, 9]):  # the second day is long past when it comes again
+        rows = [(datetime(2024, 1, d, 5), "p", "c") for d in days]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counts = jobs.daily_counts(jobs.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1), "1 day")
+    jobs.write_updates(counts, str(tmp_path / "out"), str(tmp_path / "cp"))
+    found = {r.day.day: r.events for r in jobs.newest_rows(spark, str(tmp_path / "out"), ["day", "provider", "category"]).collect()}
+    assert found == {1: 2, 2: 1, 8: 3, 9: 1}
 
 
 def test_silent_sources_are_judged_without_new_rows(spark, tmp_path):
     schema = "source_id string, status string, started_at timestamp"
     rows = [("quiet", "succeeded", datetime(2024, 1, 1)), ("busy", "succeeded", datetime(2024, 1, 9)), ("failing", "failed", datetime(2024, 1, 9))]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    now = lambda: F.lit("2024-01-10").cast("timestamp")
-    jobs.staleness_stream(jobs.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp"), now, F.lit(2880), F.lit(2880))
-    found = {r.source_id: (r.freshness, r.overdue) for r in jobs.newest_version(spark, str(tmp_path / "out")).collect()}
-    assert found == {"quiet": ("stale", True), "busy": ("fresh", False), "failing": ("unknown", False)}
+    jobs.starts_stream(jobs.read_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp"))
+
+    def judged(at):
+        rows = jobs.silent_now(spark, str(tmp_path / "out"), F.lit(at).cast("timestamp"), F.lit(2880), F.lit(2880)).collect()
+        return {r.source_id: (r.freshness, r.overdue) for r in rows}
+
+    assert judged("2024-01-10") == {"quiet": ("stale", True), "busy": ("fresh", False), "failing": ("unknown", False)}
+    # Nothing arrives any more: the next look reports all of them.
+    assert judged("2024-02-10") == {"quiet": ("stale", True), "busy": ("stale", True), "failing": ("unknown", True)}
