@@ -93,6 +93,7 @@ def is_flagship(name: Column, words: Sequence[str] = FLAGSHIP_WORDS) -> Column:
     return hit
 
 
+# The scores below, by kind of event and size of a price move.
 def significance(kind: Column, group: Column, percent: Column, name: Column) -> Column:
     """0 to 100: by type and flagship name, or by the size of a price move."""
     flagship, size = is_flagship(name), F.abs(percent)
@@ -116,6 +117,7 @@ def plain_number(value: Column) -> Column:
     return F.when(value.isNotNull(), text)
 
 
+# The wording of the sentences below.
 def sentence(kind, name, provider_name, field, old_text, new_text, old_num, new_num, percent) -> Column:
     """One sentence restating an event from its own values."""
     size = plain_number(F.abs(percent))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.operators import contracts, gate
@@ -86,12 +87,12 @@ def b8_english_date(spark, folder):
     "b9_lifecycle_contradictions",
     cte("v_lifecycle") + """select snapshot_id, retirement_date is not null and nb is not null as both_dates,
   not_before_observation = 'date' and nb is null as undated, not replacement_observed and rp is not null as unseen
-from (select *, case when replacement_observed then not_before_date else deprecated_on end as nb,
+from (select *, case when replacement_observed then coalesce(not_before_date, deprecated_on) end as nb,
   coalesce(replacement, 'r') as rp from v_lifecycle)""",
 )
 def b9_lifecycle_contradictions(spark, folder):
     rows = views.lifecycle_obs(spark, folder).withColumns({
-        "not_before_date": F.when(F.col("replacement_observed"), F.col("not_before_date")).otherwise(F.col("deprecated_on")),
+        "not_before_date": F.when(F.col("replacement_observed"), F.coalesce("not_before_date", "deprecated_on")),
         "replacement": F.coalesce("replacement", F.lit("r")),
     })
     both, undated, unseen = (c.broken for c in contracts.lifecycle_contradictions())
@@ -233,14 +234,29 @@ def d7_drift(spark, folder):
     return decisions(spark, folder).select("batch_id", "drift_type", F.round("drift_percent", 6).alias("drift_percent"))
 
 
-@query("d8_all_prices_null", GATE + "select batch_id, list_contains(codes, 'ALL_PRICES_NULL') as broken from decision")
+# The price contract rejects such records one by one, so a batch of its valid ones cannot break these invariants. A contract
+# without the record checks lets them through, as a user's own contract may.
+FIRSTS = cte("v_raw_price", firsts="select * from v_raw_price qualify row_number() over"
+             " (partition by batch_id, provider, model_name, pricing_mode, context_tier order by position) = 1")
+
+
+def _invariant_broken(raw: DataFrame, code: str) -> DataFrame:
+    price = contracts.price_contract()
+    loose = contracts.Contract("loose", price.key, (), price.invariants, price.limits)
+    rows = gate.batch_evidence(contracts.validate(raw, loose), loose)
+    return rows.select("batch_id", F.array_contains("record_codes", code).alias("broken"))
+
+
+@query("d8_all_prices_null", FIRSTS + "select batch_id, bool_and(context_tier = 'o') as broken from firsts group by 1")
 def d8_all_prices_null(spark, folder):
-    return decisions(spark, folder).select("batch_id", F.array_contains("reason_codes", "ALL_PRICES_NULL").alias("broken"))
+    unpriced = F.col("context_tier") == "o"
+    prices = {c: F.when(~unpriced, F.coalesce(c, F.lit(1.0))) for c in contracts.PRICES}
+    return _invariant_broken(views.raw_prices(spark, folder).withColumns(prices), contracts.NULL_PRICES)
 
 
-@query("d9_negative_price", GATE + "select batch_id, list_contains(codes, 'SEMANTIC_INVARIANT_VIOLATION') as broken from decision")
+@query("d9_negative_price", FIRSTS + "select batch_id, coalesce(bool_or(input_price < 0), false) as broken from firsts group by 1")
 def d9_negative_price(spark, folder):
-    return decisions(spark, folder).select("batch_id", F.array_contains("reason_codes", "SEMANTIC_INVARIANT_VIOLATION").alias("broken"))
+    return _invariant_broken(views.raw_prices(spark, folder), contracts.SEMANTIC)
 
 
 def _deprecations(spark, folder):
@@ -275,7 +291,7 @@ def d10_no_active_record(spark, folder):
 @query(
     "d11_vanished_fields",
     """select source || lang as batch_id, count(*) as records_seen,
-  bool_and(n_chars <= 500) as no_limits, bool_and(lang = 'es') as no_modalities from documents group by 1""",
+  bool_and(n_chars <= 3000) as no_limits, bool_and(lang = 'es') as no_modalities from documents group by 1""",
 )
 def d11_vanished_fields(spark, folder):
     documents = tables.load(spark, folder, "documents")
@@ -284,7 +300,7 @@ def d11_vanished_fields(spark, folder):
         F.concat(F.lit("m-"), F.col("doc_id")).alias("model_id"),
         F.lit("https://docs.example.com/m").alias("source_url"),
         F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("string").alias("capability_statement"),
-        F.when(F.col("n_chars") > 500, F.concat("n_chars", F.lit(" tokens"))).otherwise("varies").alias("context_window_raw"),
+        F.when(F.col("n_chars") > 3000, F.concat("n_chars", F.lit(" tokens"))).otherwise("varies").alias("context_window_raw"),
         F.when(F.col("lang") != "es", F.array(F.lit("Text"))).alias("input_modalities"),
     )
     contract = contracts.catalog_contract(needs_modalities=True)
@@ -334,15 +350,15 @@ def d16_severity(spark, folder):
     " union all select batch_id, position, 'quarantined' from marked where batch_id in (select batch_id from decision where refused)",
 )
 def d17_admit_split(spark, folder):
-    validated = validated_prices(spark, folder)
     ensure_checkpoint_dir(spark)
-    decided = decisions(spark, folder).select("batch_id", "refused").checkpoint()
-    kept = gate.admitted(contracts.first_valid(validated, contracts.price_contract()), decided)
-    refused = gate.quarantined(validated, decided)
-    return (
-        kept.select("batch_id", "position", F.lit("admitted").alias("outcome"))
-        .unionByName(refused.select("batch_id", "position", F.lit("quarantined").alias("outcome")))
-    )
+    contract = contracts.price_contract()
+    # Checked once; what decisions and duplicates need is kept, so the records are read and matched a single time.
+    slim = ["batch_id", "position", *contract.key, *contracts.PRICES, "schema_ok", "enum_fault"]
+    validated = validated_prices(spark, folder).select(*slim).checkpoint()
+    decided = gate.decide(manifest(spark, folder), gate.batch_evidence(validated, contract)).select("batch_id", "refused")
+    judged = contracts.mark_duplicates(validated, contract).join(decided, "batch_id")
+    outcome = F.when(F.col("refused"), "quarantined").when(F.col("accepted"), "admitted")
+    return judged.select("batch_id", "position", outcome.alias("outcome")).filter(F.col("outcome").isNotNull())
 
 
 @query(

@@ -290,7 +290,7 @@ def claim_texts(spark, folder):
     return events.select("event_id", "user_id", shown.alias("text"))
 
 
-def recorded_facts(spark, folder):
+def recorded_facts(spark, folder, scope="user_id"):
     events = tables.load(spark, folder, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     pairs = F.array(
@@ -298,7 +298,7 @@ def recorded_facts(spark, folder):
         F.when(k > 50, F.struct(F.lit("amount").alias("kind"), (k + F.lit(0.5).cast("double")).cast("string").alias("value"))),
         F.struct(F.lit("date").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("value")),
     )
-    return events.select("user_id", F.explode(F.array_compact(pairs)).alias("f")).select("user_id", "f.*")
+    return events.select(scope, F.explode(F.array_compact(pairs)).alias("f")).select(scope, "f.*")
 
 
 CLAIMS = f"with claim_text as ({CLAIM_SQL}), claims as ({SQL_CLAIMS})\n"
@@ -322,13 +322,14 @@ def n2_unsupported_claims(spark, folder):
 
 @query(
     "n2_grounded_sets",
-    CLAIMS + f"select user_id, count(v.value) as violations, count(v.value) = 0 as is_grounded from (select distinct user_id from claims) u left join ({UNSUPPORTED_SQL}) v using (user_id) group by 1",
+    CLAIMS + "select event_id, count(v.value) as violations, count(v.value) = 0 as is_grounded from (select distinct event_id from claims) u"
+    f" left join ({UNSUPPORTED_SQL.replace('user_id', 'event_id')}) v using (event_id) group by 1",
 )
 def n2_grounded_sets(spark, folder):
     texts = claim_texts(spark, folder)
-    claims = grounding.extract_claims(texts, ["event_id", "user_id"])
-    violations = grounding.unsupported_claims(claims, recorded_facts(spark, folder), "user_id")
-    return grounding.grounded(texts.select("user_id").distinct(), ["user_id"], violations)
+    claims = grounding.extract_claims(texts, ["event_id"])
+    violations = grounding.unsupported_claims(claims, recorded_facts(spark, folder, "event_id"), "event_id")
+    return grounding.grounded(texts.select("event_id").distinct(), ["event_id"], violations)
 
 
 QUESTION_SQL = """select event_id, (['Did Gemini or Claude models change','How much does GPT cost','Compare grok and OpenAI context window','Which models support image input','List maximum output of 16k, audio output'])[k % 5 + 1]

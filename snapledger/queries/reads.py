@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snapledger.functions import labels, text
-from snapledger.operators import explorer, health, provenance, temporal
+from snapledger.operators import details, explorer, health, provenance, temporal
 from snapledger.operators.ordered import global_rank, latest, top_k
 from snapledger.operators.temporal import TemporalQuery
 from snapledger.plans.explore import current_entries
@@ -567,12 +567,13 @@ RUN_HEALTH = "case run_status when 'succeeded' then 'healthy' when 'partial' the
 
 @query(
     "j9_provider_status",
-    HEALTH + f"select provider_id, case max(case s when 'down' then 3 when 'degraded' then 2 when 'healthy' then 1 else 0 end) when 3 then 'down' when 2 then 'degraded'"
+    HEALTH + f"select source_id // 4 as provider_id, case max(case s when 'down' then 3 when 'degraded' then 2 when 'healthy' then 1 else 0 end) when 3 then 'down' when 2 then 'degraded'"
     f" when 1 then 'healthy' else 'unknown' end as status, count(*) as sources, cast(sum(records_accepted) as bigint) as accepted_records from (select *, {RUN_HEALTH} as s from health) group by 1",
 )
 def j9_provider_status(spark, folder):
-    rows = health.provider_status(gate_health(spark, folder))
-    return rows.select("provider_id", "status", "sources", "accepted_records")
+    # Four sources a provider, so that the worst of them is not always the worst there is.
+    sources = gate_health(spark, folder).withColumn("provider_id", F.floor(F.col("source_id") / 4))
+    return health.provider_status(sources).select("provider_id", "status", "sources", "accepted_records")
 
 
 @query(
@@ -646,21 +647,18 @@ def l6_run_view(spark, folder):
 
 @query(
     "l8_source_detail",
-    cte("v_run", "v_price_obs") + f"""select source_id, 'run' as item, cast(run_id as varchar) as ref, cast(rn as int) as rn from (select *, row_number() over (partition by source_id order by started_at desc, run_id desc) as rn from v_run) where rn <= 5
+    cte("v_run", "v_price_obs", "v_incident", "v_repair") + f"""select source_id, 'incident' as item, incident_id as ref, cast(rn as int) as rn from (
+  select *, row_number() over (partition by source_id order by created_at desc, run_id desc) as rn from v_incident) where rn <= 5
+union all select source_id, 'repair', attempt_id, cast(rn as int) from (select i.source_id, p.attempt_id, row_number() over (partition by i.source_id order by p.started_at desc, p.attempt_id desc) as rn
+  from v_repair p join v_incident i using (incident_id)) where rn <= 5
+union all select source_id, 'run', cast(run_id as varchar) as ref, cast(rn as int) as rn from (select *, row_number() over (partition by source_id order by started_at desc, run_id desc) as rn from v_run) where rn <= 5
 union all select source_id, 'observation', snapshot_id, cast(row_number() over (partition by source_id order by {NEWEST_SQL}) as int) from (
   select *, row_number() over (partition by source_id, entity_id, mode, tier order by {NEWEST_SQL}) as first_of_key from (
   select o.*, r.source_id, row_number() over (partition by r.source_id order by {NEWEST_SQL.replace('run_id', 'o.run_id')}) as rn from v_price_obs o join v_run r on r.run_id = o.run_id) where rn <= 20) where first_of_key = 1""",
 )
 def l8_source_detail(spark, folder):
-    runs = views.run_headers(spark, folder)
-    newest_runs = tables.scan_history(runs, ["source_id"], [F.col("started_at").desc(), F.col("run_id").desc()], 5)
-    newest = [F.col(c).desc() for c in ORDER]
-    observed = views.price_obs(spark, folder).join(runs.select("run_id", "source_id"), "run_id")
-    recent = tables.scan_history(observed, ["source_id"], newest, 20).drop("rn")
-    first = latest(recent, ["source_id", *KEY], ORDER)
-    numbered = tables.scan_history(first, ["source_id"], newest, 20)
-    return newest_runs.select("source_id", F.lit("run").alias("item"), F.col("run_id").cast("string").alias("ref"), "rn").unionByName(
-        numbered.select("source_id", F.lit("observation").alias("item"), F.col("snapshot_id").alias("ref"), "rn"))
+    return details.source_detail(
+        views.run_headers(spark, folder), views.incidents(spark, folder), views.repair_attempts(spark, folder), views.price_obs(spark, folder), KEY, ORDER)
 
 
 # --- provenance ------------------------------------------------------------------------------------------
@@ -782,22 +780,15 @@ def l4_fact_lookup(spark, folder):
 
 @query(
     "l2_entity_detail",
-    cte("v_price_obs", "v_lifecycle", "v_change") + f"""select entity_id, 'price' as item, snapshot_id as ref, cast(rn as int) as rn from (select *, row_number() over (partition by entity_id order by {NEWEST_SQL}) as rn from v_price_obs) where rn <= 100
+    cte("v_price_obs", "v_lifecycle", "v_change", "v_capability") + f"""select entity_id, 'price' as item, snapshot_id as ref, cast(rn as int) as rn from (select *, row_number() over (partition by entity_id order by {NEWEST_SQL}) as rn from v_price_obs) where rn <= 100
 union all select entity_id, 'lifecycle', snapshot_id, cast(rn as int) from (select *, row_number() over (partition by entity_id order by observed_at desc, run_id desc) as rn from v_lifecycle) where rn <= 100
 union all select entity_id, 'change', cast(event_id as varchar), cast(rn as int) from (select *, row_number() over (partition by entity_id order by detected_at desc, event_id desc) as rn from v_change) where rn <= 50
+union all select entity_id, 'capability', api_id, cast(rn as int) from (select *, row_number() over (partition by entity_id order by observed_at desc, api_id desc) as rn from v_capability) where rn <= 100
+union all select entity_id, 'current', snapshot_id, cast(row_number() over (partition by entity_id order by mode, tier) as int) from (
+  select *, row_number() over (partition by entity_id, mode, tier order by {NEWEST_SQL}) as rn from v_price_obs) where rn = 1
 union all select entity_id, 'api_id', api_id, 1 from (select distinct entity_id, api_id from v_lifecycle)""",
 )
 def l2_entity_detail(spark, folder):
-    def newest(rows, order, limit, item, ref):
-        ranked = tables.scan_history(rows, ["entity_id"], [F.col(c).desc() for c in order], limit)
-        return ranked.select("entity_id", F.lit(item).alias("item"), F.col(ref).cast("string").alias("ref"), "rn")
-
-    life = views.lifecycle_obs(spark, folder)
-    ids = life.select("entity_id", "api_id").distinct().select(
-        "entity_id", F.lit("api_id").alias("item"), F.col("api_id").alias("ref"), F.lit(1).alias("rn"))
-    return (
-        newest(views.price_obs(spark, folder), ORDER, 100, "price", "snapshot_id")
-        .unionByName(newest(life, ["observed_at", "run_id"], 100, "lifecycle", "snapshot_id"))
-        .unionByName(newest(views.changes(spark, folder), ["detected_at", "event_id"], 50, "change", "event_id"))
-        .unionByName(ids)
-    )
+    return details.entity_detail(
+        views.price_obs(spark, folder), views.lifecycle_obs(spark, folder), views.capabilities(spark, folder).withColumn("snapshot_id", F.col("api_id")),
+        views.changes(spark, folder), KEY, ORDER)
