@@ -73,7 +73,8 @@ def shard(
     ranges = shards * ranges_per_shard
     cuts = splitters(keyed, total, ranges)
     target, share = max(1.0, total / ranges), max(1.0, total / shards)
-    placed = cut(keyed.withColumn("_range", _locate(cuts, F.col("_key"))))
+    # The row number spreads rows that are equal in all else; it is stored, so a repeated task sees the same one.
+    placed = cut(keyed.withColumns({"_range": _locate(cuts, F.col("_key")), "_row": F.monotonically_increasing_id()}))
     sums = {r["_range"]: r["_bytes"] for r in placed.groupBy("_range").agg(F.sum("_size").alias("_bytes")).collect()}
     # Overfull ranges: texts that hold most of a range by themselves leave it.
     overfull = [k for k, b in sums.items() if b > 1.5 * target]
@@ -101,19 +102,26 @@ def shard(
     plain = spark.createDataFrame([(k, base + i, owner[base + i]) for i, k in enumerate(order)], "_range long, _rid long, _shard int")
     rows = placed.join(F.broadcast(plain), "_range")
     if heavy:
-        own = spark.createDataFrame([(k, first, n) for k, (first, n) in piece_of.items()], "_key long, _first long, _pieces long")
+        held = {key: size for _, key, size in heavy}
+        own = spark.createDataFrame(
+            [(k, first, n, int(np.ceil(held[k] / n / target))) for k, (first, n) in piece_of.items()], "_key long, _first long, _pieces long, _tasks long")
         rows = rows.join(F.broadcast(own), "_key", "left")
         piece = F.pmod(F.xxhash64("_id", F.lit("piece")), F.col("_pieces"))
         rid = F.coalesce(F.col("_first") + piece, F.col("_rid"))
         owners = spark.createDataFrame([(i, owner[i]) for i in range(base)], "_own long, _owner int")
         rows = rows.withColumn("_rid", rid).join(F.broadcast(owners), F.col("_rid") == F.col("_own"), "left")
-        rows = rows.withColumn("_shard", F.coalesce("_owner", "_shard"))
+        rows = rows.withColumns({"_shard": F.coalesce("_owner", "_shard"), "_tasks": F.coalesce("_tasks", F.lit(1))})
+    else:
+        rows = rows.withColumn("_tasks", F.lit(1))
     return _numbered(rows, max(1, int(np.ceil(1.5 * target / task_bytes)), int(np.ceil(share / (ranges_per_shard * task_bytes)))))
 
 
 def _numbered(rows: DataFrame, pieces: int) -> DataFrame:
-    """Gapless positions within a shard: a row number inside each small piece plus the counts of the pieces before it."""
-    part = F.pmod(F.xxhash64("_id", F.lit("slot")), F.lit(pieces))
+    """Gapless positions within a shard: a row number inside each small piece plus the counts of the pieces before it.
+
+    A range is numbered in ``pieces`` pieces, one that holds the copies of a text in as many times more as it is larger than others.
+    """
+    part = F.pmod(F.xxhash64("_row", F.lit("slot")), F.col("_tasks") * pieces)
     rows = rows.select("_id", "_size", "_crc", "_key", "_rid", "_shard", part.alias("_part"))
     counts = rows.groupBy("_shard", "_rid", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_rid", "_part").rowsBetween(Window.unboundedPreceding, -1)
