@@ -7,7 +7,7 @@ the valid records), the identity key and the batch limits. Users extend it with
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,10 +231,16 @@ def shutdown_contract() -> Contract:
 
 
 def catalog_contract(key: str = "model_id", locale_parameter: str | None = None, needs_output_limit: bool = False,
-                     needs_modalities: bool = False, allowed_keys: Sequence[str] | None = None) -> Contract:
-    """Model catalog. A field every record of the page publishes must not vanish from a whole batch."""
+                     needs_modalities: bool = False, allowed_keys: Sequence[str] | None = None, enumerated: bool = False) -> Contract:
+    """Model catalog. A field every record of the page publishes must not vanish from a whole batch.
+
+    ``enumerated``: the key may list several ids, to be expanded after the gate.
+    """
+    shape = bad_shape(key, NAME_SHAPE, 200)
+    if enumerated:
+        shape = replace(shape, broken=shape.broken & text.enumerated_ids(F.col(key)).isNull())
     checks = [
-        missing(key), bad_shape(key, NAME_SHAPE, 200), bad_url("source_url"),
+        missing(key), shape, bad_url("source_url"),
         bad_shape("display_name", r"[\s\S]", 200), bad_shape("capability_statement", r"[\s\S]", 1000),
     ]
     if locale_parameter:

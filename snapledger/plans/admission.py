@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -54,7 +55,7 @@ def snapshot_rows(valid: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previous: str) -> DataFrame:
+def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previous: str, identity: Sequence[str] = STATE) -> DataFrame:
     """The stored state that the first new batch of each source is compared with.
 
     ``last_run``: what the newest comparable run of each source showed, so a gone identity is reported
@@ -65,7 +66,7 @@ def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previ
     if previous == "last_run":
         newest = usable.groupBy("source_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
         return covered.join(newest.select("source_id", "run_id"), ["source_id", "run_id"], "left_semi")
-    return latest(covered.join(usable.select("run_id"), "run_id", "left_semi"), STATE, ["observed_at", "created_at", "snapshot_id"])
+    return latest(covered.join(usable.select("run_id"), "run_id", "left_semi"), identity, ["observed_at", "created_at", "snapshot_id"])
 
 
 def decide_in_order(known: DataFrame, evidence: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -101,7 +102,9 @@ def decide_in_order(known: DataFrame, evidence: DataFrame, max_rounds: int = 50)
     raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
 
 
-def compared_states(stored: DataFrame, snapshots: DataFrame, decided: DataFrame, previous: str) -> tuple[DataFrame, DataFrame]:
+def compared_states(
+    stored: DataFrame, snapshots: DataFrame, decided: DataFrame, previous: str, identity: Sequence[str] = STATE
+) -> tuple[DataFrame, DataFrame]:
     """(previous, current) rows of every admitted batch, named by ``batch_id``; the first batch meets the stored state.
 
     ``last_run`` compares with the batch before. ``state`` compares with the newest row of every identity, so a row also stands for
@@ -116,7 +119,7 @@ def compared_states(stored: DataFrame, snapshots: DataFrame, decided: DataFrame,
     if previous == "last_run":
         last = F.col("_turn") + 1
     else:
-        following = F.lead("_turn").over(Window.partitionBy(*STATE).orderBy("_turn"))
+        following = F.lead("_turn").over(Window.partitionBy(*identity).orderBy("_turn"))
         every = every.withColumn("_next", following)
         last = F.coalesce("_next", "_end")
     reached = every.filter(F.col("_turn") < F.col("_end")).withColumn("_for", F.explode(F.sequence(F.col("_turn") + 1, last)))
@@ -142,33 +145,53 @@ def admit_prices(
     each is judged and compared with the ones before it. Everything is computed and checked before the first write. The run log is
     written last, so a job that dies before is repeated in full, and every earlier write skips what is stored.
     """
+    gated = gate_batches(records, manifest, root, contract or contracts.price_contract())
+    snapshots = snapshot_rows(gated.valid, gated.known).checkpoint()
+    before, after = gated.states(root, "fact_price", snapshots, previous, STATE)
+    events = diff.diff_prices(_numbers(before), _numbers(after), ["batch_id", *STATE], ["batch_id", *STATE[:2]])
+    return gated.write(root, "fact_price", snapshots, change_rows(events, gated.decided))
+
+
+@dataclass(frozen=True)
+class Gated:
+    """Announced batches after the gate: what is known of them, their records, the decisions, and the records let in."""
+
+    known: DataFrame
+    validated: DataFrame
+    decided: DataFrame
+    valid: DataFrame
+    log: DataFrame
+
+    def states(self, root: str, table: str, snapshots: DataFrame, previous: str, identity: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """(previous, current) rows of every admitted batch, see :func:`compared_states`."""
+        sources = self.decided.filter(~F.col("refused")).select("source_id").distinct()
+        stored = previous_state(sinks.read_ledger(snapshots.sparkSession, root, table), self.log, sources, previous, identity)
+        return compared_states(stored, snapshots, self.decided, previous, identity)
+
+    def write(self, root: str, table: str, snapshots: DataFrame, changes: DataFrame) -> Outcome:
+        """Check everything, then write it; the run log comes last."""
+        # Conflicting events of one identity fail here, while nothing is written yet.
+        changes = sinks.collapse_changes(changes).checkpoint()
+        incidents = incident_rows(self.decided, sinks.read_incidents(snapshots.sparkSession, root)).checkpoint()
+        sinks.append_snapshots(snapshots, root, table)
+        sinks.append_changes(changes, root)
+        _append_new(quarantine_rows(self.validated, self.decided), root, "fact_quarantine", ["run_id", "position"])
+        _append_new(incidents, root, "fact_incident", ["incident_id", "status"])
+        _append_new(log_rows(self.decided), root, "fact_run", ["run_id"])
+        return Outcome(self.decided, snapshots, changes)
+
+
+def gate_batches(records: DataFrame, manifest: DataFrame, root: str, contract: contracts.Contract) -> Gated:
+    """Drop replayed and finished batches, check the records of the rest, and decide about each batch."""
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
-    contract = contract or contracts.price_contract()
     log = sinks.read_ledger(spark, root, "fact_run")
     finished = log.select(F.col("run_id").alias("batch_id"))
     announced = sinks.skip_replayed(manifest, log).join(finished, "batch_id", "left_anti")
     known = with_limits(announced.join(gate.current_baseline(log), "source_id", "left"), contract.limits)
-
     validated = contracts.validate(records.join(known.select("batch_id"), "batch_id", "left_semi"), contract)
     decided = decide_in_order(known, gate.batch_evidence(validated, contract)).checkpoint()
-
-    valid = gate.admitted(contracts.first_valid(validated, contract), decided)
-    snapshots = snapshot_rows(valid, known).checkpoint()
-    stored = sinks.read_ledger(spark, root, "fact_price")
-    sources = decided.filter(~F.col("refused")).select("source_id").distinct()
-    before, after = compared_states(previous_state(stored, log, sources, previous), snapshots, decided, previous)
-    events = diff.diff_prices(_numbers(before), _numbers(after), ["batch_id", *STATE], ["batch_id", *STATE[:2]])
-    # Conflicting events of one identity fail here, while nothing is written yet.
-    changes = sinks.collapse_changes(change_rows(events, decided)).checkpoint()
-    incidents = incident_rows(decided, sinks.read_incidents(spark, root)).checkpoint()
-
-    sinks.append_snapshots(snapshots, root, "fact_price")
-    sinks.append_changes(changes, root)
-    _append_new(quarantine_rows(validated, decided), root, "fact_quarantine", ["run_id", "position"])
-    _append_new(incidents, root, "fact_incident", ["incident_id", "status"])
-    _append_new(log_rows(decided), root, "fact_run", ["run_id"])
-    return Outcome(decided, snapshots, changes)
+    return Gated(known, validated, decided, gate.admitted(contracts.first_valid(validated, contract), decided), log)
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
@@ -192,6 +215,19 @@ def change_rows(events: DataFrame, decided: DataFrame) -> DataFrame:
     )
 
 
+def field_changes(events: DataFrame, decided: DataFrame, domain: str, change_type: str) -> DataFrame:
+    """Field changes (batch_id, source_id, entity_id, field_name, old_value, new_value) under the columns of the change table."""
+    runs = decided.select("batch_id", "started_at")
+    joined = events.join(runs, "batch_id").withColumn("change_type", F.lit(change_type))
+    nothing = F.lit(None).cast("string")
+    return joined.select(
+        F.sha2(F.to_json(F.struct("batch_id", "entity_id", "change_type", "field_name")), 256).alias("event_id"),
+        F.split("entity_id", ":")[0].alias("provider_id"), "source_id", F.col("batch_id").alias("run_id"), "entity_id", "change_type", "field_name",
+        nothing.alias("mode"), nothing.alias("tier"), "old_value", "new_value", nothing.alias("prev_snapshot_id"), nothing.alias("curr_snapshot_id"),
+        F.lit(domain).alias("domain"), nothing.alias("summary"), F.col("started_at").alias("detected_at"),
+    )
+
+
 def quarantine_rows(validated: DataFrame, decided: DataFrame) -> DataFrame:
     raw = F.to_json(F.struct(*[c for c in validated.columns if c not in ("issues", "schema_ok", "enum_fault")]))
     held = validated.withColumn("raw", raw).join(

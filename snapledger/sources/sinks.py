@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from snapledger.operators.ordered import last_before
@@ -103,6 +104,27 @@ def merge_dimension(stored: DataFrame, incoming: DataFrame, keys: Sequence[str],
     )
 
 
+def read_dimension(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A dimension as it stands: the newest of its stored versions, empty if there is none."""
+    schema = ledger_schema(table)
+    try:
+        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(f"{root}/{table}")
+        newest = stored.agg(F.max("version")).first()[0]
+    except AnalysisException:
+        newest = None
+    return spark.createDataFrame([], schema) if newest is None else stored.filter(F.col("version") == newest).drop("version")
+
+
+def write_dimension(rows: DataFrame, root: str, table: str) -> None:
+    """Write a dimension as a new version beside the old one, so readers of the old one are not disturbed."""
+    spark = rows.sparkSession
+    try:
+        newest = spark.read.parquet(f"{root}/{table}").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        newest = 0
+    conform(rows, table).write.parquet(f"{root}/{table}/version={newest + 1}")
+
+
 def run_log(records: DataFrame, accepted: Column, run: str = "run_id") -> DataFrame:
     """Counts and final status per run: partial as soon as one record was rejected."""
     counted = records.groupBy(run).agg(
