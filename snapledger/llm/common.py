@@ -12,6 +12,9 @@ from pyspark.sql.functions import arrow_udf
 from snapledger.session import ensure_checkpoint_dir
 
 
+SLICE = 1024
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -25,18 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
 def per_row(fn: Callable[[list[bytes | None]], dict], schema: str) -> Callable[[Column], Column]:
     """A column function from UTF-8 bytes to the struct ``schema``.
 
-    ``fn`` gets the values of one Arrow batch and returns a list per field. Other columns of the row stay in
+    ``fn`` gets up to ``SLICE`` values of an Arrow batch and returns a list per field. Other columns of the row stay in
     the JVM, whatever their names. The function is marked non-deterministic only to keep a filter on its
     result from running it twice.
     """
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        types = None
+        types = _types(schema)
         for batch in batches:
-            out = fn(_bytes(batch))
-            types = types or _types(schema)
-            yield pa.StructArray.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names)
+            # In slices, so that a batch is never held several times over.
+            for at in range(0, max(1, len(batch)), SLICE):
+                out = fn(_bytes(batch.slice(at, SLICE)))
+                yield pa.StructArray.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names)
 
     return arrow_udf(run, schema).asNondeterministic()
 

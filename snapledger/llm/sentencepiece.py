@@ -32,7 +32,7 @@ _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 class PieceEncoder:
     """Encoder and decoder of one model file (BPE, identity normaliser, byte fallback)."""
 
-    def __init__(self, model_file: str, memo: int = 200_000, memo_chars: int = 48):
+    def __init__(self, model_file: str, memo: int = 120_000, memo_chars: int = 48):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
