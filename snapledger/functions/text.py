@@ -64,7 +64,7 @@ def strip_non_textual(text: Column) -> Column:
 
 
 def drop_trailing_parenthetical(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, r"\s+\([^)]*\)\s*$", ""))
+    return trim_text(F.regexp_replace(name, r"\s+\([^)]*\)\s*$", ""))
 
 
 def modality_list(values: Column) -> Column:
@@ -78,7 +78,7 @@ def modalities_from_text(text: Column) -> Column:
 
 
 def provider_slug(provider: Column) -> Column:
-    clean = F.lower(F.trim(provider))
+    clean = F.lower(trim_text(provider))
     return F.coalesce(_mapped(clean, PROVIDER_ALIASES), clean)
 
 
@@ -122,8 +122,8 @@ def canonical_key(provider: Column, api_id: Column, entity_id: Column) -> Column
     """``provider:api_id`` in lower case, or ``id:<entity>`` when no API id is published."""
     published = trim_to_null(api_id).isNotNull()
     return F.when(
-        published, F.concat_ws(":", F.lower(F.trim(provider)), F.lower(F.trim(api_id)))
-    ).otherwise(F.concat(F.lit("id:"), F.lower(F.trim(entity_id.cast("string")))))
+        published, F.concat_ws(":", F.lower(trim_text(provider)), F.lower(trim_text(api_id)))
+    ).otherwise(F.concat(F.lit("id:"), F.lower(trim_text(entity_id.cast("string")))))
 
 
 def is_http_url(url: Column) -> Column:

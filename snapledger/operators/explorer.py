@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions import labels, text, values
+from snapledger.functions.text import trim_text
 from snapledger.operators.current import newest_domain
 
 END_OF_LIFE = ("deprecated", "retired")
@@ -62,14 +63,14 @@ def folded(wanted: Sequence[str]) -> list[str]:
 
 def member(column: str, wanted: Sequence[str]) -> Column | None:
     names = folded(wanted)
-    return F.lower(F.trim(column)).isin(names) if names else None
+    return F.lower(trim_text(column)).isin(names) if names else None
 
 
 def has_modalities(column: str, wanted: Sequence[str]) -> Column | None:
     names = folded(wanted)
     if not names:
         return None
-    seen = F.transform(F.col(column), lambda m: F.lower(F.trim(m)))
+    seen = F.transform(F.col(column), lambda m: F.lower(trim_text(m)))
     return (F.size(seen) > 0) & (F.size(F.array_except(F.array(*[F.lit(n) for n in names]), seen)) == 0)
 
 
@@ -298,7 +299,7 @@ def feed_items(evidence: DataFrame) -> DataFrame:
     kind = F.col("kind")
     return evidence.select(
         "event_id", "provider", "provider_name", "category", "kind", "field_name", "detected_at", "significance", "summary",
-        F.concat_ws(":", F.lower(F.trim("provider")), F.lower(F.trim("model_name"))).alias("model_key"),
+        F.concat_ws(":", F.lower(trim_text("provider")), F.lower(trim_text("model_name"))).alias("model_key"),
         labels.value_text(F.col("old_text"), F.col("old_num")).alias("before"),
         labels.value_text(F.col("new_text"), F.col("new_num")).alias("after"),
         labels.percent_label(F.col("percent_change")).alias("delta"),

@@ -157,6 +157,7 @@ def b15_positive_values(spark, folder):
 
 # --- batch admission -------------------------------------------------------------------------------------
 
+# Limits of the price contract.
 LIMITS = {"min_viable": 1, "min_expected": 2, "max_drop": 0.4, "max_spike": 3.0, "quarantine_ratio": 0.15}
 
 

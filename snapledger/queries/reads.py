@@ -264,6 +264,7 @@ def i4_significant_changes(spark, folder):
 
 
 _SQL_NUM = "regexp_replace(regexp_replace(printf('%.8f', {0}), '0+$', ''), '\\.$', '')"
+# The published reasons.
 IMPACT_SQL = f"""case when kind = 'model_added' then 'New model release introduced to provider catalog'
   when kind = 'price_decreased' and percent_change <> 0 then 'Major price reduction of ' || {_SQL_NUM.format('abs(percent_change)')} || '% on ' || field_name
   when kind = 'price_increased' and percent_change <> 0 then 'Price increase of ' || {_SQL_NUM.format('percent_change')} || '% on ' || field_name

@@ -16,7 +16,8 @@ from snapledger.session import tune
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table with its declared schema."""
-    tune(spark)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":  # once; settings a caller makes later stay
+        tune(spark)
     return spark.read.schema(table_schema(name)).parquet(f"{folder}/{name}.parquet")
 
 
