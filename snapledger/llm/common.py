@@ -59,6 +59,14 @@ def _types(schema: str) -> list[pa.DataType]:
     return [_ARROW[part.split()[1]] for part in schema.split(",")]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the next longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: Column, parts: int) -> Column:
     """CRC-32 of the key as text, modulo ``parts``; null keys count as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import cut, per_row
+from snapledger.llm.common import cut, free_name, per_row
 from snapledger.llm.components import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -150,12 +150,16 @@ def deduplicated(df: DataFrame, limit: int = 2, segments: int = 8, bucket: int =
     rows = cut(_slim(df, id_col, text_col))
     classes = components_of(rows, limit, segments, bucket)
     kept = cut(classes.filter("fp = at").select(F.col("fp").alias("_fp_kept"), F.col("component").alias("_id_kept")))
-    same = (F.col("_fp") == F.col("_fp_kept")) & F.col("_id").eqNullSafe(F.col("_id_kept"))
-    held = rows.withColumnsRenamed({"id": "_id", "fp": "_fp"}).join(kept, same, "left_semi")
-    repeated = not held.groupBy("_id", "_fp").count().filter("count > 1").isEmpty()
-    marked = fingerprints(df, text_col, "_fp").withColumn("_id", F.col(id_col))
-    found = marked.join(kept, same, "left_semi")
+
+    def same(one: DataFrame, id_name: str, fp_name: str):
+        return (one[fp_name] == kept["_fp_kept"]) & one[id_name].eqNullSafe(kept["_id_kept"])
+
+    held = rows.join(kept, same(rows, "id", "fp"), "left_semi")
+    repeated = not held.groupBy("id", "fp").count().filter("count > 1").isEmpty()
+    fp, turn = free_name(df, "_fp"), free_name(df, "_turn")
+    marked = fingerprints(df, text_col, fp)
+    found = marked.join(kept, same(marked, id_col, fp), "left_semi")
     if repeated:
-        order = Window.partitionBy("_id", "_fp").orderBy(F.col(text_col))
-        found = found.withColumn("_turn", F.row_number().over(order)).filter("_turn = 1")
+        order = Window.partitionBy(id_col, fp).orderBy(F.col(text_col))
+        found = found.withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1)
     return found.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -71,3 +71,13 @@ def test_stages_take_odd_and_empty_tables(spark, folder):
             rows = out.collect()
             assert name == "tokens" or out.columns == docs.columns
             assert len(rows) <= docs.count()
+
+
+def test_clashing_columns_keep_their_values(spark, folder):
+    text = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id = 0").first()["text"]
+    names = ["_language", "_quality", "_hits", "_fp", "_turn", "_id"]
+    docs = spark.createDataFrame([(0, text, "bb", "s", len(text), *names)] * 2, COLUMNS + "".join(f", {n} string" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        rows = stage(spark, docs, folder).collect()
+        assert rows and len(rows) == (1 if name == "near_duplicates" else 2)
+        assert all([r[n] for n in names] == names for r in rows)
