@@ -6,8 +6,8 @@ Vectors are compared by cosine, only inside a group (an equal label, and equal d
    vectors link, by the triangle inequality on the sphere, so tight groups of any size are one node and make no pairs.
 2. Neighbour lists of the ball centres start from random projections: centres on the same side of several random planes are compared.
 3. NN-descent: everything that lists a centre, or is listed by it, meets there; every member learns the best of the others; lists keep the
-   nearest. A list whose last entry could still link is saturated and is enlarged. This repeats until hardly any possible link is new.
-4. The recall of possible links is audited: queries drawn by hash are compared with all centres. While it is below the goal,
+   nearest. A list whose last entry could still link is saturated and is enlarged. This repeats until hardly any centre gains a link.
+4. The recall of possible links is audited by centre: queries drawn by hash are compared with all centres. While it is below the goal,
    descent goes on with longer lists; if the rounds end below it, the job fails rather than return less.
 5. Pairs of balls that must link as a whole are counted by weight; pairs that may link are compared vector by vector, in blocks.
 
@@ -33,6 +33,7 @@ from snapledger.llm.components import components
 LEAF = 128  # centres that a leaf of a projection holds on average
 CHUNK = 384  # vectors compared at a time; larger leaves and meeting places are split by hash
 LIST = 8  # neighbours per list at first
+STRATA = [3, 11, 101]  # numbers of links at which another stratum of the audit begins
 EPS = 1e-9
 PLANES = 24
 
@@ -192,12 +193,16 @@ def _possible(lists: DataFrame, balls: DataFrame, angle: float) -> DataFrame:
     return joined.filter(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "cos"))) <= F.lit(angle + EPS) + F.col("ra") + F.col("rb"))
 
 
-def _audit(balls: DataFrame, possible: DataFrame, angle: float, queries: int, count: int) -> float:
-    """Share of the possible links of ``queries`` centres, drawn by hash, that were found. Queries are compared with all centres."""
+def _audit(balls: DataFrame, possible: DataFrame, angle: float, queries: int, count: int) -> tuple[float, list[str]]:
+    """Recall of the possible links of ``queries`` centres, drawn by hash, and the groups in which one was missed.
+
+    Queries are compared with all centres. Each queried centre counts once, whatever its number of links; centres with few links are
+    averaged by themselves, and the lowest of the averages is the recall.
+    """
     draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 20)) < F.lit(int(min(1.0, queries / count) * (1 << 20)) + 1)
     asked = balls.filter(draw).select("node", "grp", "vec", "radius").toPandas()  # about ``queries`` rows
     if asked.empty:
-        return 1.0
+        return 1.0, []
     groups = {g: (part["node"].to_numpy(), _matrix(part["vec"]), part["radius"].to_numpy()) for g, part in asked.groupby("grp")}
 
     def compare(batches):
@@ -217,9 +222,15 @@ def _audit(balls: DataFrame, possible: DataFrame, angle: float, queries: int, co
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["q", "o"])
 
     truth = balls.select("node", "grp", "vec", "radius").mapInArrow(compare, "q long, o long")
-    truth = truth.select(F.least("q", "o").alias("a"), F.greatest("q", "o").alias("b")).distinct()
-    row = truth.join(possible.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k")).first()
-    return row["k"] / row["n"] if row["n"] else 1.0
+    truth = truth.select("q", F.least("q", "o").alias("a"), F.greatest("q", "o").alias("b"))
+    hits = truth.join(possible.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    per = hits.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("k")).toPandas()  # a row per query
+    if per.empty:
+        return 1.0, []
+    share = per["k"] / per["n"]
+    recall = share.groupby(np.digitize(per["n"], STRATA)).mean().min()
+    missed = set(per["q"][per["k"] < per["n"]])
+    return float(recall), sorted(set(asked["grp"][asked["node"].isin(missed)]))
 
 
 def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99, max_rounds: int = 12, queries: int = 400, starts: int = 3) -> DataFrame:
@@ -234,7 +245,6 @@ def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99
     size = balls.select("node", F.lit(room).alias("room"))
     lists = cut(_lists(pairs, size))
     possible = cut(_possible(lists, balls, angle))
-    known = possible.count()
     vectors = balls.select(F.col("node").alias("_n"), F.transform("vec", lambda x: x.cast("float")).alias("vec"), "radius")
     reach = balls.select(F.col("node").alias("_n"), (F.lit(1.5 * angle) + F.col("radius")).alias("reach"))
     for round_no in range(max_rounds):
@@ -256,14 +266,13 @@ def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99
         # One distance per pair: those met again in single precision must not stand beside the first.
         fresh = fresh.groupBy("u", "v").agg(F.max("cos").alias("cos"))
         lists = cut(_lists(fresh, size))
-        possible = cut(_possible(lists, balls, angle + 1e-3))  # single precision may be off by this
-        now = possible.count()
-        if now <= known * 1.001:
-            recall = _audit(balls, possible, angle, queries, count)
+        before, possible = possible, cut(_possible(lists, balls, angle + 1e-3))  # single precision may be off by this
+        gained = possible.join(before.select("a", "b"), ["a", "b"], "left_anti").select(F.explode(F.array("a", "b"))).distinct().count()
+        if gained <= 0.001 * count:
+            recall, _ = _audit(balls, possible, angle, queries, count)
             if recall >= goal:
                 return possible
             size = cut(size.select("node", (F.col("room") + room).alias("room")))
-        known = now
     raise RuntimeError(f"NN-descent stayed below a recall of {goal}")
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from snapledger.llm.neighbours import near_vectors
+from snapledger.llm.neighbours import _audit, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, grp int"
 
@@ -62,3 +62,18 @@ def test_small_tables(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None, 0)]) == [(1, 0, 1)]
     assert found(spark, [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [0.0, 1.0], 0)]) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_audit_sees_isolated_pairs_beside_a_wide_group(spark):
+    rng = np.random.default_rng(5)
+    pairs = np.repeat(rng.normal(size=(30, 16)), 2, 0)
+    vectors = np.concatenate([np.ones((300, 16)), pairs])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(k, "g", [float(x) for x in v], 0.0) for k, v in enumerate(vectors)]
+    balls = spark.createDataFrame(rows, "node long, grp string, vec array<double>, radius double")
+    wide = [(i, j) for j in range(300) for i in range(j)]
+    whole = [(300 + 2 * k, 301 + 2 * k) for k in range(30)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    assert _audit(balls, frame(wide + whole), 0.1, 400, 360) == (1.0, [])
+    recall, groups = _audit(balls, frame(wide + whole[:24]), 0.1, 400, 360)  # a fifth of the pairs is lost, 0.01 % of all links
+    assert abs(recall - 0.8) < 1e-9 and groups == ["g"]
