@@ -8,7 +8,8 @@ Vectors are compared by cosine, only inside a group (an equal label, and equal d
 3. NN-descent: everything that lists a centre, or is listed by it, meets there; every member learns the best of the others; lists keep the
    nearest. A list whose last entry could still link is saturated and is enlarged. This repeats until hardly any centre gains a link.
 4. The recall of possible links is audited by centre: queries drawn by hash are compared with all centres. While it is below the goal,
-   descent goes on with longer lists; if the rounds end below it, the job fails rather than return less.
+   descent goes on with longer lists and more projections; if the rounds end below it, the groups in which the audit missed a link
+   are compared exactly, block by block. That takes time with the square of a group's centres.
 5. Pairs of balls that must link as a whole are counted by weight; pairs that may link are compared vector by vector, in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors without a label, link with nothing and are
@@ -34,6 +35,7 @@ LEAF = 128  # centres that a leaf of a projection holds on average
 CHUNK = 384  # vectors compared at a time; larger leaves and meeting places are split by hash
 LIST = 8  # neighbours per list at first
 STRATA = [3, 11, 101]  # numbers of links at which another stratum of the audit begins
+BLOCK = 1024  # centres on a side of an exact comparison
 EPS = 1e-9
 PLANES = 24
 
@@ -233,15 +235,48 @@ def _audit(balls: DataFrame, possible: DataFrame, angle: float, queries: int, co
     return float(recall), sorted(set(asked["grp"][asked["node"].isin(missed)]))
 
 
+def _exact(balls: DataFrame, angle: float) -> DataFrame:
+    """All pairs of centres of a group that may hold a link, as (u, v, cos), compared block by block."""
+    sizes = balls.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).withColumnRenamed("grp", "_g")
+    placed = balls.select("node", "grp", "vec", "radius").join(sizes, F.col("grp") == F.col("_g"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("_blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("grp", "node", "vec", "radius", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        one, two = rows[rows["block"] == low], rows[rows["block"] == high]
+        if one.empty or two.empty:
+            return pd.DataFrame({"u": [], "v": [], "cos": []})
+        a, b = one["node"].to_numpy(), two["node"].to_numpy()
+        cos = _matrix(one["vec"]) @ _matrix(two["vec"]).T
+        least = np.cos(np.minimum(np.pi, angle + one["radius"].to_numpy()[:, None] + two["radius"].to_numpy()[None]))
+        i, j = np.nonzero((cos >= least) & ((a[:, None] < b[None]) | (low != high)))
+        return pd.DataFrame({"u": a[i], "v": b[j], "cos": cos[i, j]})
+
+    return dealt.groupBy("grp", "low", "high").applyInPandas(compare, "u long, v long, cos double")
+
+
+def _starts(largest: int, angle: float, least: int) -> int:
+    """Projections after which a pair at the link angle has met in a leaf with probability 0.95, at most 24."""
+    planes = min(PLANES, max(0, math.ceil(math.log2(max(1, largest) / LEAF))))
+    together = (1 - angle / math.pi) ** planes
+    return least if together >= 0.95 else max(least, min(24, math.ceil(math.log(0.05) / math.log(1 - together))))
+
+
 def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99, max_rounds: int = 12, queries: int = 400, starts: int = 3) -> DataFrame:
-    """Possible links of ``balls`` (node, grp, vec, radius, total) by NN-descent, audited."""
+    """Possible links of ``balls`` (node, grp, vec, radius, total) by NN-descent, audited; groups that fail the audit are compared exactly."""
     count = balls.count()
     best, kind = _nearest(room)
-    pairs = None
-    for seed in range(1, starts + 1):
-        leaves = _leaves(balls.select("node", "grp", "vec"), seed)
-        part = leaves.groupBy("leaf", "part").applyInPandas(best, kind)
-        pairs = part if pairs is None else pairs.unionByName(part)
+    largest = balls.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    starts = _starts(largest, angle, starts)
+
+    def projected(seed: int) -> DataFrame:
+        return _leaves(balls.select("node", "grp", "vec"), seed).groupBy("leaf", "part").applyInPandas(best, kind)
+
+    pairs = projected(1)
+    for seed in range(2, starts + 1):
+        pairs = pairs.unionByName(projected(seed))
     size = balls.select("node", F.lit(room).alias("room"))
     lists = cut(_lists(pairs, size))
     possible = cut(_possible(lists, balls, angle))
@@ -273,7 +308,14 @@ def descend(balls: DataFrame, angle: float, room: int = LIST, goal: float = 0.99
             if recall >= goal:
                 return possible
             size = cut(size.select("node", (F.col("room") + room).alias("room")))
-    raise RuntimeError(f"NN-descent stayed below a recall of {goal}")
+            # Other projections bring together what no list leads to.
+            starts += 1
+            lists = cut(_lists(lists.unionByName(projected(starts)).groupBy("u", "v").agg(F.max("cos").alias("cos")), size))
+    recall, missed = _audit(balls, possible, angle, queries, count)
+    if recall >= goal:
+        return possible
+    whole = _exact(balls.filter(F.col("grp").isin(missed)), angle + 1e-3)
+    return cut(_possible(lists.unionByName(whole), balls, angle + 1e-3))
 
 
 def _compare(threshold: float):

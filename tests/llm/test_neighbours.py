@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from snapledger.llm.neighbours import _audit, near_vectors
+from snapledger.llm.neighbours import _audit, _starts, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, grp int"
 
@@ -77,3 +77,18 @@ def test_audit_sees_isolated_pairs_beside_a_wide_group(spark):
     assert _audit(balls, frame(wide + whole), 0.1, 400, 360) == (1.0, [])
     recall, groups = _audit(balls, frame(wide + whole[:24]), 0.1, 400, 360)  # a fifth of the pairs is lost, 0.01 % of all links
     assert abs(recall - 0.8) < 1e-9 and groups == ["g"]
+
+
+def test_rounds_that_end_early_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    pairs = rng.normal(size=(700, 8)).repeat(2, 0) + rng.normal(scale=0.2, size=(1400, 8))
+    rows = [(k, [float(x) for x in v], int(k % 3 == 0)) for k, v in enumerate(pairs)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = near_vectors(frame, max_rounds=0, starts=1, goal=1.0, queries=10_000).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_starts_grow_with_the_group():
+    angle = float(np.arccos(0.93))
+    assert [_starts(n, angle, 3) for n in (0, 100, 1000)] == [3, 3, 3]
+    assert 3 < _starts(20_000, angle, 3) < _starts(80_000, angle, 3) < _starts(1 << 40, angle, 3) + 1 == 25
