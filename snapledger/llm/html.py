@@ -38,11 +38,13 @@ AROUND = frozenset(
 CLOSED_BY_NEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p blockquote h1 h2 h3 h4 h5 h6 td dd figcaption pre".split())
 
+# Quotes count after an equals sign, as in browsers, and up to 16,384 characters: an open quote does not take the rest of the page.
 _PIECE = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]{0,16384}+"|'[^']{0,16384}+')|=)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+>""", re.S
 )
 _NAME = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -62,8 +64,8 @@ def scan(page: str):
     """Yields (kind, value, surroundings): a text, a border between blocks, or a tag; ``surroundings`` is a tuple of feature sets."""
     at, open_ = 0, []  # open_: (tag, features)
     silent: list[str] = []
+    foreign = 0  # open svg and math elements; only in them an element may close itself
     around: tuple[frozenset[str], ...] = ()
-    low = page.lower()
     while at < len(page):
         m = _PIECE.search(page, at)
         end = m.start() if m else len(page)
@@ -76,6 +78,14 @@ def scan(page: str):
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), (m[3] or m[6] or "")
+        if tag in ("svg", "math"):
+            foreign = max(0, foreign - 1) if closing else foreign + (not attributes.endswith("/"))
+        if tag in RAW and not closing and not (foreign and attributes.endswith("/")):
+            m2 = _RAW_END[tag].search(page, at)
+            at = len(page) if m2 is None else m2.start()
+            m2 = _PIECE.match(page, at)
+            at = m2.end() if m2 else at
+            continue
         if silent:
             if closing and tag == silent[-1]:
                 silent.pop()
@@ -86,12 +96,7 @@ def scan(page: str):
             if silent:
                 continue
         elif tag in SILENT and not closing:
-            if tag in RAW:
-                stop = low.find(f"</{tag}", at)
-                at = len(page) if stop < 0 else stop
-                m2 = _PIECE.match(page, at)
-                at = m2.end() if m2 else at
-            elif not attributes.endswith("/"):
+            if not attributes.endswith("/"):
                 silent.append(tag)
             continue
         if tag in BLOCK:

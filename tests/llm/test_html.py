@@ -53,3 +53,19 @@ def test_rows(spark):
     out = extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [r["main"]["n_chars"] for r in out] == [len(main(PAGE)), 0, 0, len(main(PAGE))] and out[0]["text"] == "x"
     assert extracted(spark.createDataFrame([], "html string")).collect() == []
+
+
+HEAD_SCRIPT = r"""<html><head><title>t</title><script>for(i=0;i<n; i++){s='don\'t'}</script></head><body>
+<article><h1>Head line</h1><p>It's a text that must stay on this page whole</p><p>Second part, it's here too</p></article></body></html>"""
+
+
+def test_script_in_a_silent_element_is_no_markup():
+    want = "Head line\n\nIt's a text that must stay on this page whole\n\nSecond part, it's here too"
+    assert main(HEAD_SCRIPT) == want
+    assert main(HEAD_SCRIPT.replace("<script>", "<svg><style/><title/></svg><script>")) == want
+    assert main(HEAD_SCRIPT.replace("</script>", "</SCRIPT >")) == want
+
+
+def test_an_open_quote_is_bounded():
+    page = '<article><p class="open>first words of a page</p>' + "<p>more words of a page</p>" * 2000 + '<p title="x">last</p></article>'
+    assert main(page).startswith("first words of a page")
