@@ -112,7 +112,8 @@ def scan(page: str):
                         del open_[k:]
                         break
             elif not attributes.endswith("/"):
-                features, hidden = _features_of(tag, attributes[:500])
+                read = _features_of if len(attributes) <= 500 else _features_of.__wrapped__  # long strings are not kept
+                features, hidden = read(tag, attributes)
                 if tag == "a" and any(t in PROSE for t, _ in open_):
                     features = frozenset()  # a link in running text says nothing about the text
                 open_.append((tag, features | {"hidden"} if hidden else features))

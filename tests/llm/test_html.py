@@ -69,3 +69,9 @@ def test_script_in_a_silent_element_is_no_markup():
 def test_an_open_quote_is_bounded():
     page = '<article><p class="open>first words of a page</p>' + "<p>more words of a page</p>" * 2000 + '<p title="x">last</p></article>'
     assert main(page).startswith("first words of a page")
+
+
+def test_names_behind_long_attributes_count():
+    long = 'data-x="' + "y" * 3000 + '"'
+    for mark in ('class="advert"', "hidden"):
+        assert main(PAGE.replace('class="advert"', f"{long} {mark}")) == main(PAGE)
