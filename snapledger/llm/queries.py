@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm import decontamination, html, language, neighbours, quality, sentencepiece, sharding, simhash, toxicity, warc
+from snapledger.llm import decontamination, html, language, mixing, neighbours, quality, ranked, sentencepiece, sharding, simhash, toxicity, warc, whitening
 from snapledger.llm.common import fold, table
 from snapledger.llm.training import labelled, language_model, quality_model
 from snapledger.queries.registry import Query
@@ -163,6 +163,84 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OP11_SQL = """
+with d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws
+  from documents
+), i as (
+  select row_number() over () as q, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws
+  from benchmark
+), asked as (select q, item_id, w, count(*) as times from (select q, item_id, unnest(ws) as w from i) group by q, item_id, w
+), held as (select r, doc_id, cast(len(ws) as bigint) as n from d where len(ws) > 0
+), sums as (select count(*) as docs, cast(sum(n) as bigint) as terms from held
+), tf as (select r, w, count(*) as tf from (select r, unnest(ws) as w from d) where w in (select w from asked) group by r, w
+), weight as (select w, cast(floor(1000 * ln((2 * docs + 2) / cast(2 * count(*) + 1 as double))) as bigint) as weight from tf, sums group by w, docs
+), m as (select r, doc_id, 25 + (75 * n * docs) // terms as m from held, sums
+), scored as (
+  select q, item_id, doc_id, tf.r, cast(sum(times * weight * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m))) as bigint) as score
+  from asked join tf on asked.w = tf.w join weight on tf.w = weight.w join m on tf.r = m.r group by q, item_id, doc_id, tf.r
+), placed as (select *, row_number() over (partition by q order by score desc, doc_id, r) as rank from scored where score > 0
+)
+select item_id, cast(rank as int) as rank, doc_id, score from placed where rank <= 10
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    found = ranked.best(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whitened(table(spark, folder, "embeddings"), components=16, weights="one")
+    return found.select(
+        F.col("id").alias("vec_id"), "component", "n", "deviation", F.col("value").alias("whitened"), "explained", "identity_error")
+
+
+OP13_SQL = """
+with d as (
+  select doc_id, source, cast(len(coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])) as bigint) as size,
+    md5(coalesce(cast(doc_id as varchar), '') || ' ' || coalesce(text, '')) as turn
+  from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size,
+    cast([5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)] as double) as weight,
+    row_number() over (order by source nulls last) as place
+  from d group by source
+), o as (
+  select *, 1.5 * cast((select sum(source_size) from s) as double) as whole,
+    coalesce(cast(sum(2 * source_size) over (order by source_size / weight, place rows between unbounded preceding and 1 preceding) as double), 0) as stopped,
+    sum(weight) over (order by source_size / weight, place rows between current row and unbounded following) as rest,
+    row_number() over (order by source_size / weight, place) as turn
+  from s
+), f as (select min(turn) as turn from o where weight * (whole - stopped) <= 2 * source_size * rest
+), t as (
+  select o.source, o.source_size,
+    cast(case when o.turn < f.turn then 2 * o.source_size else o.weight * (c.whole - c.stopped) / c.rest end as double) as target
+  from o, f join o as c on c.turn = f.turn
+), p as (
+  select doc_id, size, source, turn,
+    cast(sum(size) over (partition by source order by turn, doc_id rows unbounded preceding) as bigint) - size as start
+  from d
+)
+select p.doc_id, p.size, t.source_size, t.target,
+  cast(greatest(0, least(p.size, cast(floor(t.target) as bigint) - p.start))
+    + greatest(0, least(p.size, cast(floor(t.target) as bigint) - t.source_size - p.start)) as bigint) as taken
+from p join t on p.source is not distinct from t.source
+"""
+
+
+@query("op13_source_mixing", OP13_SQL)
+def op13_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words taken of every document; the SQL finds them from the documents' positions, without blocks or slots."""
+    docs = mixing.sized(table(spark, folder, "documents"))
+    return mixing.taken(docs, mixing.targets(docs)).withColumnRenamed("id", "doc_id")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
