@@ -39,13 +39,13 @@ BUCKET_ROWS = 2000
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows (id, source, size, turn); ``turn`` orders the documents of a source."""
+    """Rows (id, source, size, turn), read from the texts once; ``turn`` orders the documents of a source."""
     text, key = F.col(text_col).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return df.select(
+    return cut(df.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(key, F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary")).alias("turn"),
-    )
+    ))
 
 
 def targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -178,7 +178,7 @@ def mixed(docs: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def taken(docs: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (id, size, source_size, target, taken), one per document: the words the mix takes of it, repeats counted."""
-    docs, goals = cut(docs), cut(goals)
+    goals = cut(goals)
     same = ["place", "id", "turn", "size", "copy"]
     sums = _pieces(docs, goals, block).groupBy(*same).agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("_taken").alias("taken"))
