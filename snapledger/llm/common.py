@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder.
+
+    For steps that are repeated: a checkpoint keeps the estimated size of the plan it cuts, and joins multiply estimates, so after some
+    rounds of joins the numbers alone fill the driver. A table has the size it has, and small ones are broadcast.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def per_row(fn: Callable[[list[bytes | None]], dict], schema: str) -> Callable[[Column], Column]:
     """A column function from UTF-8 bytes to the struct ``schema``.
 
