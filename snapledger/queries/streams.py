@@ -16,7 +16,8 @@ from snapledger.queries.sqlviews import cte
 from snapledger.schemas import table_schema
 from snapledger.session import ensure_checkpoint_dir, tune
 from snapledger.sources import views
-from snapledger.streaming import jobs
+from snapledger.sources.tables import load
+from snapledger.streaming import changes, jobs, landing
 
 
 def scratch(spark, name: str) -> str:
@@ -35,20 +36,34 @@ def table_stream(spark, folder: str, name: str):
     " union all select batch_id, position, 'quarantined' from marked where batch_id in (select batch_id from decision where refused)",
 )
 def s1_streaming_admission(spark, folder):
+    """Every batch comes in pieces over three deliveries, its end mark in any of them, and is judged once and whole."""
     root = scratch(spark, "admission")
     announced = manifest(spark, folder)
     contract = contracts.price_contract()
-
-    def admit(lines, batch_id):
-        validated = contracts.validate(views.raw_prices(spark, folder, lines), contract)
-        decided = gate.decide(announced, gate.batch_evidence(validated, contract)).checkpoint()
+    pieces = 3
+    lines = load(spark, folder, "lineitem")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields]
+    envelope = [F.col("l_orderkey").alias("batch_id"), F.lit(None).cast("string").alias("source_id"), F.lit("2024-01-01").cast("timestamp").alias("started_at"),
+                F.lit(None).cast("string").alias("external_run_id"), F.lit("2024-01-01").cast("timestamp").alias("sent_at")]
+    records = lines.select(*envelope, F.lit(None).cast("bigint").alias("expected"), *lines.columns, (F.col("l_linenumber") % pieces).alias("piece"))
+    marks = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("expected"))
+    marks = marks.select(*envelope, "expected", *nothing, (F.col("l_orderkey") % pieces).alias("piece"))
+    sent = records.unionByName(marks)
+
+    def judge(records, due, micro):
+        validated = contracts.validate(views.raw_prices(spark, folder, records.select(*lines.columns)), contract)
+        named = announced.join(due.select("batch_id"), "batch_id", "left_semi")
+        decided = gate.decide(named, gate.batch_evidence(validated, contract)).checkpoint()
         kept = gate.admitted(contracts.first_valid(validated, contract), decided)
         held = gate.quarantined(validated, decided)
         outcomes = kept.select("batch_id", "position", F.lit("admitted").alias("outcome")).unionByName(
             held.select("batch_id", "position", F.lit("quarantined").alias("outcome")))
-        outcomes.write.mode("overwrite").parquet(f"{root}/rows/micro={batch_id}")
+        outcomes.write.mode("overwrite").parquet(f"{root}/rows/micro={micro}")
 
-    jobs.admission_stream(table_stream(spark, folder, "lineitem"), admit, f"{root}/checkpoint")
+    for piece in range(pieces):
+        sent.filter(F.col("piece") == piece).drop("piece").write.mode("append").parquet(f"{root}/in")
+        stream = jobs.read_files(spark, f"{root}/in", sent.drop("piece").schema)
+        landing.landing_stream(stream, judge, f"{root}/landing", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/rows").drop("micro")
 
 
@@ -78,10 +93,17 @@ def s3_daily_counts(spark, folder):
 
 @query("s4_state_changes", REGISTRY["f9_price_history_changes"].sql)
 def s4_state_changes(spark, folder):
+    """The observations arrive in four deliveries, each a run of the stream that goes on from the stored states."""
     root = scratch(spark, "changes")
-    jobs.change_stream(
-        table_stream(spark, folder, "lineitem"), lambda lines: views.price_obs(spark, folder, lines), root, f"{root}/checkpoint",
-        views.PRICE_IDENTITY, views.PRICE_ORDER)
+    lines = load(spark, folder, "lineitem")
+    bounds = [None, "1996-07-01", "1998-01-01", "1999-07-01", None]
+    at = F.col("l_shipdate")
+    for low, high in zip(bounds, bounds[1:]):
+        part = lines.filter(at >= F.lit(low).cast("timestamp")) if low else lines
+        part = part.filter(at < F.lit(high).cast("timestamp")) if high else part
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = views.price_obs(spark, folder, jobs.read_files(spark, f"{root}/in", table_schema("lineitem")))
+        changes.change_stream(stream, f"{root}/events", f"{root}/checkpoint", views.PRICE_IDENTITY, views.PRICE_ORDER)
     rows = spark.read.parquet(f"{root}/events")
     return rows.select(*views.PRICE_IDENTITY, stamp("observed_at"), "prev_snapshot_id", "curr_snapshot_id", "field_name", "change_type", "old_num", "new_num")
 

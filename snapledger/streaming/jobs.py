@@ -1,4 +1,4 @@
-"""Streaming jobs over files: admission, replay dedupe, daily counts, live change tracking, staleness.
+"""Streaming jobs over files: replay dedupe, daily counts, staleness. See ``landing`` for admission and ``changes`` for live changes.
 
 Every job can run with ``available_now`` and then stops after the files present, or keep running. Jobs
 with their own outputs write them per micro-batch id, so a repeated micro-batch replaces its own output.
@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from snapledger.functions.values import age_minutes
-from snapledger.operators import diff
 from snapledger.operators.health import freshness
 from snapledger.operators.ordered import latest
 
@@ -39,17 +37,6 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
     return query
 
 
-def admission_stream(stream: DataFrame, admit: Callable[[DataFrame, int], object], checkpoint: str,
-                     available_now: bool = True) -> StreamingQuery:
-    """Gate before write, per micro-batch.
-
-    ``admit`` must be repeatable: either it skips runs it finished before, as
-    :func:`snapledger.plans.admission.admit_prices` does, or it replaces what it wrote for the same
-    micro-batch id. A collector must write each run as one file: a file is never split over micro-batches.
-    """
-    return run_batches(stream, lambda rows, batch_id: admit(rows, batch_id), checkpoint, available_now)
-
-
 def first_delivery(runs: DataFrame, delay: str = "40 days") -> DataFrame:
     """One row per external run that ended well, while its repeats can still arrive within ``delay``; older state is dropped.
 
@@ -87,50 +74,6 @@ def newest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return latest(spark.read.parquet(path), keys, ["batch"]).drop("batch")
 
 
-def newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The output of the newest micro-batch, or of the newest one before ``before``."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    if before is not None:
-        stored = stored.filter(F.col("batch") < before)
-    newest = stored.agg(F.max("batch").alias("batch")).first()["batch"]
-    return None if newest is None else stored.filter(F.col("batch") == newest).drop("batch")
-
-
-def track_changes(batch: DataFrame, batch_id: int, root: str, identity: Sequence[str], order: Sequence[str]) -> None:
-    """Change events of one micro-batch against the last known state, and the state after it.
-
-    The state is one row per identity, stored per micro-batch id. Rows older than the stored state of
-    their identity are ignored. Pairs are found with the segmented previous-row operator, so a busy
-    identity is not handled by one task.
-    """
-    spark = batch.sparkSession
-    names = [*diff.PRICE_FIELDS.values(), *diff.PRICE_TEXT_FIELDS.values(), "snapshot_id"]
-    columns = list(dict.fromkeys([*identity, *order, *names, "observed_at"]))
-    rows = batch.select(*columns)
-    state = newest_version(spark, f"{root}/state", batch_id)
-    if state is not None:
-        known = state.select(*identity, F.struct(*order).alias("_at"))
-        rows = rows.join(known, list(identity), "left").filter(F.col("_at").isNull() | (F.struct(*order) > F.col("_at"))).drop("_at")
-        touched = state.join(rows.select(*identity).distinct(), list(identity), "left_semi").select(*columns)
-        history, everything = touched.unionByName(rows), state.select(*columns).unionByName(rows)
-    else:
-        history = everything = rows
-    events = diff.price_history_changes(history, identity, order)
-    events.write.mode("overwrite").parquet(f"{root}/events/batch={batch_id}")
-    latest(everything, identity, order).write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
-
-
-def change_stream(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, identity: Sequence[str],
-                  order: Sequence[str], available_now: bool = True) -> StreamingQuery:
-    def step(rows: DataFrame, batch_id: int) -> None:
-        track_changes(prepare(rows), batch_id, root, identity, order)
-
-    return run_batches(stream, step, checkpoint, available_now)
-
-
 def last_starts(runs: DataFrame) -> DataFrame:
     """Newest start and newest success per source; the state is one row per source."""
     return runs.groupBy("source_id").agg(

@@ -5,7 +5,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from snapledger.operators import diff
-from snapledger.streaming import jobs
+from snapledger.plans.admission import admit_prices, contract_records
+from snapledger.schemas import RAW_PRICE_DDL
+from snapledger.sources import sinks
+from snapledger.streaming import changes, jobs, landing
 
 PRICE = (
     "entity_id string, mode string, tier string, snapshot_id string, input double, cached double, cache_write double, output double,"
@@ -21,31 +24,102 @@ def moves(df):
     return sorted((r.entity_id, r.prev_snapshot_id, r.curr_snapshot_id, r.change_type) for r in df.collect())
 
 
+def deliver(spark, folder, rows, schema=PRICE):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+
 def test_live_changes_equal_the_history_diff(spark, tmp_path):
     batches = [
         [observation(1, "a", 1.0, 1), observation(1, "b", 1.0, 1)],
-        [observation(2, "a", 2.0, 2), observation(3, "a", 2.0, 3)],
+        [observation(3, "a", 2.0, 3), observation(2, "a", 2.0, 2)],
         [observation(4, "a", 1.0, 4), observation(4, "b", 3.0, 4), observation(4, "c", 1.0, 4)],
     ]
-    source = tmp_path / "in"
     for rows in batches:
-        spark.createDataFrame(rows, PRICE).coalesce(1).write.mode("append").parquet(str(source))
-    stream = jobs.read_files(spark, str(source), PRICE, files_per_batch=1)
-    jobs.change_stream(stream, lambda rows: rows, str(tmp_path / "out"), str(tmp_path / "cp"), IDENTITY, ORDER)
-    live = spark.read.parquet(str(tmp_path / "out" / "events"))
-    assert live.select("batch").distinct().count() >= 2
+        deliver(spark, tmp_path / "in", rows)
+    stream = jobs.read_files(spark, str(tmp_path / "in"), PRICE, files_per_batch=1)
+    query = changes.change_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), IDENTITY, ORDER)
+    states = [p.stateOperators[0] for p in query.recentProgress if p.numInputRows]
+    # Only touched identities are written, and the state has one row per identity.
+    assert [s.numRowsUpdated for s in states] == [2, 1, 3]
+    assert states[-1].numRowsTotal == 3
+    assert any(name.startswith("rocksdb") for name in states[-1].customMetrics)
     whole = spark.createDataFrame([r for rows in batches for r in rows], PRICE)
-    assert moves(live) == moves(diff.price_history_changes(whole, IDENTITY, ORDER, F.to_date("observed_at")))
-
-
-def test_rows_older_than_the_state_are_ignored_and_repeats_replace(spark, tmp_path):
-    root = str(tmp_path)
-    jobs.track_changes(spark.createDataFrame([observation(5, "a", 1.0, 10)], PRICE), 0, root, IDENTITY, ORDER)
-    late = spark.createDataFrame([observation(2, "a", 9.0, 3), observation(6, "a", 2.0, 11)], PRICE)
-    for _ in range(2):
-        jobs.track_changes(late, 1, root, IDENTITY, ORDER)
-    assert moves(spark.read.parquet(f"{root}/events").drop("batch")) == [("a", "a-5", "a-6", "price_increased")]
-    assert [r.input for r in jobs.newest_version(spark, f"{root}/state").collect()] == [2.0]
+    assert moves(spark.read.parquet(str(tmp_path / "out"))) == moves(diff.price_history_changes(whole, IDENTITY, ORDER, F.to_date("observed_at")))
+
+
+def test_states_survive_a_restart_and_late_rows_change_nothing(spark, tmp_path):
+    for rows in ([observation(5, "a", 1.0, 10)], [observation(2, "a", 9.0, 3), observation(6, "a", 2.0, 11)], [observation(1, "a", 7.0, 2)]):
+        deliver(spark, tmp_path / "in", rows)
+        stream = jobs.read_files(spark, str(tmp_path / "in"), PRICE)
+        changes.change_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), IDENTITY, ORDER)
+    assert moves(spark.read.parquet(str(tmp_path / "out"))) == [("a", "a-5", "a-6", "price_increased")]
+
+
+LANDED = f"{landing.ENVELOPE_DDL}, {RAW_PRICE_DDL.replace('batch_id STRING, ', '')}"
+
+
+def record(batch, position, model, price, day=1, start=1):
+    return (batch, "s", datetime(2024, 1, start), f"x-{batch}", datetime(2024, 1, day), None, position, "gemini", model, "standard", "all", price, None, None, 2.0,
+            "USD per 1M tokens", "https://p.example.com/a")
+
+
+def mark(batch, expected, day=1, start=1):
+    return (batch, "s", datetime(2024, 1, start), f"x-{batch}", datetime(2024, 1, day), expected, *[None] * 11)
+
+
+def ledger(spark, root):
+    """Every ledger table as sorted texts."""
+    names = ("fact_price", "fact_change", "fact_quarantine", "fact_run", "fact_incident")
+    return {n: sorted(map(str, sinks.read_ledger(spark, root, n).collect())) for n in names}
+
+
+def test_a_batch_in_pieces_equals_its_batch_twin(spark, tmp_path):
+    one = [record("b1", k, f"model-{k}", 1.0 + k) for k in range(6)]
+    two = [record("b2", k, f"model-{k}", 2.0 + k, 2, 2) for k in range(6)] + [record("b2", 6, "bad model!", -1.0, 2, 2)]
+    # The mark of b1 comes before its last records; b2 begins before b1 ends; one delivery is empty.
+    deliveries = [[*one[:2], mark("b1", 6)], [*one[2:4], *two[:3]], [*one[4:]], [*two[3:], mark("b2", 7, 2, 2)]]
+    seen = []
+    for rows in deliveries:
+        deliver(spark, tmp_path / "in", rows, LANDED)
+        stream = jobs.read_files(spark, str(tmp_path / "in"), LANDED)
+        landing.price_landing(stream, str(tmp_path / "live"), str(tmp_path / "cp"), "https://p.example.com/a")
+        seen.append(sorted(r.run_id for r in sinks.read_ledger(spark, str(tmp_path / "live/ledger"), "fact_run").collect()))
+    assert seen == [[], [], ["b1"], ["b1", "b2"]]
+    raw = spark.createDataFrame([*one, *two], LANDED).drop(*[c for c in landing.ENVELOPE if c != "batch_id"])
+    manifest = spark.createDataFrame(
+        [(b, "s", datetime(2024, 1, d), f"x-{b}", None) for b, d in (("b1", 1), ("b2", 2))],
+        "batch_id string, source_id string, started_at timestamp, external_run_id string, collector_error string")
+    admit_prices(contract_records(raw, "https://p.example.com/a"), manifest, str(tmp_path / "twin"))
+    assert ledger(spark, str(tmp_path / "live/ledger")) == ledger(spark, str(tmp_path / "twin"))
+    # What waits at the end is nothing.
+    last = spark.read.parquet(str(tmp_path / "live/landing/waiting"))
+    assert last.filter("micro = 3").count() == 0
+
+
+def test_a_batch_that_never_ends_is_refused_in_time(spark, tmp_path):
+    deliver(spark, tmp_path / "in", [record("b1", 0, "model-a", 1.0), record("b2", 0, "model-a", 1.0), mark("b2", 2)], LANDED)
+    deliver(spark, tmp_path / "in", [record("b3", 0, "model-a", 1.0, 2, 2), mark("b3", 1, 2, 2)], LANDED)
+    deliver(spark, tmp_path / "in", [record("b4", 0, "model-a", 1.0, 9, 9), mark("b4", 1, 9, 9)], LANDED)
+    stream = jobs.read_files(spark, str(tmp_path / "in"), LANDED, files_per_batch=1)
+    landing.price_landing(stream, str(tmp_path / "live"), str(tmp_path / "cp"), "https://p.example.com/a", "3 days")
+    root = str(tmp_path / "live/ledger")
+    runs = {r.run_id: (r.status, r.error_message) for r in sinks.read_ledger(spark, root, "fact_run").collect()}
+    assert {b: s for b, (s, _) in runs.items()} == {"b1": "failed", "b2": "failed", "b3": "succeeded", "b4": "succeeded"}
+    assert {r.run_id for r in sinks.read_ledger(spark, root, "fact_price").collect()} == {"b3", "b4"}
+    assert {r.run_id for r in sinks.read_ledger(spark, root, "fact_quarantine").collect()} == {"b1", "b2"}
+
+
+def test_a_repeated_micro_batch_replaces_its_own_output(spark, tmp_path):
+    judged = []
+
+    def judge(records, due, micro):
+        judged.append((micro, sorted((r.batch_id, r.received, r.whole) for r in due.collect()), records.count()))
+
+    first = spark.createDataFrame([record("b1", 0, "m", 1.0), mark("b1", 2)], LANDED)
+    second = spark.createDataFrame([record("b1", 1, "n", 1.0)], LANDED)
+    for micro, rows in ((0, first), (1, second), (1, second), (2, first.limit(0))):
+        landing.land(rows, micro, str(tmp_path), judge, "1 day")
+    assert judged == [(1, [("b1", 2, True)], 2)] * 2
 
 
 def test_external_runs_are_processed_once(spark, tmp_path):
