@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import count
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -69,12 +70,13 @@ def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previ
     return latest(covered.join(usable.select("run_id"), "run_id", "left_semi"), identity, ["observed_at", "created_at", "snapshot_id"])
 
 
-def decide_in_order(known: DataFrame, evidence: DataFrame, max_rounds: int = 50) -> DataFrame:
+def decide_in_order(known: DataFrame, evidence: DataFrame) -> DataFrame:
     """Decisions of several batches per source, each judged against the newest good batch before it.
 
     A batch's baseline depends on the decisions of the batches before it. Decisions are made for all batches at once, baselines are
     taken from them, and both are repeated until nothing changes: after n rounds the first n batches of every source are final, and
-    usually few rounds are needed. A batch whose external run was admitted earlier in the manifest is a replay and is dropped.
+    usually few rounds are needed; there are never more than a
+    source has batches. A batch whose external run was admitted earlier in the manifest is a replay and is dropped.
 
     ``known`` has the stored baseline as ``lkg`` (run_id, count, at); the result has that of each batch.
     """
@@ -85,7 +87,7 @@ def decide_in_order(known: DataFrame, evidence: DataFrame, max_rounds: int = 50)
     fixed = known.join(evidence, "batch_id", "left").withColumn("_stored", F.col("lkg")).checkpoint()
     facts = [c for c in evidence.columns if c != "batch_id"]
     rows = fixed.withColumn("_replay", F.lit(False))
-    for _ in range(max_rounds):
+    for _ in count():
         held = rows.withColumn("baseline_count", F.col("lkg.count").cast("bigint"))
         decided = gate.decide(held.drop(*facts), held.select("batch_id", *facts))
         good = ~F.col("refused") & ~F.col("_replay")
@@ -99,7 +101,6 @@ def decide_in_order(known: DataFrame, evidence: DataFrame, max_rounds: int = 50)
         if stated.filter(moved).isEmpty():
             return stated.filter(~F.col("_replay")).drop("_lkg", "_again", "_replay", "_stored")
         rows = fixed.drop("lkg").join(stated.select("batch_id", F.col("_lkg").alias("lkg"), F.col("_again").alias("_replay")), "batch_id")
-    raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
 
 
 def compared_states(
@@ -168,16 +169,22 @@ class Gated:
         stored = previous_state(sinks.read_ledger(snapshots.sparkSession, root, table), self.log, sources, previous, identity)
         return compared_states(stored, snapshots, self.decided, previous, identity)
 
-    def write(self, root: str, table: str, snapshots: DataFrame, changes: DataFrame) -> Outcome:
-        """Check everything, then write it; the run log comes last."""
+    def write(self, root: str, table: str, snapshots: DataFrame, changes: DataFrame, dimensions: Callable[[], None] | None = None) -> Outcome:
+        """Check everything, then write it: facts, what ``dimensions`` writes, and the run log as the commit of all of them.
+
+        A batch counts as finished when its run is logged. A job that dies before that is repeated in full: facts that are stored are
+        skipped, and dimensions merge the same sightings once more.
+        """
         # Conflicting events of one identity fail here, while nothing is written yet.
         changes = sinks.collapse_changes(changes).checkpoint()
-        incidents = incident_rows(self.decided, sinks.read_incidents(snapshots.sparkSession, root)).checkpoint()
+        incidents = incident_rows(self.decided, sinks.read_incidents(snapshots.sparkSession, root, self.decided)).checkpoint()
         sinks.append_snapshots(snapshots, root, table)
         sinks.append_changes(changes, root)
-        _append_new(quarantine_rows(self.validated, self.decided), root, "fact_quarantine", ["run_id", "position"])
-        _append_new(incidents, root, "fact_incident", ["incident_id", "status"])
-        _append_new(log_rows(self.decided), root, "fact_run", ["run_id"])
+        sinks.append_new(quarantine_rows(self.validated, self.decided).checkpoint(), root, "fact_quarantine", ["run_id", "position"])
+        sinks.append_new(incidents, root, "fact_incident", ["incident_id", "status"])
+        if dimensions is not None:
+            dimensions()
+        sinks.append_new(log_rows(self.decided), root, "fact_run", ["run_id"])
         return Outcome(self.decided, snapshots, changes)
 
 
@@ -283,8 +290,3 @@ def log_rows(decided: DataFrame) -> DataFrame:
         F.when(refused, F.col("records_seen")).otherwise(F.col("records_invalid")).alias("records_rejected"),
         F.when(refused, F.col("summary")).alias("error_message"),
     )
-
-
-def _append_new(rows: DataFrame, root: str, table: str, keys: list[str]) -> None:
-    stored = sinks.read_ledger(rows.sparkSession, root, table)
-    sinks.conform(rows, table).join(stored.select(*keys), keys, "left_anti").write.mode("append").parquet(f"{root}/{table}")

@@ -75,13 +75,14 @@ def admit_catalog(
     snapshots = snapshot_rows(accepted, plan.filter(F.col("entity_id").isNotNull()), gated.known, provider).checkpoint()
     before, after = gated.states(root, "fact_capability", snapshots, "state", STATE)
     events = diff.diff_capabilities(before, after, ["batch_id", *STATE])
-    outcome = gated.write(root, "fact_capability", snapshots, field_changes(events, gated.decided, "catalog", "capability_changed"))
-    _upsert(snapshots, entities, aliases, root)
+    changes = field_changes(events, gated.decided, "catalog", "capability_changed")
+    outcome = gated.write(root, "fact_capability", snapshots, changes, lambda: _upsert(snapshots, root))
     return CatalogOutcome(outcome, conflicts, plan.filter(F.col("entity_id").isNull()))
 
 
-def _upsert(snapshots: DataFrame, entities: DataFrame, aliases: DataFrame, root: str) -> None:
+def _upsert(snapshots: DataFrame, root: str) -> None:
     """Entities and aliases of the snapshots: the first sighting stays, the last advances, names follow the newest sighting."""
+    entities, aliases = sinks.read_dimension(snapshots.sparkSession, root, "dim_entity"), sinks.read_dimension(snapshots.sparkSession, root, "dim_alias")
     seen = [F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at")]
     newest = F.struct("observed_at", "snapshot_id")
     sighted = snapshots.groupBy("entity_id").agg(

@@ -61,9 +61,8 @@ def admit_lifecycle(records: DataFrame, manifest: DataFrame, root: str, provider
     snapshots = snapshot_rows(gated.valid, gated.known, provider, columns).checkpoint()
     before, after = gated.states(root, "fact_lifecycle", snapshots, "state", STATE)
     events = diff.diff_lifecycle(before, after, ["batch_id", *STATE])
-    outcome = gated.write(root, "fact_lifecycle", snapshots, field_changes(events, gated.decided, "lifecycle", "lifecycle_changed"))
-    _patch_entities(snapshots, root)
-    return outcome
+    changes = field_changes(events, gated.decided, "lifecycle", "lifecycle_changed")
+    return gated.write(root, "fact_lifecycle", snapshots, changes, lambda: _patch_entities(snapshots, root))
 
 
 def _patch_entities(snapshots: DataFrame, root: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -476,6 +478,47 @@ def a7_upsert_dimensions(spark, folder):
     return rows.select("entity_id", stamp("first_seen_at"), stamp("last_seen_at"), "source_url")
 
 
+@query(
+    "a5_append_ledger",
+    cte("v_price_obs")
+    + """select cast(run_id as varchar) as run_id, cast(entity_id as varchar) as entity_id, mode, tier,
+  coalesce(min(snapshot_id) filter (observed_at < timestamp '1998-01-01'), min(snapshot_id)) as snapshot_id from v_price_obs group by 1, 2, 3, 4""",
+)
+def a5_append_ledger(spark, folder):
+    """Two deliveries into a written ledger, the second with all of the first once more, and its repetition."""
+    root = f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    obs = views.price_obs(spark, folder).drop("input", "cached", "cache_write", "output")
+    early = obs.filter(F.col("observed_at") < F.lit("1998-01-01").cast("timestamp"))
+    # A run's rows lie in several months here, so the second delivery names the month its run was first stored in.
+    first = early.groupBy("run_id", *KEY).agg(F.min("snapshot_id").alias("snapshot_id"), F.lit("1997-12-01").cast("timestamp").alias("observed_at"))
+    known = first.select("run_id", *KEY, F.col("observed_at").alias("_at"))
+    every = obs.join(known, ["run_id", *KEY], "left").withColumn("observed_at", F.coalesce("_at", "observed_at")).drop("_at")
+    later = every.groupBy("run_id", *KEY).agg(F.min("snapshot_id").alias("snapshot_id"), F.min("observed_at").alias("observed_at"))
+    for rows in (first, later, later):
+        sinks.append_snapshots(rows, root, "fact_price", ["snapshot_id"])
+    return sinks.read_ledger(spark, root, "fact_price").select("run_id", *KEY, "snapshot_id")
+
+
+@query(
+    "a7_register_sources",
+    """select cast(c_custkey as varchar) as source_id, cast(c_nationkey as varchar) as provider_id, lower(c_mktsegment) as kind, c_name as label,
+  case when c_custkey % 3 = 0 then c_custkey % 2 = 0 else true end as is_active, n_name as provider_name
+from customer join nation on c_nationkey = n_nationkey""",
+)
+def a7_register_sources(spark, folder):
+    """Providers and sources announced twice: what the second announcement leaves out stays, what it says replaces."""
+    root = f"{ensure_checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
+    customers, nations = tables.load(spark, folder, "customer"), tables.load(spark, folder, "nation")
+    named = customers.join(nations, customers.c_nationkey == nations.n_nationkey)
+    key = [F.col("c_custkey").cast("string").alias("source_id"), F.col("c_nationkey").cast("string").alias("provider_id")]
+    sinks.register_sources(named.select(*key, F.lower("c_mktsegment").alias("kind"), F.lit("old").alias("label"), F.col("n_name").alias("name")), root)
+    stated = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 2 == 0)
+    sinks.register_sources(named.select(*key, F.col("c_name").alias("label"), stated.alias("is_active")), root)
+    providers = sinks.read_dimension(spark, root, "dim_provider").select("provider_id", F.col("name").alias("provider_name"))
+    return sinks.read_dimension(spark, root, "dim_source").join(providers, "provider_id").select(
+        "source_id", "provider_id", "kind", "label", "is_active", "provider_name")
+
+
 @query(
     "a8_quarantine_rows",
     GATE + "select 'incident-' || batch_id as incident_id, batch_id, position, not schema_ok as has_issue from validated"

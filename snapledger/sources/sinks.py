@@ -42,9 +42,17 @@ def read_ledger(spark: SparkSession, root: str, table: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_incidents(spark: SparkSession, root: str) -> DataFrame:
-    """Incidents as they stand: the ledger keeps a row when one opens and another when it is resolved."""
+def read_incidents(spark: SparkSession, root: str, unfinished: DataFrame | None = None) -> DataFrame:
+    """Incidents as they stand: the ledger keeps a row when one opens and another when it is resolved.
+
+    ``unfinished``: batches (batch_id, source_id, started_at) that are judged once more after a lost job. What such a batch may have
+    opened or resolved then does not count, since it is decided anew.
+    """
     rows = read_ledger(spark, root, "fact_incident")
+    if unfinished is not None:
+        rows = rows.join(unfinished.select(F.col("batch_id").alias("run_id")), "run_id", "left_anti")
+        ends = unfinished.select("source_id", F.col("started_at").alias("resolved_at"), F.lit("resolved").alias("status"))
+        rows = rows.join(ends, ["source_id", "resolved_at", "status"], "left_anti")
     rest = [c for c in rows.columns if c != "incident_id"]
     newest = F.max_by(F.struct(*rest), F.when(F.col("status") == "resolved", 1).otherwise(0))
     return rows.groupBy("incident_id").agg(newest.alias("_r")).select("incident_id", "_r.*")
@@ -58,12 +66,26 @@ def conform(rows: DataFrame, table: str) -> DataFrame:
     ])
 
 
+def stored_near(rows: DataFrame, root: str, table: str, key: str, folder: str | None = None) -> DataFrame:
+    """The stored rows that can share a key with ``rows``.
+
+    The range of ``key`` and the values of ``folder`` are put into the scan as literals, so folders, files and row groups outside them
+    are left out before anything is read. The driver holds two keys and the folders ``rows`` touches. ``rows`` is read for it, so it
+    should be a checkpoint or a plain scan.
+    """
+    facts = [F.min(key).alias("low"), F.max(key).alias("high")]
+    span = rows.agg(*facts, *([F.collect_set(folder).alias("folders")] if folder else [])).first()
+    stored = read_ledger(rows.sparkSession, root, table)
+    if span["low"] is None:
+        return stored.filter(F.lit(False))
+    near = stored.filter(F.col(key).between(F.lit(span["low"]), F.lit(span["high"])))
+    return near.filter(F.col(folder).isin(span["folders"])) if folder else near
+
+
 def append_snapshots(rows: DataFrame, root: str, table: str, order: Sequence[str] = ("observed_at", "snapshot_id")) -> None:
-    """Append to a ledger table partitioned by month; only the months the batch touches are read back."""
+    """Append to a ledger table partitioned by month; only the months and runs the batch touches are read back."""
     dated = conform(rows.withColumn("month", F.date_format("observed_at", "yyyy-MM")), table)
-    # A join against the batch's months prunes partitions at run time.
-    touched = read_ledger(rows.sparkSession, root, table).join(dated.select("month").distinct(), "month", "left_semi")
-    fresh = new_snapshots(dated, touched, NATURAL_KEYS[table], order)
+    fresh = new_snapshots(dated, stored_near(dated, root, table, "run_id", "month"), NATURAL_KEYS[table], order)
     # Dealt by month and then split by size, so a month gets as many writers as its rows need.
     fresh.hint("rebalance", F.col("month")).write.mode("append").partitionBy("month").parquet(f"{root}/{table}")
 
@@ -83,8 +105,9 @@ def collapse_changes(changes: DataFrame, keys: Sequence[str] = CHANGE_KEY) -> Da
 
 def append_changes(changes: DataFrame, root: str) -> None:
     """Append events that are not stored yet, partitioned by detection day."""
+    dated = changes.withColumn("day", F.to_date("detected_at"))
     fresh = conform(collapse_changes(changes).withColumn("day", F.to_date("detected_at")), "fact_change")
-    stored = read_ledger(changes.sparkSession, root, "fact_change").join(fresh.select("day").distinct(), "day", "left_semi")
+    stored = stored_near(dated, root, "fact_change", "run_id", "day")
     match = None
     left, right = fresh.alias("n"), stored.select(*CHANGE_KEY).alias("s")
     for key in CHANGE_KEY:
@@ -125,6 +148,41 @@ def write_dimension(rows: DataFrame, root: str, table: str) -> None:
     conform(rows, table).write.parquet(f"{root}/{table}/version={newest + 1}")
 
 
+def append_new(rows: DataFrame, root: str, table: str, keys: Sequence[str]) -> None:
+    """Append the rows whose key is not stored yet; stored rows are read in the range of the first key only."""
+    shaped = conform(rows, table)
+    stored = stored_near(shaped, root, table, keys[0])
+    shaped.join(stored.select(*keys), list(keys), "left_anti").write.mode("append").parquet(f"{root}/{table}")
+
+
+def upsert_named(rows: DataFrame, root: str, table: str, keys: Sequence[str]) -> None:
+    """A new version of a dimension: given rows replace the stored ones of their key, and what they leave NULL stays as it was.
+
+    Of several given rows of a key the first in the order of their columns counts.
+    """
+    stored, given = read_dimension(rows.sparkSession, root, table), conform(rows, table)
+    rest = [c for c in given.columns if c not in keys]
+    one = one_per_key(given, keys, rest)
+    both = stored.join(one.withColumnsRenamed({c: f"_{c}" for c in rest}), list(keys), "full_outer")
+    write_dimension(both.select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in rest]), root, table)
+
+
+def register_sources(sources: DataFrame, root: str) -> None:
+    """Providers and sources, as an ingest announces them.
+
+    ``sources``: source_id and provider_id, and what is known of kind, collector_id, source_url, label and is_active, and of the
+    provider's slug, name and homepage_url. New sources are active unless they say otherwise. Where sources describe their provider
+    differently the smallest text counts.
+    """
+    known = read_dimension(sources.sparkSession, root, "dim_source").select("source_id", F.lit(True).alias("_known"))
+    given = conform(sources, "dim_source").join(known, "source_id", "left")
+    active = F.when(F.col("_known").isNull(), F.coalesce("is_active", F.lit(True))).otherwise(F.col("is_active"))
+    shown = conform(sources, "dim_provider")
+    providers = shown.groupBy("provider_id").agg(*[F.min(c).alias(c) for c in shown.columns if c != "provider_id"])
+    upsert_named(providers, root, "dim_provider", ["provider_id"])
+    upsert_named(given.withColumn("is_active", active), root, "dim_source", ["source_id"])
+
+
 def run_log(records: DataFrame, accepted: Column, run: str = "run_id") -> DataFrame:
     """Counts and final status per run: partial as soon as one record was rejected."""
     counted = records.groupBy(run).agg(

@@ -2,6 +2,9 @@
 
 from datetime import date, datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from snapledger.plans.catalog import admit_catalog
 from snapledger.plans.lifecycle import admit_lifecycle
 from snapledger.schemas import RAW_CATALOG_DDL, RAW_SHUTDOWN_DDL
@@ -70,3 +73,78 @@ def test_catalog_conflicts_are_not_written(spark, tmp_path):
     done = admit_catalog(spark.createDataFrame(rows, RAW_CATALOG_DDL), manifest(spark, ("c1", "s", 1)), root, "openai")
     assert sorted(r.model_id for r in done.conflicts.collect()) == ["gpt-4.1-mini"] * 2
     assert {r.api_id for r in sinks.read_ledger(spark, root, "fact_capability").collect()} == {"gpt-5", "gpt-4.1", "o3-mini"}
+
+
+FACTS = ("fact_lifecycle", "fact_capability", "fact_change", "fact_quarantine", "fact_run", "fact_incident")
+
+
+def everything(spark, root):
+    """All tables as they stand, as sorted texts."""
+    facts = {n: sorted(map(str, sinks.read_ledger(spark, root, n).collect())) for n in FACTS}
+    return facts | {n: sorted(map(str, sinks.read_dimension(spark, root, n).collect())) for n in ("dim_entity", "dim_alias")}
+
+
+def ingests(spark):
+    pages = [shutdown("r1", 0, "m-1.0", "No shutdown date announced"), shutdown("r1", 1, "m-2.0", "June 1, 2025"), shutdown("r2", 0, "m-1.0", "July 1, 2025")]
+    entries = [entry("c1", 0, "gpt-5", "128k"), entry("c2", 0, "gpt-5", "256k"), entry("c2", 1, "o3-mini", "200k")]
+    raw = spark.createDataFrame(pages, RAW_SHUTDOWN_DDL), spark.createDataFrame(entries, RAW_CATALOG_DDL)
+    runs = manifest(spark, ("r1", "s", 1), ("r2", "s", 2)), manifest(spark, ("c1", "s", 1), ("c2", "s", 2))
+    return {
+        "lifecycle": (lambda root: admit_lifecycle(raw[0], runs[0], root, "gemini"), ("append_snapshots", "append_changes", "append_new", "write_dimension")),
+        "catalog": (lambda root: admit_catalog(raw[1], runs[1], root, "openai"), ("append_snapshots", "append_changes", "append_new", "write_dimension")),
+    }
+
+
+@pytest.mark.parametrize("kind, at", [("lifecycle", 4), ("lifecycle", 5), ("catalog", 1), ("catalog", 5)])
+def test_a_job_that_dies_after_a_write_is_repeated_in_full(spark, tmp_path, monkeypatch, kind, at):
+    """Writes in order: snapshots, changes, quarantine, incidents, dimensions (one or two), run log. The job dies after write ``at``."""
+    run, writes = ingests(spark)[kind]
+    run(str(tmp_path / "whole"))
+    want = everything(spark, str(tmp_path / "whole"))
+    assert want["fact_run"] and want["dim_entity"]
+    root, done = str(tmp_path / "dies"), []
+
+    def failing(name, plain):
+        def write(*args):
+            plain(*args)
+            done.append(name)
+            if len(done) == at + 1:
+                raise OSError(f"lost after {name}")
+
+        return write
+
+    with monkeypatch.context() as lost:
+        for name in writes:
+            lost.setattr(sinks, name, failing(name, getattr(sinks, name)))
+        with pytest.raises(OSError, match="lost"):
+            run(root)
+    run(root)
+    assert everything(spark, root) == want
+
+
+def test_appends_read_only_what_they_can_meet(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "run_id string, entity_id string, mode string, tier string, snapshot_id string, observed_at timestamp"
+    for month in range(1, 7):
+        rows = [(f"run-{month}", f"e{k}", "m", "t", f"s-{month}-{k}", datetime(2024, month, 3)) for k in range(5)]
+        sinks.append_snapshots(spark.createDataFrame(rows, schema), root, "fact_price")
+    again = spark.createDataFrame([("run-2", "e1", "m", "t", "s", datetime(2024, 2, 3)), ("run-2", "e9", "m", "t", "s", datetime(2024, 2, 3))], schema)
+    dated = sinks.conform(again.withColumn("month", F.date_format("observed_at", "yyyy-MM")), "fact_price")
+    near = sinks.stored_near(dated, root, "fact_price", "run_id", "month")
+    files = {r.f for r in near.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert files and all("month=2024-02" in f for f in files)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-02" in plan and "GreaterThanOrEqual(run_id,run-2)" in plan
+    sinks.append_snapshots(again, root, "fact_price")
+    stored = sinks.read_ledger(spark, root, "fact_price")
+    assert stored.count() == 31 and stored.filter("run_id = 'run-2' and entity_id = 'e9'").count() == 1
+
+
+def test_sources_are_registered_and_named_again(spark, tmp_path):
+    root = str(tmp_path)
+    ddl = "source_id string, provider_id string, kind string, label string, is_active boolean, slug string"
+    sinks.register_sources(spark.createDataFrame([("s1", "p", "pricing", "old", None, "p-slug"), ("s2", "p", None, None, False, None)], ddl), root)
+    sinks.register_sources(spark.createDataFrame([("s1", "p", None, "new", None, None), ("s3", "q", "catalog", None, None, None)], ddl), root)
+    sources = {r.source_id: (r.kind, r.label, r.is_active) for r in sinks.read_dimension(spark, root, "dim_source").collect()}
+    assert sources == {"s1": ("pricing", "new", True), "s2": (None, None, False), "s3": ("catalog", None, True)}
+    assert {r.provider_id: r.slug for r in sinks.read_dimension(spark, root, "dim_provider").collect()} == {"p": "p-slug", "q": None}
