@@ -2,7 +2,8 @@
 
 Rows are ordered by a hash of their text. A size-weighted sample of these keys gives quantile splitters, the splitters cut the rows
 into ranges of near equal bytes, and ranges that come out overfull are subdivided: a text whose copies fill a range becomes a range
-of its own, and a text whose copies would fill a whole shard is cut further by a hash of the row's id. Ranges then go to shards, the
+of its own, and a text whose copies would fill a whole shard is cut further by a hash of the row's stored
+number, so rows that are equal in all else are spread too. Ranges then go to shards, the
 largest first, always to the shard with the fewest bytes (law ``bytes``).
 
 Defined results: a null text has size 1 and the checksum of no bytes. Copies of a text stay in one shard unless they hold more bytes
@@ -106,7 +107,7 @@ def shard(
         own = spark.createDataFrame(
             [(k, first, n, int(np.ceil(held[k] / n / target))) for k, (first, n) in piece_of.items()], "_key long, _first long, _pieces long, _tasks long")
         rows = rows.join(F.broadcast(own), "_key", "left")
-        piece = F.pmod(F.xxhash64("_id", F.lit("piece")), F.col("_pieces"))
+        piece = F.pmod(F.xxhash64("_row", F.lit("piece")), F.col("_pieces"))
         rid = F.coalesce(F.col("_first") + piece, F.col("_rid"))
         owners = spark.createDataFrame([(i, owner[i]) for i in range(base)], "_own long, _owner int")
         rows = rows.withColumn("_rid", rid).join(F.broadcast(owners), F.col("_rid") == F.col("_own"), "left")

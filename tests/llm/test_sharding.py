@@ -69,3 +69,10 @@ def test_ranges_are_found_as_by_bisection(spark):
         cuts = np.unique(np.append(rng.integers(-(1 << 63), (1 << 63) - 1, max(0, n - 1)), [5][:n]))
         for r in keys.withColumn("at", _locate(cuts, F.col("k"))).collect():
             assert r["at"] == np.searchsorted(cuts, r["k"], side="right")
+
+
+def test_a_heavy_text_whose_rows_are_equal_is_spread(spark):
+    """Equal ids, or none, must not keep a heavy text together."""
+    for name in (7, None):
+        rows = [(name, "the same text " * 40)] * 1500 + [(1000 + k, f"text {k} " * 60) for k in range(2000)]
+        check(spark, rows)
