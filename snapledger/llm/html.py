@@ -2,8 +2,8 @@
 
 A page is a sequence of tags and words. Words score by the elements they stand in, mostly positive, tags score negative; the weights come
 from labelled pages by logistic regression. One linear scan finds the contiguous region of the highest total. Inside the region, texts
-in elements that the same weights put outside the article (an advert between paragraphs) are left out. Blocks are separated at block
-elements.
+in elements that the same weights put outside the article (an advert between paragraphs) are left out; below an element whose own names
+say article they cost nothing, so a long advert does not cut the article in two, and a box there is judged by its own names. Blocks are separated at block elements.
 
 Defined results: null, empty and textless pages give an empty text. Scripts, styles, comments, titles, controls and hidden elements never
 count. An element that is never closed reaches to the end of its parent. Character references without a semicolon are decoded as
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +38,9 @@ AROUND = frozenset(
     "nav header footer aside main article section div form ul ol li table a figure figcaption blockquote pre dialog ins label p h1 h2 h3 h4 h5 h6".split()
 )
 CLOSED_BY_NEXT = frozenset("p h1 h2 h3 h4 h5 h6".split())
+FRAME = frozenset("<aside> <nav> <form> <footer> <dialog> <ins>".split())
+BOX = frozenset("div section ul ol aside nav form footer dialog ins".split())
+CONTAINER = frozenset("article main section div".split())
 PROSE = frozenset("p blockquote h1 h2 h3 h4 h5 h6 td dd figcaption pre".split())
 
 # Quotes count after an equals sign, as in browsers, and up to 16,384 characters: an open quote does not take the rest of the page.
@@ -44,6 +49,8 @@ _PIECE = re.compile(
 )
 _NAME = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
+# Least weight of an element's own tag and names for it to count as the article's.
+NAMED = 1.0
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -60,17 +67,33 @@ def _features_of(tag: str, attributes: str) -> tuple[frozenset[str], bool]:
     return frozenset(found), bool(_HIDDEN.search(attributes)) if attributes else False
 
 
-def scan(page: str):
-    """Yields (kind, value, surroundings): a text, a border between blocks, or a tag; ``surroundings`` is a tuple of feature sets."""
-    at, open_ = 0, []  # open_: (tag, features)
+class Place(NamedTuple):
+    """Where a piece of a page stands."""
+
+    features: frozenset[str]  # of all open elements together
+    prose: bool  # below an element of running text
+    article: bool  # below an element that the weights take for the article
+
+
+NOWHERE = Place(frozenset(), False, False)
+
+
+def scan(page: str, using: Weights | None = None):
+    """Yields (kind, value, place): a text, a border between blocks, or a tag.
+
+    With weights, features they do not know are left out, so that a page cannot enlarge the sets by names of its own, and a tag costs
+    the same at any depth.
+    """
+    at, open_ = 0, []  # open_: (tag, place)
+    held: Counter[str] = Counter()  # open elements by tag
     silent: list[str] = []
     foreign = 0  # open svg and math elements; only in them an element may close itself
-    around: tuple[frozenset[str], ...] = ()
     while at < len(page):
         m = _PIECE.search(page, at)
         end = m.start() if m else len(page)
+        here = open_[-1][1] if open_ else NOWHERE
         if end > at and not silent:
-            yield "text", page[at:end], around
+            yield "text", page[at:end], here
         if not m:
             return
         at = m.end()
@@ -100,26 +123,41 @@ def scan(page: str):
                 silent.append(tag)
             continue
         if tag in BLOCK:
-            yield "border", tag, around
+            yield "border", tag, here
             while not closing and open_ and open_[-1][0] in CLOSED_BY_NEXT:
-                open_.pop()
+                held[open_.pop()[0]] -= 1
         elif tag == "br":
-            yield "text", " ", around
+            yield "text", " ", here
         if tag in AROUND:
             if closing:
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == tag:
-                        del open_[k:]
+                while held[tag]:
+                    last, _ = open_.pop()
+                    held[last] -= 1
+                    if last == tag:
                         break
             elif not attributes.endswith("/"):
-                read = _features_of if len(attributes) <= 500 else _features_of.__wrapped__  # long strings are not kept
-                features, hidden = read(tag, attributes)
-                if tag == "a" and any(t in PROSE for t, _ in open_):
-                    features = frozenset()  # a link in running text says nothing about the text
-                open_.append((tag, features | {"hidden"} if hidden else features))
-            around = tuple(f for _, f in open_)
+                open_.append((tag, _inside(open_[-1][1] if open_ else NOWHERE, tag, attributes, using)))
+                held[tag] += 1
         if tag not in VOID:
-            yield "tag", tag, around
+            yield "tag", tag, open_[-1][1] if open_ else NOWHERE
+
+
+def _inside(outer: Place, tag: str, attributes: str, using: Weights | None) -> Place:
+    """The place inside an element that opens in ``outer``."""
+    read = _features_of if len(attributes) <= 500 else _features_of.__wrapped__  # long strings are not kept
+    own, hidden = read(tag, attributes)
+    if tag == "a" and outer.prose:
+        own = frozenset()  # a link in running text says nothing about the text
+    if hidden:
+        own |= {"hidden"}
+    if using:
+        own = frozenset(f for f in own if f in using.values or f == "hidden")
+    if outer.article and tag in BOX and using.names_other(own):
+        # What its names say is not outvoted by those of the article around it.
+        return Place(own, outer.prose or tag in PROSE, True)
+    joined = outer.features if own <= outer.features else outer.features | own
+    article = outer.article or bool(using and tag in CONTAINER and using.names_article(own) and using.word(joined) > 0)
+    return Place(joined, outer.prose or tag in PROSE, article)
 
 
 class Weights:
@@ -129,16 +167,23 @@ class Weights:
         self.bias, self.values, self.tag = bias, values, tag
         self._memo: dict = {}
 
-    def word(self, around: tuple[frozenset[str], ...]) -> float:
+    def word(self, around: frozenset[str]) -> float:
         known = self._memo.get(around)
         if known is None:
             if len(self._memo) > 20000:
                 self._memo.clear()
-            joined = frozenset().union(*around) if around else frozenset()
-            known = -50.0 if "hidden" in joined else self.bias + sum(self.values.get(f, 0.0) for f in joined)
+            known = -50.0 if "hidden" in around else self.bias + sum(self.values.get(f, 0.0) for f in sorted(around))
             known = self._memo[around] = max(-6.0, min(4.0, known))
         return known
 
+    def names_article(self, own: frozenset[str]) -> bool:
+        """Whether an element's own tag and names speak for the article, by more than a plain element's."""
+        return sum(self.values.get(f, 0.0) for f in own) >= NAMED
+
+    def names_other(self, own: frozenset[str]) -> bool:
+        """Whether an element's names, or a tag that only frames, speak against it."""
+        return sum(self.values.get(f, 0.0) for f in own if not f.startswith("<") or f in FRAME) <= -NAMED
+
 
 def learn(pages: list[list[tuple[str, bool]]], steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Weights:
     """Logistic regression of article or not over the texts of labelled pages, each text once per word up to ten."""
@@ -151,7 +196,7 @@ def learn(pages: list[list[tuple[str, bool]]], steps: int = 400, rate: float = 0
                 continue
             at = whole.index(value, at)
             label = inside[int(np.searchsorted(ends, at, side="right"))]
-            rows.append(frozenset().union(*around) if around else frozenset())
+            rows.append(around.features)
             labels.append(label)
             sizes.append(min(10, len(value.split())))
     names = sorted(set().union(*rows))
@@ -183,15 +228,16 @@ def blocks(page: str, using: Weights) -> list[str]:
     scores: list[float] = []
     owner: list[int] = []
     block = 0
-    for kind, value, around in scan(page):
+    for kind, value, around in scan(page, using):
         if kind == "border":
             block += 1
         elif kind == "tag":
             scores.append(using.tag)
             owner.append(-1)
         else:
-            each = using.word(around)
-            scores.append(each * len(value.split()))
+            each = using.word(around.features)
+            # A box in the article, however long, costs its tags and does not cut the article.
+            scores.append(max(each, 0.0) * len(value.split()) if around.article else each * len(value.split()))
             owner.append(len(texts))
             texts.append((block, value, each))
     # Linear scan for the region of the highest total.

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from snapledger.llm.html import blocks, extracted, weights
+from snapledger.llm.html import blocks, extracted, scan, weights
 from snapledger.llm.labelled_pages import labelled_pages
 
 
@@ -76,3 +76,23 @@ def test_names_behind_long_attributes_count():
     for mark in ('class="advert"', "hidden"):
         got = main(PAGE.replace('class="advert"', f"{long} {mark}"))
         assert "First one" in got and "Cheap" not in got
+
+
+@pytest.mark.parametrize("around", ["<article>", '<div class="content">', '<main><div class="post">', '<article class="post"><div class="entry-content">'])
+@pytest.mark.parametrize("box", ['<div class="advert"><p>{}</p></div>', '<aside class="related"><p>{}</p></aside>', '<div class="newsletter">{}</div>'])
+def test_a_long_box_does_not_cut_the_article(around, box):
+    before, after = " ".join(f"one{k}" for k in range(40)), " ".join(f"two{k}" for k in range(60))
+    page = f"<html><body><nav><a>menu</a></nav>{around}<p>{before}</p>{box.format('buy ' * 400)}<p>{after}</p></div></article><footer>end</footer></body></html>"
+    assert main(page) == f"{before}\n\n{after}"
+
+
+def test_work_is_linear_in_depth():
+    """A tag looks at its own element only, however many are open around it."""
+    def steps(n, close):
+        page, calls = "".join(f'<div class="x{k} content">' for k in range(n)) + "words" + close * n, 0
+        for _, _, place in scan(page, weights()):
+            calls += len(place.features)
+        return calls
+    for close in ("</div>", "</p>"):
+        assert steps(4000, close) <= 4.1 * steps(1000, close)
+    assert main("<div>" * 50_000 + "deep" + "</div>" * 50_000) in ("", "deep")
