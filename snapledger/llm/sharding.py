@@ -2,7 +2,7 @@
 
 Rows are ordered by a hash of their text. A size-weighted sample of these keys gives quantile splitters, the splitters cut the rows
 into ranges of near equal bytes, and ranges that come out overfull are subdivided: a text whose copies fill a range becomes a range
-of its own, and a text whose copies would fill a whole shard is cut further by a hash of the row's stored
+of its own, many small texts are cut at further sampled splitters, and a text whose copies would fill a whole shard is cut further by a hash of the row's stored
 number, so rows that are equal in all else are spread too. Ranges then go to shards, the
 largest first, always to the shard with the fewest bytes (law ``bytes``).
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from snapledger.llm.common import cut
 
+# A range is overfull with this many times its equal part.
+FULL = 1.5
 
 def splitters(keyed: DataFrame, total: int, ranges: int, per_range: int = 32) -> np.ndarray:
     """``ranges - 1`` quantiles of a sample of keys in which a row's chance grows with its bytes.
@@ -55,13 +57,23 @@ def _locate(cuts: np.ndarray, key, step: int = 32):
     return (start + below(F.slice(held(cuts), start + 1, F.lit(step)))).cast("long")
 
 
+def _heavy_texts(placed: DataFrame, ranges: list[int], least: float) -> list[tuple[int, int, int]]:
+    """(range, key, bytes) of the texts in the given ranges whose copies hold more than ``least``; as few as such bytes fit the ranges."""
+    if not ranges:
+        return []
+    per_text = placed.filter(F.col("_range").isin(ranges)).groupBy("_range", "_key").agg(F.sum("_size").alias("_bytes"))
+    return [(r["_range"], r["_key"], r["_bytes"]) for r in per_text.filter(F.col("_bytes") > least).collect()]
+
+
 def shard(
-    df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 64, task_bytes: int = 64 << 20
+    df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 64, task_bytes: int = 64 << 20,
+    per_range: int = 32,
 ) -> DataFrame:
     """Rows (id, size, text_crc32, range_id, shard, slot).
 
     ``ranges_per_shard`` bounds what the driver holds: splitters, range sums and the few overfull texts. ``task_bytes`` bounds what
-    one task sorts to number the slots, so ranges of a huge input are numbered in several pieces.
+    one task sorts to number the slots, so ranges of a huge input are numbered in several pieces. ``per_range`` keys are sampled for
+    each range; with fewer, more ranges come out overfull and are cut again.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(
@@ -72,21 +84,29 @@ def shard(
     )
     total = keyed.agg(F.sum("_size")).first()[0] or 0
     ranges = shards * ranges_per_shard
-    cuts = splitters(keyed, total, ranges)
+    cuts = splitters(keyed, total, ranges, per_range)
     target, share = max(1.0, total / ranges), max(1.0, total / shards)
     # The row number spreads rows that are equal in all else; it is stored, so a repeated task sees the same one.
     placed = cut(keyed.withColumns({"_range": _locate(cuts, F.col("_key")), "_row": F.monotonically_increasing_id()}))
-    sums = {r["_range"]: r["_bytes"] for r in placed.groupBy("_range").agg(F.sum("_size").alias("_bytes")).collect()}
-    # Overfull ranges: texts that hold most of a range by themselves leave it.
-    overfull = [k for k, b in sums.items() if b > 1.5 * target]
-    heavy: list[tuple[int, int, int]] = []
-    if overfull:
-        per_text = placed.filter(F.col("_range").isin(overfull)).groupBy("_range", "_key").agg(F.sum("_size").alias("_bytes"))
-        heavy = [(r["_range"], r["_key"], r["_bytes"]) for r in per_text.filter(F.col("_bytes") > target / 2).collect()]
+    while True:
+        sums = {r["_range"]: r["_bytes"] for r in placed.groupBy("_range").agg(F.sum("_size").alias("_bytes")).collect()}
+        # Overfull ranges: texts that hold most of a range by themselves leave it.
+        heavy = _heavy_texts(placed, [k for k, b in sums.items() if b > FULL * target], target / 2)
+        for home, _, size in heavy:
+            sums[home] -= size
+        # What is still overfull is cut at further splitters, sampled among its light texts.
+        wide = [k for k, b in sums.items() if b > FULL * target]
+        if not wide:
+            break
+        light = placed.filter(F.col("_range").isin(wide) & ~F.col("_key").isin([key for _, key, _ in heavy]))
+        held = sum(sums[k] for k in wide)
+        # Ever denser: with all keys in the sample the ranges are exact, and a light text fills no range, so this ends.
+        per_range *= 4
+        cuts = np.union1d(cuts, splitters(light, held, 2 * int(np.ceil(held / target)), per_range))
+        placed = placed.withColumn("_range", _locate(cuts, F.col("_key")))
     spark = df.sparkSession
     names, sizes, piece_of = [], [], {}
-    for home, key, size in sorted(heavy):
-        sums[home] -= size
+    for _, key, size in sorted(heavy):
         piece_of[key] = (len(names), pieces := int(np.ceil(size / target)) if size > share else 1)
         names += [("text", key, i) for i in range(pieces)]
         sizes += [size / pieces] * pieces
