@@ -4,11 +4,13 @@ A pattern is a window of benchmark words. For patterns of one length the search
 with the distance from a block's last place in any pattern to the pattern's end. The scan looks at one block, skips as many words as
 that distance allows, and only where it is zero looks up the patterns that end with this block and compares them word by word.
 
-Items too short for a window form their own length class with its own tables. The benchmark is sent to the tasks in blocks of bounded
-bytes; a benchmark beyond one block is searched in several passes over the rows, which carry the found spans along and shuffle nothing.
+Items too short for a window form their own length class with its own tables. The benchmark is sent to the tasks in blocks of a bounded
+number of windows; long items are divided. A benchmark beyond one block is searched in several passes, which carry the found spans along
+in stored rows and shuffle nothing.
 
 Defined results: null texts have no words; items without words have no window; a null item id counts as an item named by an empty
 text; equal item ids count once. Windows of equal text belong to all their items. Copies of a document each get the full result.
+An input column named like the result stays, and the result, always the last column, takes the next longer free name.
 """
 
 from __future__ import annotations
@@ -16,15 +18,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from snapledger.llm.common import free_name, stored
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-BLOCK_BYTES = 16 << 20
+# About 300 bytes of tables a window: 60 MB a block in the driver and in each task.
+BLOCK_WINDOWS = 200_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -33,26 +38,47 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Matcher:
-    """Shift and bucket tables for a set of (item, text)."""
-
-    def __init__(self, items: Iterable[tuple[str, bytes | None]], window: int = 10):
-        by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = words_of(text)
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1 if size else 0):
-                by_length[size][tuple(words[k : k + size])].add(item)
+    """Shift and bucket tables for pieces (item, words, window) of a benchmark.
+
+    A pattern is a place in one list of all words, so its words are stored once however many windows they belong to.
+    """
+
+    def __init__(self, pieces: Iterable[tuple[str, list[bytes], int]]):
+        known: dict[bytes, bytes] = {}
+        self.words: list[bytes] = []
+        first: dict[tuple[bytes, ...], int] = {}  # distinct windows, needed while the tables are made
+        self.owners: dict[int, str | set[str]] = {}
+        for item, words, size in pieces:
+            base = len(self.words)
+            self.words += [known.setdefault(w, w) for w in words]
+            for k in range(base, len(self.words) - size + 1):
+                at = first.setdefault(tuple(self.words[k : k + size]), k)
+                held = self.owners.setdefault(at, item)
+                if isinstance(held, set):
+                    held.add(item)
+                elif held != item:
+                    self.owners[at] = {held, item}
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for pattern, at in first.items():
+            by_length[len(pattern)].append(at)
         self.classes = []
-        for m, patterns in sorted(by_length.items()):
+        for m, places in sorted(by_length.items()):
             block = min(2, m)
             shift: dict[tuple[bytes, ...], int] = {}
-            bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], frozenset[str]]]] = defaultdict(list)
-            for pattern, owners in patterns.items():
+            bucket: dict[tuple[bytes, ...], int | list[int]] = {}
+            for at in places:
                 for end in range(block, m + 1):
-                    key = pattern[end - block : end]
+                    key = tuple(self.words[at + end - block : at + end])
                     shift[key] = min(shift.get(key, m), m - end)
-                bucket[pattern[m - block :]].append((pattern, frozenset(owners)))
-            self.classes.append((m, block, m - block + 1, shift, dict(bucket)))
+                key = tuple(self.words[at + m - block : at + m])
+                held = bucket.get(key)
+                if held is None:
+                    bucket[key] = at
+                elif isinstance(held, list):
+                    held.append(at)
+                else:
+                    bucket[key] = [held, at]
+            self.classes.append((m, block, m - block + 1, shift, bucket))
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans (first word, past the last) of all occurrences, and the items they come from."""
@@ -68,11 +94,12 @@ class Matcher:
                 if skip:
                     at += skip
                     continue
-                here = tuple(words[at - m : at])
-                for pattern, owners in bucket.get(key, ()):
-                    if pattern == here:
+                here, places = words[at - m : at], bucket.get(key, ())
+                for place in places if isinstance(places, (list, tuple)) else (places,):
+                    if self.words[place : place + m] == here:
                         spans.append((at - m, at))
-                        found |= owners
+                        owners = self.owners[place]
+                        found |= owners if isinstance(owners, set) else {owners}
                 at += 1
         return spans, found
 
@@ -87,14 +114,28 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items in sets of about ``block_bytes`` each, one set at a time."""
+def _pieces(item: str, words: list[bytes], window: int, most: int) -> Iterator[tuple[str, list[bytes], int]]:
+    """An item as stretches of at most ``most`` windows, which share the words that a window across their border needs."""
+    size = min(window, len(words))
+    for k in range(0, len(words) - size + 1 if size else 0, most):
+        yield item, words[k : k + most + size - 1], size
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_windows: int) -> Iterator[Matcher]:
+    """Tables for the benchmark in blocks of at most ``block_windows`` windows, one block held at a time."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
-    for k in range(count):
-        part = items if count == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
-        yield Matcher((r["i"], r["t"].encode("utf-8") if r["t"] is not None else None) for r in part.toLocalIterator())
+    held, count = [], 0
+    for row in items.toLocalIterator():
+        words = words_of(row["t"].encode("utf-8")) if row["t"] is not None else []
+        for piece in _pieces(row["i"], words, window, block_windows):
+            more = len(piece[1]) - piece[2] + 1
+            if held and count + more > block_windows:
+                yield Matcher(held)
+                held, count = [], 0
+            held.append(piece)
+            count += more
+    if held or not count:
+        yield Matcher(held)
 
 
 HITS = "n_words:long,spans:array<int>,items:array<string>"
@@ -120,17 +161,20 @@ def _scanner(shared):
 
 def contaminated(
     df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES, out: str = "hits",
+    block_windows: int = BLOCK_WINDOWS, out: str = "hits",
 ) -> DataFrame:
     """All rows and columns, and a struct (n_words, spans, items): the words in all, the hit spans and the items that occur.
 
     ``spans`` is a flat list of first and past-the-last word numbers of separate stretches in order.
     """
-    context = df.sparkSession.sparkContext
-    done = df.withColumn(out, F.lit(None).cast(f"struct<{HITS}>"))
-    for matcher in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    context, name = df.sparkSession.sparkContext, free_name(df, out)
+    done = df.withColumn(name, F.lit(None).cast(f"struct<{HITS}>"))
+    for number, matcher in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_windows)):
+        if number:
+            # Between two blocks the rows are stored, so a task holds the tables of one block and not of all.
+            done = stored(done)
         scan = _scanner(context.broadcast(matcher))
-        done = done.withColumn(out, scan(F.col(text_col).cast("string"), F.col(out)))
+        done = done.withColumn(name, scan(F.col(text_col).cast("string"), F.col(name)))
     return done
 
 
