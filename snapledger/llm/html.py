@@ -7,7 +7,8 @@ say article they cost nothing, so a long advert does not cut the article in two,
 
 Defined results: null, empty and textless pages give an empty text. Scripts, styles, comments, titles, controls and hidden elements never
 count. An element that is never closed reaches to the end of its parent. Character references without a semicolon are decoded as
-browsers do; cut-off references stay as they are. Of equal regions the first one is taken.
+browsers do; cut-off references stay as they are. Of equal regions the first one is taken. An input column named like the
+result stays, and the result, always the last column, takes the next longer free name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import per_row
+from snapledger.llm.common import free_name, per_row
 from snapledger.llm.labelled_pages import labelled_pages
 
 # Elements whose content is never text of the page.
@@ -267,4 +268,4 @@ def extracted(df: DataFrame, html_col: str = "html", using: Weights | None = Non
         texts = ["\n\n".join(blocks(p.decode("utf-8"), shared.value)) if p else "" for p in pages]
         return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    return df.withColumn(out, per_row(run, "text string,n_chars long")(F.col(html_col).cast("string")))
+    return df.withColumn(free_name(df, out), per_row(run, "text string,n_chars long")(F.col(html_col).cast("string")))

@@ -8,7 +8,8 @@ The whole text is read, in stretches of ``STRETCH`` bytes that run side by side
 text's length beyond the bytes themselves.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties go to the first language by name; without any
-labelled text every text is ``und``. Equal texts get equal results.
+labelled text every text is ``und``. Equal texts get equal results. An input column named like the
+result stays, and the result, always the last column, takes the next longer free name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import labelled_sample, per_row
+from snapledger.llm.common import free_name, labelled_sample, per_row
 
 UNDETERMINED = "und"
 HIDDEN = 8
@@ -29,6 +30,11 @@ MAX_ROWS = 4000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _lettered(text: str) -> bool:
+    """Whether a text has a letter; signs such as ½ and ² match the pattern too and are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def _gate(x: np.ndarray) -> np.ndarray:
     """Logistic function, through tanh, in place."""
     x *= 0.5
@@ -104,7 +110,7 @@ class Model:
         result: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         if not self.languages:
             return result
-        known = [k for k, t in enumerate(texts) if t and _LETTER.search(t.decode("utf-8", "replace"))]
+        known = [k for k, t in enumerate(texts) if t and _lettered(t.decode("utf-8", "replace"))]
         for k, sums in self._sums([(k, texts[k]) for k in known]):
             best = int(np.argmax(sums))
             result[k] = self.languages[best], float(min(1.0, sums[best] / sums.sum()))
@@ -201,4 +207,4 @@ def identified(df: DataFrame, model: Model, text_col: str = "text", out: str = "
         found = shared.value.label(texts)
         return {"lang": [f[0] for f in found], "score": [f[1] for f in found]}
 
-    return df.withColumn(out, per_row(run, "lang string,score double")(F.col(text_col).cast("string")))
+    return df.withColumn(free_name(df, out), per_row(run, "lang string,score double")(F.col(text_col).cast("string")))

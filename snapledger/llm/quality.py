@@ -6,7 +6,8 @@ short vector per feature; a pair of features interacts by the product of their v
 the sum less the sum of squares, so a text costs time linear in its features. Training is by gradient steps in numpy.
 
 Defined results: null and empty texts have the statistics of an empty text; a missing stored length gives no feature; without any
-labelled row the score is 1, so nothing is thrown away unlearned.
+labelled row the score is 1, so nothing is thrown away unlearned. An input column named like the
+result stays, and the result, always the last column, takes the next longer free name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 import pyarrow as pa
 
-from snapledger.llm.common import _bytes, labelled_sample
+from snapledger.llm.common import _bytes, free_name, labelled_sample
 
 WORDS = 2048
 EDGES = np.array([0.002, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
@@ -142,4 +143,4 @@ def scored(df: DataFrame, model: Machine, text_col: str = "text", length_col: st
         return pa.array(shared.value.scores(_bytes(texts), stored.to_pylist()), pa.float64())
 
     score = arrow_udf(run, "double").asNondeterministic()
-    return df.withColumn(out, score(F.col(text_col).cast("string"), _length(length_col)))
+    return df.withColumn(free_name(df, out), score(F.col(text_col).cast("string"), _length(length_col)))

@@ -8,7 +8,8 @@ the last entry of the table.
 No piece of such a model holds a word-start mark after another character, so no piece crosses that border. A text is cut there and
 equal stretches are encoded once per task, as long as they are short. Characters outside the vocabulary become their UTF-8 bytes.
 
-Defined results: null and empty texts give the begin and end ids alone; texts of any length are taken whole.
+Defined results: null and empty texts give the begin and end ids alone; texts of any length are taken whole. An input column named like the
+result stays, and the result, always the last column, takes the next longer free name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import per_row
+from snapledger.llm.common import free_name, per_row
 
 MARK = "▁"
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -210,4 +211,4 @@ def encoded(df: DataFrame, model_file: str, text_col: str = "text", out: str = "
         return {"n_tokens": counts, "ids": [f[0] for f in found], "decoded": [f[1].decode("utf-8", "replace") for f in found]}
 
     fn = per_row(run, DIGESTS if digests else TOKENS)
-    return df.withColumn(out, fn(F.col(text_col).cast("string")))
+    return df.withColumn(free_name(df, out), fn(F.col(text_col).cast("string")))

@@ -11,7 +11,8 @@ its fingerprints are linked through the 64-bit words at most one bit away, since
 both are within one bit of some word. That makes a row per free bit and fingerprint and loses no link.
 
 Defined results: null texts and texts without words have the fingerprint zero and link like any other; a null id is larger than none
-(components are named by the smallest id that is not null); repeated rows share a node; an empty table gives no rows.
+(components are named by the smallest id that is not null); repeated rows share a node; an empty table gives no rows. An input column named like the
+result stays, and the result, always the last column, takes the next longer free name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fp") -> Data
         found = [fingerprint(t) for t in texts]
         return {"fp": [f - (1 << 64) if f >> 63 else f for f in found]}
 
-    return df.withColumn(out, per_row(run, "fp long")(F.col(text_col).cast("string"))["fp"])
+    return df.withColumn(free_name(df, out), per_row(run, "fp long")(F.col(text_col).cast("string"))["fp"])
 
 
 def _run_and_width(limit: int, segments: int) -> tuple[int, int]:

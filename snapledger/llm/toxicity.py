@@ -12,7 +12,8 @@ that the model finds worst so far.
 For scoring, softmax and embeddings collapse into one number per bucket, so a text costs one table look-up per n-gram.
 
 Defined results: null, empty and wordless texts get the score of an empty passage. Equal texts get equal scores. Without any labelled
-row the score is 0.
+row the score is 0. An input column named like the
+result stays, and the result, always the last column, takes the next longer free name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import labelled_sample, per_row
+from snapledger.llm.common import free_name, labelled_sample, per_row
 
 SIZES = (3, 4, 5, 6)
 WINDOW = 2
@@ -278,4 +279,4 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", out: str = "toxi
     def run(texts: list[bytes | None]) -> dict:
         return {"score": shared.value.scores(texts)}
 
-    return df.withColumn(out, per_row(run, "score double")(F.col(text_col).cast("string"))["score"])
+    return df.withColumn(free_name(df, out), per_row(run, "score double")(F.col(text_col).cast("string"))["score"])

@@ -129,3 +129,7 @@ def test_quality_odd_rows(spark):
     out = [r["quality_score"] for r in quality.scored(docs, quality.fit(docs)).collect()]
     assert len(out) == 4 and all(0 <= s <= 1 for s in out) and out[2] == out[3]
     assert all(r["quality_score"] == 1.0 for r in quality.scored(docs, quality.fit(docs.limit(0))).collect())
+
+
+def test_signs_of_numbers_are_no_letters():
+    assert [language._lettered(t) for t in ("½ ² ③ Ⅷ 12 _", "", "x", "½a", "é", "ж", "中", "ª")] == [False, False, True, True, True, True, True, True]
