@@ -13,7 +13,7 @@ from snapledger.functions import text, values
 from snapledger.operators import contracts, current, diff, gate
 from snapledger.operators.ordered import latest
 from snapledger.session import ensure_checkpoint_dir
-from snapledger.sources import sinks
+from snapledger.sources import sinks, state
 
 RAW_NAMES = {
     "input_price_per_1m_tokens": "input_price",
@@ -56,18 +56,11 @@ def snapshot_rows(valid: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def previous_state(prices: DataFrame, runs: DataFrame, sources: DataFrame, previous: str, identity: Sequence[str] = STATE) -> DataFrame:
-    """The stored state that the first new batch of each source is compared with.
-
-    ``last_run``: what the newest comparable run of each source showed, so a gone identity is reported
-    once. ``state``: the newest row per identity over all runs, so it is reported by every later run.
-    """
-    covered = prices.join(sources, "source_id", "left_semi")
-    usable = runs.filter(F.col("status").isin(*current.COMPARABLE_STATUSES))
-    if previous == "last_run":
-        newest = usable.groupBy("source_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
-        return covered.join(newest.select("source_id", "run_id"), ["source_id", "run_id"], "left_semi")
-    return latest(covered.join(usable.select("run_id"), "run_id", "left_semi"), identity, ["observed_at", "created_at", "snapshot_id"])
+def last_shown(snapshots: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """What the newest comparable run of each source showed: the stored rows its first new batch is compared with."""
+    usable = runs.filter(F.col("status").isin(*current.COMPARABLE_STATUSES)).join(sources, "source_id", "left_semi")
+    newest = usable.groupBy("source_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+    return snapshots.join(newest, ["source_id", "run_id"], "left_semi")
 
 
 def decide_in_order(known: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -143,8 +136,10 @@ def admit_prices(
 
     ``records``: contract columns plus ``batch_id`` and ``position``. ``manifest``: batch_id, source_id,
     started_at, external_run_id, collector_error, one row per announced batch. Batches of a source count in the order of their start:
-    each is judged and compared with the ones before it. Everything is computed and checked before the first write. The run log is
-    written last, so a job that dies before is repeated in full, and every earlier write skips what is stored.
+    each is judged and compared with the ones before it. ``previous``: ``last_run`` compares with what the newest comparable run of the
+    source showed, so a gone identity is reported once; ``state`` with the newest row per identity over all runs, so it is reported by
+    every later run. Everything is computed and checked before the first write. The run log is written last, so a job that dies
+    before is repeated in full, and every earlier write skips what is stored.
     """
     gated = gate_batches(records, manifest, root, contract or contracts.price_contract())
     snapshots = snapshot_rows(gated.valid, gated.known).checkpoint()
@@ -165,8 +160,11 @@ class Gated:
 
     def states(self, root: str, table: str, snapshots: DataFrame, previous: str, identity: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         """(previous, current) rows of every admitted batch, see :func:`compared_states`."""
-        sources = self.decided.filter(~F.col("refused")).select("source_id").distinct()
-        stored = previous_state(sinks.read_ledger(snapshots.sparkSession, root, table), self.log, sources, previous, identity)
+        spark, sources = snapshots.sparkSession, self.decided.filter(~F.col("refused")).select("source_id").distinct()
+        if previous == "state":
+            stored = latest(state.read_current(spark, root, table).join(sources, "source_id", "left_semi"), identity, state.ORDER)
+        else:
+            stored = last_shown(sinks.read_ledger(spark, root, table), self.log, sources)
         return compared_states(stored, snapshots, self.decided, previous, identity)
 
     def write(self, root: str, table: str, snapshots: DataFrame, changes: DataFrame, dimensions: Callable[[], None] | None = None) -> Outcome:
@@ -179,6 +177,7 @@ class Gated:
         changes = sinks.collapse_changes(changes).checkpoint()
         incidents = incident_rows(self.decided, sinks.read_incidents(snapshots.sparkSession, root, self.decided)).checkpoint()
         sinks.append_snapshots(snapshots, root, table)
+        state.remember(snapshots, root, table)
         sinks.append_changes(changes, root)
         sinks.append_new(quarantine_rows(self.validated, self.decided).checkpoint(), root, "fact_quarantine", ["run_id", "position"])
         sinks.append_new(incidents, root, "fact_incident", ["incident_id", "status"])
