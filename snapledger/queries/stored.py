@@ -1,4 +1,4 @@
-"""Reads served by the stored current state: a ledger made of the input tables, compacted, with deltas on top."""
+"""Reads of stored files made of the input tables: the current state, compacted, with deltas on top; raw JSON arrays."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from snapledger.queries.history import COMPARABLE_SQL, _latest_sql, day, sql_day
 from snapledger.queries.registry import query
 from snapledger.queries.sqlviews import cte
 from snapledger.session import ensure_checkpoint_dir
-from snapledger.sources import sinks, state, tables, views
+from snapledger.sources import arrays, sinks, state, tables, views
 
 # Two compactions and a delta after them: rows before the first come from the history, those between from deltas.
 FIRST, SECOND = "1995-01-01", "1997-01-01"
@@ -77,3 +77,21 @@ def g3_stored_lifecycle(spark, folder):
     rows = views.lifecycle_obs(spark, folder).withColumn("source_id", F.col("entity_id"))
     found = state.read_current(spark, _ledger(spark, folder, "fact_lifecycle", rows), "fact_lifecycle")
     return found.select(F.col("entity_id").cast("bigint").alias("entity_id"), "api_id", "snapshot_id", "state", "replacement", day("deprecated_on"))
+
+
+@query(
+    "a1_load_arrays",
+    "select conv_id as doc_id, role, turn, cast(len(text) as bigint) as text_length, cast(null as varchar) as corrupt_record from conversations"
+    " union all select null, null, null, null, cast(turn as varchar) from conversations",
+)
+def a1_load_arrays(spark, folder):
+    # Every turn is stored in an array beside a record that is none; the files are then read by byte ranges.
+    turns = tables.load(spark, folder, "conversations")
+    told = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    root = f"{ensure_checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    turns.select(F.concat(F.lit("["), told, F.lit(", "), F.col("turn").cast("string"), F.lit("]"))).write.text(root)
+    base = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    rows = arrays.load_arrays(spark, base, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    return rows.select(
+        F.col("record.conv_id").alias("doc_id"), "record.role", "record.turn", F.length("record.text").cast("bigint").alias("text_length"),
+        "corrupt_record")
