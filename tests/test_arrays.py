@@ -62,3 +62,9 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"a": str(k)} for k in range(2000)]))
     rows = read_arrays(spark, f"file://{tmp_path}", 1000)
     assert rows.rdd.getNumPartitions() > 20 and rows.select("position").distinct().count() == 2000
+
+
+def test_a_folder_without_files_has_no_records(spark, tmp_path):
+    assert load_arrays(spark, f"file://{tmp_path}", "a STRING").collect() == []
+    with pytest.raises(Exception, match="(?i)not.?found|no such file|does not exist"):
+        load_arrays(spark, f"file://{tmp_path}/none", "a STRING")

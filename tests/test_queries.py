@@ -18,8 +18,8 @@ from snapledger.schemas import TABLE_DDL  # noqa: E402
 FOLDER = os.environ.get("SNAPLEDGER_DATA", "/root/testdata/sf0.001")
 # One query per family; SNAPLEDGER_ALL=1 runs all of them.
 SOME = [
-    "flagship_price_movement", "a3_scan_history", "a7_upsert_dimensions", "b14_issue_codes", "c12_family_key", "c20_content_hash", "c27_labels",
-    "d15_reason_codes", "e4_entity_evidence", "e5_identity_cascade", "f1_diff_prices", "f7_event_order", "f9_price_history_changes",
+    "flagship_price_movement", "a1_load_arrays", "a3_scan_history", "a7_upsert_dimensions", "b14_issue_codes", "c12_family_key", "c20_content_hash",
+    "c27_labels", "d15_reason_codes", "e4_entity_evidence", "e5_identity_cascade", "f1_diff_prices", "f7_event_order", "f9_price_history_changes",
     "g2_latest_comparable_price", "g7_health_view", "h12_category_significance", "i3_temporal_page", "j6_compare_providers", "k7_cost_ranking",
     "l3_name_resolution", "n2_unsupported_claims", "s3_daily_counts",
 ]
