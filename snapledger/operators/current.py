@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.operators.ordered import latest
@@ -77,17 +77,19 @@ def primary_tier(
     standard_mode: str = "standard",
     standard_tiers: Sequence[str] = STANDARD_TIERS,
 ) -> DataFrame:
-    """The tier a general price quotes. Chosen by name only, never by price."""
-    rank = F.struct(
+    """The tier a general price quotes. Chosen by name only, never by price.
+
+    A rank filter, so only the columns a caller uses travel through it and through what comes before.
+    """
+    rank = [
         F.when(F.col("mode") == standard_mode, 0).otherwise(1),
         tier_rank(F.col("tier"), standard_tiers),
         F.col("mode"),
         F.col("tier"),
-    )
+    ]
     rest = [c for c in tiers.columns if c not in entity]
-    return (
-        tiers.groupBy(*entity).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(*entity, "_row.*")
-    )
+    numbered = tiers.withColumn("_rn", F.row_number().over(Window.partitionBy(*entity).orderBy(*rank)))
+    return numbered.filter("_rn = 1").select(*entity, *rest)
 
 
 CAPABILITY_VALUES = [
