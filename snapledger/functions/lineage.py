@@ -54,26 +54,23 @@ def raw_entries(raw: Column) -> Column:
 
 def find_entry(entries: Column, aliases: Sequence[str]) -> Column:
     """The entry of the first alias that occurs."""
-
-    def named(alias: str) -> Column:
-        folded = "".join(ch for ch in alias.lower() if ch.isalnum())
-        return F.get(F.filter(entries, lambda e: e["folded"] == folded), F.lit(0))
-
-    return F.coalesce(*[named(alias) for alias in aliases])
+    folded = ["".join(ch for ch in alias.lower() if ch.isalnum()) for alias in aliases]
+    places = [F.nullif(F.array_position(entries["folded"], name), F.lit(0)) for name in folded]
+    return F.get(entries, (F.coalesce(*places) - 1).cast("int"))
 
 
 def lineage(df: DataFrame, keys: Sequence[str], raw: str, normalized: Mapping[str, Column],
             aliases: Mapping[str, Sequence[str]] = PRICE_ALIASES) -> DataFrame:
     """One row per (record, canonical field): the raw key and value it came from, or ``derived``."""
+    # An entry is looked up once per field; its text is cleaned after the rows are made, in compiled code.
     kept = df.withColumn("_entries", raw_entries(F.col(raw)))
-    fields = []
-    for field, value in normalized.items():
-        entry = find_entry(F.col("_entries"), aliases[field])
-        fields.append(F.struct(
-            F.lit(field).alias("normalized_field"),
-            value.cast("string").alias("normalized_value"),
-            entry["key"].alias("raw_field"),
-            clean_text(entry["value"], 120).alias("raw_value"),
-            F.when(entry.isNotNull(), "mapped").otherwise("derived").alias("derivation"),
-        ))
-    return kept.select(*keys, F.explode(F.array(*fields)).alias("f")).select(*keys, "f.*")
+    fields = [
+        F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), find_entry(F.col("_entries"), aliases[field]).alias("entry"))
+        for field, value in normalized.items()
+    ]
+    entry = F.col("f.entry")
+    return kept.select(*keys, F.explode(F.array(*fields)).alias("f")).select(
+        *keys, F.col("f.field").alias("normalized_field"), F.col("f.value").alias("normalized_value"),
+        entry["key"].alias("raw_field"), clean_text(entry["value"], 120).alias("raw_value"),
+        F.when(entry.isNotNull(), "mapped").otherwise("derived").alias("derivation"),
+    )
