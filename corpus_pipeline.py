@@ -46,7 +46,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near duplicates: five-word shingles of similarity 0.8 or more."""
+    """Keeps the document with the smallest id of every group of near duplicates: five-word shingles of similarity 0.8 or more.
+
+    Candidates are fingerprints linked by pigeonring, as in ``op8_simhash``, and texts that share a key of smallest hashes.
+    """
     return similar.deduplicated(docs)
 
 

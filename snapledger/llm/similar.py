@@ -1,8 +1,9 @@
 """Near duplicates by the similarity of word shingles.
 
-Two texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, whole texts. Candidates share one of
-``BANDS`` keys, each of ``ROWS`` smallest hashes under permutations of their own; a pair of similarity 0.8 shares none with probability
-5e-8 and a more similar one less. A candidate is dropped before the exact comparison only if one-bit samples of the 128 smallest hashes
+Two texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, whole texts. Candidates come from two
+sides. Fingerprints that pigeonring (:mod:`snapledger.llm.simhash`) links at two or fewer bits are candidates, and all of them are compared exactly.
+As two bits miss most pairs of that similarity, candidates are also those that share one of ``BANDS`` keys, each of ``ROWS`` smallest hashes under permutations of their own; a pair of similarity 0.8 shares none with probability
+5e-8 and a more similar one less. A candidate of the second side is dropped before the exact comparison only if one-bit samples of the 128 smallest hashes
 agree in fewer than ``AGREE`` places, which at similarity 0.8 happens about once in ten million pairs. All others are compared exactly.
 
 Equal shingle sets are one node. No key makes all its pairs: its nodes are compared with a pivot first, in keys of more than ``bucket``
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from snapledger.llm.common import free_name, per_row, stored
 from snapledger.llm.components import components
-from snapledger.llm.simhash import _WORD
+from snapledger.llm.simhash import _WORD, fingerprint, links
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 32, 4
@@ -85,10 +86,10 @@ def _nodes(texts: list[bytes | None]) -> dict:
 
 
 def _sketches(texts: list[bytes | None]) -> dict:
-    out: dict = {"node": [], "keys": [], "b0": [], "b1": []}
+    out: dict = {"node": [], "keys": [], "b0": [], "b1": [], "fp": []}
     for t in texts:
-        found = shingles(t)
-        for name, value in zip(out, (node_of(found), *sketch(found))):
+        found, fp = shingles(t), fingerprint(t)
+        for name, value in zip(out, (node_of(found), *sketch(found), fp - (1 << 64) if fp >> 63 else fp)):
             out[name].append(value)
     return out
 
@@ -103,9 +104,21 @@ def _alike():
     return F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) <= BANDS * ROWS - AGREE
 
 
-def _sets_of(df: DataFrame, lists: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, held) of all listed nodes: the texts are read once more, and only listed ones are cut into shingles."""
-    asked = lists.select("node").distinct()
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes whose fingerprints are equal or linked; the smallest node of a fingerprint stands for it."""
+    held = stored(rows.select("fp", "node").distinct())
+    first = stored(held.groupBy("fp").agg(F.min("node").alias("first")))
+    same = held.join(first, "fp").select("first", "node")
+    a = first.select(F.col("fp").alias("src"), F.col("first").alias("a"))
+    b = first.select(F.col("fp").alias("dst"), F.col("first").alias("b"))
+    near = links(first.select(F.col("fp").alias("node"), "fp")).join(a, "src").join(b, "dst").select("a", "b")
+    pairs = same.toDF("a", "b").unionByName(near).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def _sets_of(df: DataFrame, lists: DataFrame, pairs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, held) of all nodes of lists and pairs: the texts are read once more, and only these are cut into shingles."""
+    asked = lists.select("node").unionByName(pairs.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
     named = stored(groups.join(asked, "node").select(F.col("least").alias("_least"), F.col("node").alias("_asked")))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     texts = texts.join(named.select("_least").distinct(), F.col("id").eqNullSafe(F.col("_least")), "left_semi")
@@ -199,8 +212,9 @@ def _rooted(df: DataFrame, rows: DataFrame, groups: DataFrame, bucket: int, id_c
     lists = sketches.select("node", "b0", "b1", F.explode("keys").alias("key"))
     sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = stored(lists.join(sizes, "key"))
-    sets = _sets_of(df, lists, groups, id_col, text_col)
-    first = stored(_starred(lists, bucket))
+    near = stored(_by_fingerprint(rows))
+    sets = _sets_of(df, lists, near, groups, id_col, text_col)
+    first = stored(_starred(lists, bucket).unionByName(near).distinct())
     roots = components(_verified(first, sets))
     open_ = stored(_apart(_with_roots(lists, roots), "key"))
     left = _across(open_.filter(F.col("n") <= bucket), "key", [], F.lit(True))
@@ -228,7 +242,7 @@ def deduplicated(df: DataFrame, bucket: int = 64, id_col: str = "doc_id", text_c
     A component whose ids are all null keeps one row too.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    made = per_row(_sketches, "node long,keys array<long>,b0 long,b1 long")("t").alias("s")
+    made = per_row(_sketches, "node long,keys array<long>,b0 long,b1 long,fp long")("t").alias("s")
     rows = stored(texts.select("id", made).select("id", "s.*"))
     groups = stored(rows.groupBy("node").agg(F.min("id").alias("least")))
     roots = _rooted(df, rows, groups, bucket, id_col, text_col).select(F.col("node").alias("_n"), "root")

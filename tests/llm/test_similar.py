@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as cp
-from snapledger.llm import similar
+from snapledger.llm import simhash, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,3 +98,28 @@ def test_planted_pairs_are_all_found(spark, share):
         rows += [(2 * pair, " ".join(base), "aa", "s", 1), (2 * pair + 1, " ".join(base[: 204 - other] + [word() for _ in range(other)]), "aa", "s", 1)]
     kept = {r["doc_id"] for r in similar.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept == {2 * pair for pair in range(100)} == set(kept_by_definition(rows))
+
+
+def test_pigeonring_links_are_candidates_and_compared_exactly(spark, monkeypatch):
+    """Without any shared key, near fingerprints alone still bring copies together, and only those that are alike."""
+    nothing = spark.createDataFrame([], "src long, dst long")
+    monkeypatch.setattr(similar, "_starred", lambda *_: nothing)
+    monkeypatch.setattr(similar, "_across", lambda *_: nothing)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeinorst", k=8))
+    rows = []
+    for pair in range(40):
+        base = [word() for _ in range(400)]
+        rows += [(2 * pair, " ".join(base), "aa", "s", 1), (2 * pair + 1, " ".join([*base[:-1], word()]), "aa", "s", 1)]
+    prints = {r[0]: simhash.fingerprint(r[1].encode()) for r in rows}
+    linked = [p for p in range(40) if bin(prints[2 * p] ^ prints[2 * p + 1]).count("1") <= 2]
+    kept = {r["doc_id"] for r in cp.duplicates_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert len(linked) > 20 and kept == {r[0] for r in rows} - {2 * p + 1 for p in linked}
+
+
+def test_linked_fingerprints_that_are_not_alike_stay_apart(spark):
+    """Repeated words set the fingerprint, and a few others change most of the distinct shingles: one fingerprint, but no link."""
+    rows = [(1, "a b c " * 20, "aa", "s", 1), (2, "a b c " * 10 + "x y " + "a b c " * 10, "aa", "s", 1), (3, "1 2 3", "aa", "s", 1)]
+    kept = sorted(r["doc_id"] for r in similar.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert bin(simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).count("1") <= 2
+    assert kept == kept_by_definition(rows) == [1, 2, 3]
