@@ -92,6 +92,26 @@ def primary_tier(
     return numbered.filter("_rn = 1").select(*entity, *rest)
 
 
+def newest_primary(
+    prices: DataFrame,
+    order: Sequence[str],
+    entity: Sequence[str] = ("entity_id",),
+    standard_mode: str = "standard",
+    standard_tiers: Sequence[str] = STANDARD_TIERS,
+) -> DataFrame:
+    """The newest row of the tier a general price quotes, as :func:`primary_tier` of the newest rows per (entity, mode, tier).
+
+    The tier is chosen by name, so both choices are one order within an entity: a task sends one row per entity that it read, and there
+    is one shuffle.
+    """
+    place = F.when(F.col("mode") == standard_mode, 0).otherwise(1) * (1 << 20) + tier_rank(F.col("tier"), standard_tiers)
+    # A column, so that comparing two rows does not derive their places again.
+    ranked = prices.withColumn("_place", place)
+    first = Window.partitionBy(*entity).orderBy("_place", "mode", "tier", *[F.col(c).desc() for c in order])
+    numbered = ranked.withColumn("_rn", F.row_number().over(first))
+    return numbered.filter("_rn = 1").select(*prices.columns)
+
+
 CAPABILITY_VALUES = [
     "display_name", "family", "stage", "context_window", "max_output_tokens", "supports_vision",
     "supports_tool_calling", "input_modalities", "output_modalities", "statement",

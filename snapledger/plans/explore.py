@@ -20,8 +20,7 @@ def current_entries(
     """
     wanted = ["entity_id", "mode", "tier", "snapshot_id", "input", "cached", "output", "currency", "pricing_unit", "source_url"]
     rows = prices.select(*dict.fromkeys([*wanted, *price_order]))
-    newest = latest(rows, ["entity_id", "mode", "tier"], price_order)
-    quoted = current.primary_tier(newest, ["entity_id"], standard_mode, standard_tiers)
+    quoted = current.newest_primary(rows, price_order, ["entity_id"], standard_mode, standard_tiers)
     price_side = quoted.select(
         "entity_id", F.col("mode").alias("price_mode"), F.col("tier").alias("price_tier"),
         F.col("snapshot_id").alias("price_snapshot_id"), F.col("input").alias("input_price"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from snapledger.functions import lineage
 from snapledger.operators import current
 from snapledger.operators.ordered import latest
+from snapledger.plans import explore
 from snapledger.session import SPLIT, SPLIT_BYTES, tune
 
 
@@ -21,6 +22,35 @@ def test_the_tier_pick_reads_only_used_columns(spark, tmp_path):
     assert re.search(r"ReadSchema: \S*input", plan) and not re.search(r"ReadSchema: \S*wide", plan)
 
 
+def test_the_newest_primary_price_is_picked_in_one_shuffle(spark):
+    """The same rows as the tier pick of the newest rows, missing names and odd tiers included, with one exchange."""
+    names = [None, "n", "a", "x", "Long", "long context", " F ", "> 200k"]
+    rows = [(e, m, t, at, (at or 7) % 3, f"{e} {m} {t} {at}") for e in (1, 2, 3, None) for m in names[:3] for t in names for at in (1, 2, 4, None)
+            if not (e == 2 and m == "n") and not (e == 3 and (m == "n" or t in ("x", " F ")))]
+    df = spark.createDataFrame(rows, "entity_id long, mode string, tier string, at long, run long, snapshot_id string")
+    for mode, tiers in (("n", ("f", "x")), ("standard", current.STANDARD_TIERS)):
+        want = current.primary_tier(latest(df, ["entity_id", "mode", "tier"], ["at", "run"]), ["entity_id"], mode, tiers)
+        got = current.newest_primary(df, ["at", "run"], ["entity_id"], mode, tiers)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        assert got.columns == df.columns and got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_entries_shuffle_prices_once(spark):
+    prices = spark.createDataFrame([], "entity_id long, mode string, tier string, snapshot_id string, input double, cached double, output double,"
+                                   " currency string, pricing_unit string, source_url string, observed_at timestamp, run_id long")
+    capabilities = spark.createDataFrame([], "entity_id long, api_id string, display_name string, family string, stage string, context_window long,"
+                                         " max_output_tokens long, supports_vision boolean, supports_tool_calling boolean, input_modalities array<string>,"
+                                         " output_modalities array<string>, statement string, observed_at timestamp")
+    lifecycle = spark.createDataFrame([], "entity_id long, state string, deprecated_on date, retirement_date date, not_before_date date,"
+                                      " replacement string, observed_at timestamp, run_id long")
+    entities = spark.createDataFrame([(1, "p", "m")], "entity_id long, provider string, model_name string")
+    found = explore.current_entries(entities, prices, capabilities, lifecycle, F.lit("2024-01-01").cast("timestamp"), ["observed_at", "run_id"],
+                                    ["observed_at", "run_id"])
+    plan = found.select("entity_id", "price_snapshot_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Window \[row_number", plan)) == 2  # prices and lifecycle
+    assert [tuple(r) for r in found.select("entity_id", "price_mode").collect()] == [(1, None)]
+
+
 def test_a_task_reads_a_bounded_part_of_a_file(spark):
     before = spark.conf.get(SPLIT)
     try:
