@@ -27,7 +27,6 @@ from pyspark.sql.utils import AnalysisException
 from snapledger.operators.current import COMPARABLE_STATUSES
 from snapledger.operators.ordered import latest
 from snapledger.schemas import LEDGER_DDL
-from snapledger.session import ensure_checkpoint_dir
 from snapledger.sources import sinks
 
 # What names one state, and which of its rows is the newest.
@@ -39,6 +38,8 @@ IDENTITY = {
 ORDER = ("observed_at", "created_at", "snapshot_id")
 # Fixed for a ledger: rows are found by it. A folder holds as many files as its rows need.
 BUCKETS = 32
+# Parts of a folder that one write deals its rows to, at most.
+SPREAD = 32
 
 
 def bucket(entity: Column) -> Column:
@@ -105,21 +106,25 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def remember(rows: DataFrame, root: str, table: str) -> None:
     """Append admitted snapshot rows to the state, the newest per run and identity. To be done before their run is logged."""
     number = version(rows.sparkSession, root, table)
-    kept = latest(sinks.conform(rows, table).drop("month"), ["run_id", *IDENTITY[table]], ORDER)
-    stamped = _dealt(kept).withColumn("after", F.lit(number))
+    keys = ["run_id", *IDENTITY[table]]
+    # Dealt once, by folder and part: the window finds its rows together and a folder gets a few files. A run holds an identity once or
+    # a few times, so nothing is gained by a choice before the rows are dealt.
+    dealt = sinks.conform(rows, table).drop("month").withColumns({
+        "bucket": bucket(F.col("entity_id")), "_part": F.pmod(F.xxhash64(*keys), F.lit(SPREAD))})
+    kept = latest(dealt.repartition("bucket", "_part"), ["bucket", "_part", *keys], ORDER).drop("_part")
+    stamped = kept.withColumn("after", F.lit(number))
     stamped.write.mode("append").partitionBy("after", "bucket").parquet(f"{_place(root, table)}/delta")
 
 
 def compact(spark: SparkSession, root: str, table: str) -> int:
     """Write the next base from the last one and its deltas; returns its number. Work is that of the state, not of the history."""
-    ensure_checkpoint_dir(spark)
     settled, open_, number = _rows(spark, root, table)
-    open_ = open_.checkpoint()
-    # One reading of the log for both halves, so a run that is logged meanwhile is in exactly one of them.
-    logged = _logged(open_, root).checkpoint()
-    counted = latest(settled.unionByName(open_.join(logged, "run_id", "left_semi")), IDENTITY[table], ORDER)
-    waiting = latest(open_.join(logged, "run_id", "left_anti"), ["run_id", *IDENTITY[table]], ORDER)
-    both = counted.withColumn("pending", F.lit(False)).unionByName(waiting.withColumn("pending", F.lit(True)))
+    # One pass over the rows and one reading of the log, so a run that is logged meanwhile is either counted or waiting as a whole.
+    logged = _logged(open_, root).distinct().withColumn("_logged", F.lit(True))
+    marked = open_.join(logged, "run_id", "left").withColumn("pending", F.col("_logged").isNull()).drop("_logged")
+    # Of what waits the newest is kept per run, for any of these runs may still be logged.
+    every = settled.withColumn("pending", F.lit(False)).unionByName(marked).withColumn("_run", F.when(F.col("pending"), F.col("run_id")))
+    both = latest(every, [*IDENTITY[table], "pending", "_run"], ORDER).drop("_run")
     place, following = _place(root, table), number + 1
     _dealt(both).write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/base/version={following}")
     spark.createDataFrame([(following,)], "version INT").coalesce(1).write.mode("append").parquet(f"{place}/commits")

@@ -137,3 +137,38 @@ def test_entities_are_read_from_and_written_to_their_folders_only(spark, tmp_pat
     # Every scan of the state is cut to the folders of the wanted entities, and the history is not read.
     scans = [f for f in re.findall(r"PartitionFilters: \[([^\]]*)", plan) if "version#" in f or "after#" in f]
     assert len(scans) == 3 and all("bucket#" in f for f in scans) and "month#" not in plan
+
+
+def test_rows_are_dealt_once_and_a_compaction_stores_nothing_in_between(spark, tmp_path, monkeypatch):
+    """Of rows that repeat an identity within a run the newest is kept; what waits for its run stays per run."""
+    root, plans, whole = str(tmp_path), [], state.latest
+
+    def seen(rows, keys, order):
+        plans.append(whole(rows, keys, order))
+        return plans[-1]
+
+    def never(*_):
+        raise AssertionError("a second shuffle or a checkpoint of whole rows")
+
+    log(spark, root, "r1", 1)
+    schema = "run_id string, source_id string, entity_id string, mode string, tier string, observed_at timestamp, snapshot_id string, created_at timestamp"
+    rows = [(run, "s", f"e{n % 3}", "m", None, datetime(2024, 1, 1 + n), f"{run}/{n}", datetime(2024, 1, 1)) for run in ("r1", "r2", "r3", None) for n in range(7)]
+    with monkeypatch.context() as patched:
+        patched.setattr(state, "latest", seen)
+        patched.setattr(state, "_dealt", never)
+        state.remember(spark.createDataFrame(rows, schema), root, TABLE)
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    kept = {f"{run}/{n}" for run in ("r1", "r2", "r3", None) for n in (4, 5, 6)}
+    delta = spark.read.parquet(f"{root}/current/{TABLE}/delta")
+    assert sorted(r["snapshot_id"] for r in delta.collect()) == sorted(kept)
+    assert delta.filter(F.col("bucket") != state.bucket(F.col("entity_id"))).isEmpty()
+    sinks.append_snapshots(spark.createDataFrame(rows, schema), root, TABLE)
+    with monkeypatch.context() as patched:
+        patched.setattr(type(delta), "checkpoint", never)
+        assert state.compact(spark, root, TABLE) == 1
+    base = spark.read.parquet(f"{root}/current/{TABLE}/base")
+    assert sorted(r["run_id"] for r in base.filter("not pending").collect()) == ["r1"] * 3
+    waiting = sorted(str(r["run_id"]) for r in base.filter("pending").collect())
+    assert waiting == ["None"] * 3 + ["r2"] * 3 + ["r3"] * 3
+    log(spark, root, "r3", 2)
+    assert held(spark, root) == ["r3/4", "r3/5", "r3/6"]
