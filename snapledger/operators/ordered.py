@@ -119,10 +119,12 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, out: str = "rank", off
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, out: str, spread: int = 64) -> DataFrame:
     """The first ``limit`` rows of every key, numbered from 1.
 
-    Ranks are taken twice: within parts of a key, dealt by the task that reads a row, then among what the parts keep. So no task sorts
-    more than a part of a key's rows, whatever the limit, and a task sends no more than ``limit`` rows of a key. Which part a row falls
-    into does not change the result.
+    Up to the limit for which Spark reduces a rank filter to a window group limit, every task sends no more than ``limit`` rows of a key
+    and one rank is enough. Above it ranks are taken twice: within parts of a key, dealt by the task that reads a row, then among what the
+    parts keep. So no task sorts more than a part of a key's rows, whatever the limit. Which part a row falls into does not change the result.
     """
+    if limit <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= limit)
     part = F.pmod(F.spark_partition_id(), F.lit(spread))
     inner = Window.partitionBy(*keys, "_part").orderBy(*order)
     some = df.withColumn("_part", part).withColumn(out, F.row_number().over(inner)).filter(F.col(out) <= limit).drop("_part", out)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from snapledger.operators.ordered import global_rank, last_before, latest, latest_by_aggregate, top_k, unique_or_fail
+from snapledger.operators.ordered import global_rank, last_before, latest, latest_by_aggregate, top_k, top_per_key, unique_or_fail
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,14 @@ def test_unique_or_fail(skewed):
     assert unique_or_fail(skewed, ["n"], "row").count() == 3000
     with pytest.raises(Exception, match="duplicate row identity"):
         unique_or_fail(skewed, ["k"], "row").collect()
+
+
+def test_top_rows_per_key_take_one_shuffle_if_a_task_can_reduce_them(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"), "id").repartition(5)
+    order = [F.col("v").desc(), F.col("id")]
+    for limit, exchanges in ((3, 1), (20, 1), (1500, 2)):
+        got = top_per_key(rows, ["k"], order, limit, "rn")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        want = rows.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order))).filter(F.col("rn") <= limit)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert plan.count("Exchange hashpartitioning") == exchanges and (exchanges == 2 or "WindowGroupLimit" in plan)
