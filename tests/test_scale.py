@@ -9,6 +9,7 @@ from snapledger.operators import current
 from snapledger.operators.ordered import latest
 from snapledger.plans import explore
 from snapledger.session import SPLIT, SPLIT_BYTES, tune
+from snapledger.sources import sinks
 
 
 def test_the_tier_pick_reads_only_used_columns(spark, tmp_path):
@@ -77,3 +78,13 @@ def test_lineage_cleans_a_value_after_its_row_is_made(spark):
     # The generator only looks entries up: cleaning there would run uncompiled and several times for each field.
     generate = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line)
     assert "redacted" not in generate
+
+
+def test_the_first_row_per_key_travels_once(spark):
+    """Missing keys are keys and missing order values come first, as with a minimum; tasks reduce rows before the one shuffle."""
+    rows = [(run, key, order, f"{run} {key} {order}") for run in ("a", "b", None) for key in (1, None) for order in (3, None, 1, 2) if (run, order) != ("b", None)]
+    df = spark.createDataFrame(rows, "run string, key long, at long, wide string")
+    found = sinks.one_per_key(df, ["run", "key"], ["at"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Exchange") == 1 and found.columns == df.columns
+    assert sorted(r["wide"] for r in found.collect()) == sorted(f"{run} {key} {1 if run == 'b' else None}" for run in ("a", "b", None) for key in (1, None))
