@@ -41,8 +41,8 @@ def entries(spark, folder):
         F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("provider"), F.col("p_name").alias("model_name"))
     capabilities = views.capabilities(spark, folder).drop("provider", "lifecycle_state")
     return current_entries(
-        entities, views.price_obs(spark, folder), capabilities, views.lifecycle_obs(spark, folder),
-        lit_ts(NOW), ORDER, ["observed_at", "run_id"], "n", ("f", "x"),
+        entities, views.price_lines(spark, folder), capabilities, views.lifecycle_obs(spark, folder),
+        lit_ts(NOW), ORDER, ["observed_at", "run_id"], "n", ("f", "x"), lambda rows: views.price_shown(spark, folder, rows),
     )
 
 

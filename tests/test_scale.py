@@ -1,6 +1,7 @@
 """What keeps the larger jobs small: columns that are not used do not travel, and tasks read bounded parts."""
 
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -8,8 +9,13 @@ from snapledger.functions import lineage, text
 from snapledger.operators import contracts, current
 from snapledger.operators.ordered import latest
 from snapledger.plans import explore
+from snapledger.queries import reads
+from snapledger.queries.history import ORDER
+from snapledger.schemas import table_schema
 from snapledger.session import SPLIT, SPLIT_BYTES, tune
-from snapledger.sources import sinks
+from snapledger.sources import sinks, tables, views
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_the_tier_pick_reads_only_used_columns(spark, tmp_path):
@@ -52,6 +58,45 @@ def test_entries_shuffle_prices_once(spark):
     assert [tuple(r) for r in found.select("entity_id", "price_mode").collect()] == [(1, None)]
 
 
+def test_entries_sort_prices_without_the_texts_that_derive_from_them(spark):
+    plan = reads.entries(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    picks = [m.start() for m in re.finditer(r"Window \[row_number", plan)]  # prices, lifecycle; a plan lists what it reads last
+    for derived in ("https://prices.example.com/s", "USD per 1M tokens", "EUR"):
+        assert 0 <= plan.find(derived) and plan.rfind(derived) < picks[0]
+
+
+def test_texts_made_after_the_pick_are_the_same(spark):
+    """Missing and unknown parts, missing names, dates and numbers, and ties in every order column but the last."""
+    at = [None, datetime(2024, 1, 1), datetime(2024, 1, 2)]
+    rows = [(order, part, supplier, line, 3.0, price, 0.0, None, mode, tier, day) for order, part, line in ((7, 1, 6), (8, 1, 7), (None, 1, None), (9, 2, 1), (9, None, 1), (9, -5, 1))
+            for supplier in (4, None) for price in (1.005, None, 2.5) for mode, tier in (("N", "F"), ("N", None), (None, "X"), ("A", "O")) for day in at]
+    rows += [(5, 3, 1, 2, None, None, None, None, None, None, None)]
+    lines = spark.createDataFrame(rows, table_schema("lineitem"))
+    parts = tables.load(spark, SF, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("provider"), F.col("p_name").alias("model_name"))
+    entities = parts.filter("entity_id <= 4").unionByName(parts.limit(1).withColumn("entity_id", F.lit(None).cast("long")))
+    capabilities = views.capabilities(spark, SF).drop("provider", "lifecycle_state")
+
+    def found(prices, shown=None):
+        got = explore.current_entries(entities, prices, capabilities, views.lifecycle_obs(spark, SF), F.lit("2024-01-01").cast("timestamp"), ORDER,
+                                      ["observed_at", "run_id"], "n", ("f", "x"), shown)
+        return got.columns, sorted(map(str, got.collect()))
+
+    want = found(views.price_obs(spark, SF, lines))
+    assert found(views.price_lines(spark, SF, lines), lambda picked: views.price_shown(spark, SF, picked)) == want
+    assert len(want[1]) == 6 and sum("price_mode='n', price_tier='f', price_snapshot_id='9-1-4-2-250'" in r for r in want[1]) == 1
+
+
+def test_a_session_that_came_with_utc_is_bounded_once(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    other.conf.set(SPLIT, "128m")
+    tables.load(other, SF, "part")
+    assert int(other.conf.get(SPLIT)) == SPLIT_BYTES
+    other.conf.set(SPLIT, "64m")
+    tables.load(other, SF, "part")
+    assert other.conf.get(SPLIT) == "64m"
+
+
 def test_a_task_reads_a_bounded_part_of_a_file(spark):
     before = spark.conf.get(SPLIT)
     try:
