@@ -3,13 +3,14 @@
 import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from snapledger.functions import lineage, text
 from snapledger.operators import contracts, current
 from snapledger.operators.ordered import latest
 from snapledger.plans import explore
-from snapledger.queries import reads
+from snapledger.queries import REGISTRY, reads
 from snapledger.queries.history import ORDER
 from snapledger.schemas import table_schema
 from snapledger.session import SPLIT, SPLIT_BYTES, tune
@@ -65,6 +66,33 @@ def test_entries_sort_prices_without_the_texts_that_derive_from_them(spark):
         assert 0 <= plan.find(derived) and plan.rfind(derived) < picks[0]
 
 
+def _up_to_the_shuffle(plan: str, column: str) -> list[str]:
+    """The nodes above the one scan that reads ``column``, up to the first exchange."""
+    lines = plan.splitlines()
+    depth = [len(re.match(r"[ :+\-]*", line).group()) for line in lines]
+    scans = [n for n, line in enumerate(lines) if "FileScan" in line and re.search(rf"ReadSchema: \S*{column}|\[[^\]]*{column}#", line)]
+    assert len(scans) == 1
+    found, at = [], depth[scans[0]]
+    for n in range(scans[0] - 1, -1, -1):
+        if depth[n] < at:
+            found, at = [*found, lines[n].lstrip(" :+-")], depth[n]
+            if found[-1].startswith("Exchange"):
+                return found
+    raise AssertionError("no exchange above the scan")
+
+
+@pytest.mark.parametrize("name", ["h5_state_family_stage"])
+def test_prices_are_reduced_by_the_tasks_that_read_them(spark, name):
+    """No join or shuffle comes before the pick, and its sort holds no text that derives from stored columns."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = REGISTRY[name].build(session, SF)._jdf.queryExecution().executedPlan().toString()
+    nodes = _up_to_the_shuffle(plan, "l_partkey")
+    kinds = [re.match(r"\w+", node).group() for node in nodes]
+    assert kinds[-3:] == ["Sort", "WindowGroupLimit", "Exchange"]
+    assert not any("Join" in kind for kind in kinds) and not re.search("https://|concat", " ".join(nodes))
+
+
 def test_texts_made_after_the_pick_are_the_same(spark):
     """Missing and unknown parts, missing names, dates and numbers, and ties in every order column but the last."""
     at = [None, datetime(2024, 1, 1), datetime(2024, 1, 2)]
