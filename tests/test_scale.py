@@ -81,7 +81,8 @@ def _up_to_the_shuffle(plan: str, column: str) -> list[str]:
     raise AssertionError("no exchange above the scan")
 
 
-@pytest.mark.parametrize("name", ["h5_state_family_stage", "k12_eligibility_class", "k8_result_buckets", "h4_active_only", "k10_winner_gap", "k7_top_ranked", "k9_best_per_provider"])
+@pytest.mark.parametrize("name", ["h5_state_family_stage", "k12_eligibility_class", "k8_result_buckets", "h4_active_only",
+                                  "k10_winner_gap", "k7_top_ranked", "k9_best_per_provider"])
 def test_prices_are_reduced_by_the_tasks_that_read_them(spark, name):
     """No join or shuffle comes before the pick, and its sort holds no text that derives from stored columns."""
     session = spark.newSession()
