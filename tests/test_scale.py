@@ -10,8 +10,8 @@ from snapledger.functions import lineage, text
 from snapledger.operators import contracts, current
 from snapledger.operators.ordered import latest
 from snapledger.plans import explore
-from snapledger.queries import REGISTRY, reads
-from snapledger.queries.history import ORDER
+from snapledger.queries import REGISTRY, admission, reads
+from snapledger.queries.history import KEY, ORDER
 from snapledger.schemas import table_schema
 from snapledger.session import SPLIT, SPLIT_BYTES, tune
 from snapledger.sources import sinks, tables, views
@@ -183,3 +183,31 @@ def test_checks_of_shape_and_ends_match_no_more_than_they_must(spark):
     assert broken(contracts.not_trimmed("v").broken) == broken(trimmed)
     plan = df.select(*found, contracts.not_trimmed("v").broken)._jdf.queryExecution().optimizedPlan().toString()
     assert "(?=" not in plan and "regexp_replace(v#" not in plan
+
+
+def test_two_deliveries_come_from_one_pass(spark):
+    """The rows that a join of all observations with the first delivery gives, missing key parts and times included."""
+    at = [None, datetime(1997, 5, 1), datetime(1997, 12, 31, 23), datetime(1998, 1, 1), datetime(2000, 3, 1)]
+    rows = [(run, entity, mode, "t", f"{run}-{n}", day) for run in (1, 2, None) for entity in (5, None) for mode in ("n", None)
+            for n, day in enumerate(at[run or 0:] + at[:1] * (run == 2))]
+    rows += [(7, 5, "n", "t", f"same-{n}", day) for n, day in ((1, at[1]), (0, at[1]), (2, at[4]))]
+    obs = spark.createDataFrame(rows, "run_id long, entity_id long, mode string, tier string, snapshot_id string, observed_at timestamp")
+    first = obs.filter("observed_at < timestamp '1998-01-01'").groupBy("run_id", *KEY).agg(
+        F.min("snapshot_id").alias("snapshot_id"), F.lit("1997-12-01").cast("timestamp").alias("observed_at"))
+    known = first.select("run_id", *KEY, F.col("observed_at").alias("_at"))
+    every = obs.join(known, ["run_id", *KEY], "left").withColumn("observed_at", F.coalesce("_at", "observed_at"))
+    later = every.groupBy("run_id", *KEY).agg(F.min("snapshot_id").alias("snapshot_id"), F.min("observed_at").alias("observed_at"))
+    seen = admission.sighted_keys(obs)
+    for got, want in zip(admission.two_deliveries(seen), (first, later)):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert seen._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_the_month_of_an_append_is_made_after_the_search_by_key(spark):
+    rows = spark.createDataFrame([("r", "e", "m", None, "s", datetime(2024, 1, 31))] * 2, "run_id string, entity_id string, mode string, tier string, snapshot_id string, observed_at timestamp")
+    dated = sinks.conform(rows.withColumn("month", F.date_format("observed_at", "yyyy-MM")), "fact_price")
+    fresh = sinks.fresh_snapshots(rows, dated, dated.filter("false"), "fact_price", ["snapshot_id"])
+    assert [(r.snapshot_id, r.month) for r in fresh.collect()] == [("s", "2024-01")]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(n for n, line in enumerate(plan) if "Window" in line)
+    assert any("yyyy-MM" in line for line in plan[:window]) and not any("yyyy-MM" in line for line in plan[window:])
