@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -222,18 +222,37 @@ def diff_lifecycle(prev: DataFrame, curr: DataFrame, identity: Sequence[str]) ->
 
 
 def price_history_changes(
-    history: DataFrame, identity: Sequence[str], order: Sequence[str], segment: Column | None = None
+    history: DataFrame, identity: Sequence[str], order: Sequence[str], segment: Column | None = None,
+    derived: Callable[[Callable[[str], Column]], Mapping[str, Column]] | None = None, sampled: DataFrame | None = None,
 ) -> DataFrame:
     """Change events of every consecutive pair in an append-only price history.
 
-    See :func:`last_before` for ``segment``. Only the compared columns travel through the shuffles.
+    See :func:`last_before` for ``segment`` and ``sampled``. Only the compared columns travel through the shuffles. ``derived`` gives the
+    columns that follow from the stored ones, from a function that maps a name to the Column holding it; they are made for both rows of a
+    pair after rows are paired, and then all other columns of ``history`` travel.
     """
     names = [*PRICE_FIELDS.values(), *PRICE_TEXT_FIELDS.values(), "snapshot_id"]
-    history = history.select(*dict.fromkeys([*identity, *order, *names, "observed_at"]))
-    paired = last_before(history, identity, order, segment, F.struct(*names), "before")
+    if derived is None:
+        history = history.select(*dict.fromkeys([*identity, *order, *names, "observed_at"]))
+        kept = names
+    else:
+        kept = [c for c in history.columns if c not in identity]
+    paired = last_before(history, identity, order, segment, F.struct(*kept), "before", sampled=sampled)
     both = paired.filter(F.col("before").isNotNull())
-    events = price_field_events(lambda n: F.col("before")[n], lambda n: F.col(n))
-    ids = [F.col("before")["snapshot_id"].alias("prev_snapshot_id"), F.col("snapshot_id").alias("curr_snapshot_id")]
+
+    def before(name: str) -> Column:
+        return F.col(name) if name in identity else F.col("before")[name]
+
+    if derived is not None:
+        old, new = derived(before), derived(F.col)
+        made = {f"{side}_{n}": texts[n] for side, texts in (("_old", old), ("_new", new)) for n in names if n in texts}
+        both = both.withColumns(made)
+        events = price_field_events(lambda n: F.col(f"_old_{n}") if n in old else before(n), lambda n: F.col(f"_new_{n}" if n in new else n))
+        ids = [F.col(f"{side}_snapshot_id") for side in ("_old", "_new")]
+    else:
+        events = price_field_events(before, F.col)
+        ids = [before("snapshot_id"), F.col("snapshot_id")]
+    ids = [ids[0].alias("prev_snapshot_id"), ids[1].alias("curr_snapshot_id")]
     return unpivot(both, [*identity, "observed_at", *ids], events)
 
 

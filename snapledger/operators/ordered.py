@@ -28,6 +28,10 @@ def latest_by_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return rows.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*")
 
 
+# A key that has more rows of the sample than this, which is what one range holds, is cut at every row of this number.
+SAMPLED = 64
+
+
 def last_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,50 +41,96 @@ def last_before(
     out: str,
     where: Column | None = None,
     reverse: bool = False,
+    sampled: DataFrame | None = None,
 ) -> DataFrame:
     """For every row, ``value`` of the nearest earlier row of its key that satisfies ``where``.
 
     A plain window would sort a whole key in one task. Here a key is cut into segments: the window runs
     inside (key, segment), one edge row per segment is carried forward across segments, and the two are
     combined. ``segment`` must grow with ``order``, such as a day of the time column; it bounds a task by
-    what one key receives in that span. Without one, rows are range-partitioned over key and order and
-    written to the checkpoint folder once, so every segment is one evenly sized range whatever the keys
-    look like. ``reverse`` looks at later rows instead.
+    what one key receives in that span. Without one, only keys that hold more than an even share of the rows
+    are cut, at sampled rows: what a row is compared with is fixed, so nothing is stored and rows travel once.
+    The sample comes from ``sampled`` where reading ``df`` again is dear; it moves the cuts, never the result.
+    Key and order columns are plain values then. ``reverse`` looks at later rows instead.
     """
     keys, order = list(keys), list(order)
-    if segment is None:
-        df, segment = _range_segments(df, [*keys, *order]), F.col("_range")
     boxed = F.struct(value.alias("v"))  # boxed, so a null value still counts as a row
-    rows = df.withColumn("_seg", segment).withColumn("_val", boxed if where is None else F.when(where, boxed))
+    rows = df.withColumn("_val", boxed if where is None else F.when(where, boxed))
 
     def along(column: str) -> Column:
         return F.col(column).desc() if reverse else F.col(column).asc()
 
-    inside = Window.partitionBy(*keys, "_seg").orderBy(*[along(c) for c in order])
-    if where is None:
-        nearest = F.lag("_val").over(inside)
-    else:
-        nearest = F.last("_val", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    def nearest(*parts: str) -> Column:
+        inside = Window.partitionBy(*parts).orderBy(*[along(c) for c in order])
+        if where is None:
+            return F.lag("_val").over(inside)
+        return F.last("_val", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
 
     pick = F.min_by if reverse else F.max_by
-    position = F.when(F.col("_val").isNotNull(), F.struct(*order))
-    across = Window.partitionBy(*keys).orderBy(along("_seg")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*keys, "_seg")
-        .agg(pick(F.col("_val"), position).alias("_edge"))
-        .select(*keys, "_seg", F.last("_edge", ignorenulls=True).over(across).alias("_carry"))
-    )
-    joined = rows.withColumn("_in", nearest).join(carry, [*keys, "_seg"], "left")
+    edge = pick(F.col("_val"), F.when(F.col("_val").isNotNull(), F.struct(*order))).alias("_edge")
+
+    def carried(*parts: str | Column) -> Column:
+        across = Window.partitionBy(*parts).orderBy(along("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last("_edge", ignorenulls=True).over(across).alias("_carry")
+
+    if segment is not None:
+        rows = rows.withColumn("_seg", segment)
+        carry = rows.groupBy(*keys, "_seg").agg(edge).select(*keys, "_seg", carried(*keys))
+        joined = rows.withColumn("_in", nearest(*keys, "_seg")).join(carry, [*keys, "_seg"], "left")
+    else:
+        cuts, dense = _cuts(df if sampled is None else sampled, keys, order)
+        if cuts is None:
+            # Dealt by the whole key if its first column alone would fill a task.
+            rows = rows.repartition(*keys) if dense else rows
+            return rows.withColumn(out, nearest(*keys)["v"]).drop("_val")
+        rows = rows.withColumn("_seg", cuts)
+        carry = rows.filter("_seg > 0").groupBy("_seg").agg(edge).select("_seg", carried(F.shiftright("_seg", PIECES)))
+        # One row per cut at most, so it fits wherever the cuts do.
+        joined = rows.repartition(*keys, "_seg").withColumn("_in", nearest(*keys, "_seg")).join(F.broadcast(carry), "_seg", "left")
     found = F.coalesce("_in", "_carry")["v"]
-    return joined.withColumn(out, found).drop("_seg", "_val", "_in", "_carry", "_range")
+    return joined.withColumn(out, found).drop("_seg", "_val", "_in", "_carry")
+
+
+# Bits of a segment's number that count the pieces of one key.
+PIECES = 20
 
 
-def _range_segments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with the number of the range they fall into, fixed on disk so every reader sees the same one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(count, *columns).withColumn("_range", F.spark_partition_id())
-    return placed.checkpoint()
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[Column | None, bool]:
+    """The segment of a row, 0 where its key is not cut, and whether a value of the first key column holds more than an even share.
+
+    Both come from a sample of a fixed number of rows per shuffle partition. The driver holds one row per partition at most for each.
+    """
+    rows = df.select(*dict.fromkeys([*keys, *order]))
+    total = rows.count()
+    if not total:
+        return None, False
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.sample(min(1.0, SAMPLED * ranges / total), 0)
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    first = Window.partitionBy(keys[0]).orderBy(*keys[1:], *order)
+    found = some.select(
+        *rows.columns, F.xxhash64(*keys).alias("_hash"), F.row_number().over(first).alias("_first"),
+        F.row_number().over(ordered).alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"),
+    ).filter((F.col("_first") == SAMPLED + 1) | ((F.col("_n") > SAMPLED) & (F.col("_at") % SAMPLED == 0))).collect()
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+
+    def of(row, names):
+        return F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in names])
+
+    pieces: dict[tuple, list] = {}
+    for row in found:
+        if row["_n"] > SAMPLED and row["_at"] % SAMPLED == 0:
+            pieces.setdefault(tuple(row[c] for c in keys), []).append(row)
+    segment = None
+    for number, cut in enumerate(pieces.values(), 1):
+        same = F.struct(*keys).eqNullSafe(of(cut[0], keys))
+        at = F.size(F.filter(F.array(*[of(row, order) for row in cut]), lambda c: c <= F.struct(*order)))
+        inside = F.lit(number << PIECES).cast("bigint") + at
+        segment = F.when(same, inside) if segment is None else segment.when(same, inside)
+    if segment is not None:
+        hashes = sorted({row["_hash"] for cut in pieces.values() for row in cut})
+        segment = F.when(F.xxhash64(*keys).isin(hashes), segment.otherwise(0)).otherwise(0).cast("bigint")
+    return segment, any(row["_first"] == SAMPLED + 1 for row in found)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank", partitions: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from snapledger.operators.ordered import global_rank, last_before, latest, latest_by_aggregate, top_k, top_per_key, unique_or_fail
+from snapledger.operators.ordered import _cuts, global_rank, last_before, latest, latest_by_aggregate, top_k, top_per_key, unique_or_fail
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,41 @@ def test_previous_matching_row(skewed, by_day):
     assert pairs(found) == pairs(expected)
 
 
+@pytest.mark.parametrize("reverse", [True, False])
+@pytest.mark.parametrize("where", [True, False])
+def test_a_missing_hot_key_is_cut_and_carried_too(skewed, reverse, where):
+    """Two hot keys, one of them NULL, whose rows are cut at the sample, against a plain window."""
+    rows = skewed.withColumn("k", F.when(F.col("k") != "hot", F.col("k"))).unionByName(skewed).withColumn("n", F.monotonically_increasing_id())
+    rows = rows.withColumn("e", F.when(F.col("n") % 9 == 0, F.col("v")))
+    order = [F.col("at").desc(), F.col("n").desc()] if reverse else ["at", "n"]
+    window = Window.partitionBy("k", "e").orderBy(*order)
+    test = F.col("ok") if where else None
+    value = F.last(F.when(F.col("ok"), F.col("n")), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1)) if where else F.lag("n").over(window)
+    session = skewed.sparkSession
+    parts = session.conf.get("spark.sql.shuffle.partitions")
+    session.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = rows.persist()
+        found = last_before(rows, ["k", "e"], ["at", "n"], None, F.col("n"), "p", test, reverse)
+        got, plan = pairs(found), found._jdf.queryExecution().analyzed().toString()
+    finally:
+        session.conf.set("spark.sql.shuffle.partitions", parts)
+    assert "_carry" in plan
+    assert got == pairs(rows.withColumn("p", value))
+
+
+def test_only_keys_above_an_even_share_are_cut(spark, skewed):
+    cuts, dense = _cuts(skewed, ["k"], ["at", "n"])
+    parts = skewed.select("k", cuts.alias("s")).groupBy("k").agg(F.countDistinct("s").alias("c")).collect()
+    assert {r["k"]: r["c"] > 1 for r in parts} == {r["k"]: r["k"] == "hot" for r in parts} and dense
+    assert _cuts(spark.range(100), ["id"], ["id"]) == (None, False) == _cuts(skewed.limit(0), ["k"], ["n"])
+    # Many keys that share a hot first column are dealt by the whole key.
+    wide = spark.range(4000).select((F.col("id") % 1).alias("e"), "id")
+    assert _cuts(wide, ["e", "id"], ["id"]) == (None, True)
+    plan = last_before(wide, ["e", "id"], ["id"], None, F.col("id"), "p")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(e#" in plan and "REPARTITION_BY_COL" in plan
+
+
 def test_global_rank_is_the_window_rank(skewed):
     order = [F.col("v").asc_nulls_last(), F.col("n").asc()]
     expected = skewed.withColumn("p", F.row_number().over(Window.orderBy(*order)))

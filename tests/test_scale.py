@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapledger.functions import lineage, text
-from snapledger.operators import contracts, current
+from snapledger.operators import contracts, current, diff
 from snapledger.operators.ordered import latest
 from snapledger.plans import explore
 from snapledger.queries import REGISTRY, admission, reads
@@ -211,3 +211,26 @@ def test_the_month_of_an_append_is_made_after_the_search_by_key(spark):
     plan = fresh._jdf.queryExecution().optimizedPlan().toString().splitlines()
     window = next(n for n, line in enumerate(plan) if "Window" in line)
     assert any("yyyy-MM" in line for line in plan[:window]) and not any("yyyy-MM" in line for line in plan[window:])
+
+
+def test_a_price_history_travels_once_without_derived_texts(spark):
+    """Lines are dealt once, nothing is stored in between and no text that derives from stored columns is sorted."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = REGISTRY["f9_price_history_changes"].build(session, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "ExistingRDD" not in plan  # lines and parts
+    below = plan[plan.index("Window [lag"):]
+    assert not re.search("https://|concat", below)
+
+
+def test_texts_made_after_the_pairs_are_the_same(spark):
+    """Missing names, dates and numbers, unknown and missing parts, and repeats."""
+    at = [None, datetime(2024, 1, 1), datetime(2024, 1, 2)]
+    rows = [(order, part, supplier, line, 3.0, price, 0.0, None, mode, "F", day) for order, part, line in ((7, 1, 6), (8, 1, 7), (None, 1, None), (9, 2, 1), (9, None, 1), (9, -5, 1))
+            for supplier in (4, None) for price in (1.005, None, 2.5) for mode in ("N", None) for day in at]
+    lines = spark.createDataFrame(rows + rows[:5], table_schema("lineitem"))
+    want = diff.price_history_changes(views.price_obs(spark, SF, lines), KEY, ORDER, F.lit(0))
+    stored = views.known_prices(spark, SF, views.price_lines(spark, SF, lines))
+    got = diff.price_history_changes(stored, KEY, ORDER, derived=views.price_texts)
+    assert got.columns == want.columns and got.count() > 100
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
