@@ -238,22 +238,34 @@ def price_history_changes(
     else:
         kept = [c for c in history.columns if c not in identity]
     paired = last_before(history, identity, order, segment, F.struct(*kept), "before", sampled=sampled)
-    both = paired.filter(F.col("before").isNotNull())
 
     def before(name: str) -> Column:
         return F.col(name) if name in identity else F.col("before")[name]
 
-    if derived is not None:
-        old, new = derived(before), derived(F.col)
-        made = {f"{side}_{n}": texts[n] for side, texts in (("_old", old), ("_new", new)) for n in names if n in texts}
-        both = both.withColumns(made)
-        events = price_field_events(lambda n: F.col(f"_old_{n}") if n in old else before(n), lambda n: F.col(f"_new_{n}" if n in new else n))
-        ids = [F.col(f"{side}_snapshot_id") for side in ("_old", "_new")]
+    return price_pair_events(paired.filter(F.col("before").isNotNull()), identity, before, F.col, derived)
+
+
+def price_pair_events(pairs: DataFrame, identity: Sequence[str], before, after, derived=None) -> DataFrame:
+    """Change events of rows that hold an observation and the one before it.
+
+    ``before`` and ``after`` map a column name to the Column holding it on that side. See :func:`price_history_changes` for ``derived``.
+    """
+    if derived is None:
+        old, new = before, after
     else:
-        events = price_field_events(before, F.col)
-        ids = [before("snapshot_id"), F.col("snapshot_id")]
-    ids = [ids[0].alias("prev_snapshot_id"), ids[1].alias("curr_snapshot_id")]
-    return unpivot(both, [*identity, "observed_at", *ids], events)
+        # Made once per pair: several events show the same text.
+        names = [*PRICE_FIELDS.values(), *PRICE_TEXT_FIELDS.values(), "snapshot_id"]
+        texts = {"_old": derived(before), "_new": derived(after)}
+        pairs = pairs.withColumns({f"{side}_{n}": texts[side][n] for side in texts for n in names if n in texts[side]})
+
+        def old(n):
+            return F.col(f"_old_{n}") if n in texts["_old"] else before(n)
+
+        def new(n):
+            return F.col(f"_new_{n}") if n in texts["_new"] else after(n)
+
+    ids = [old("snapshot_id").alias("prev_snapshot_id"), new("snapshot_id").alias("curr_snapshot_id")]
+    return unpivot(pairs, [*identity, after("observed_at").alias("observed_at"), *ids], price_field_events(old, new))
 
 
 def identity_violations(df: DataFrame, identity: Sequence[str]) -> DataFrame:

@@ -102,8 +102,9 @@ def s4_state_changes(spark, folder):
         part = lines.filter(at >= F.lit(low).cast("timestamp")) if low else lines
         part = part.filter(at < F.lit(high).cast("timestamp")) if high else part
         part.write.mode("append").parquet(f"{root}/in")
-        stream = views.price_obs(spark, folder, jobs.read_files(spark, f"{root}/in", table_schema("lineitem")))
-        changes.change_stream(stream, f"{root}/events", f"{root}/checkpoint", views.PRICE_IDENTITY, views.PRICE_ORDER)
+        stored = views.price_lines(spark, folder, jobs.read_files(spark, f"{root}/in", table_schema("lineitem")))
+        stream = views.known_prices(spark, folder, stored)
+        changes.change_stream(stream, f"{root}/events", f"{root}/checkpoint", views.PRICE_IDENTITY, views.PRICE_ORDER, derived=views.price_texts)
     rows = spark.read.parquet(f"{root}/events")
     return rows.select(*views.PRICE_IDENTITY, stamp("observed_at"), "prev_snapshot_id", "curr_snapshot_id", "field_name", "change_type", "old_num", "new_num")
 

@@ -1,6 +1,7 @@
 """Streams over several files must end where the batch twin ends."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -82,6 +83,39 @@ def test_many_identities_take_one_step_a_group(spark, tmp_path):
     assert found.filter("entity_id is null").count() == 4  # five rows; the twin joins and leaves null identities out
 
 
+def test_values_of_every_kind_pass_the_state_unchanged(spark, tmp_path):
+    """Against the table: missing and NaN numbers, whole numbers that a double cannot hold, missing key parts beside empty ones."""
+    schema = ("entity_id long, mode string, tier date, input double, cached decimal(20,2), cache_write float, output long, observed_at timestamp,"
+              " run_id decimal(12,1), flag boolean, tags array<string>")
+    big, nan = (1 << 60) + 1, float("nan")
+    values = [(1.5, Decimal("9.00"), 0.1, big, True, ["a", None]), (None, None, None, None, None, None), (nan, Decimal("10.50"), nan, big + 1, False, []),
+              (nan, Decimal("10.50"), 0.25, 0, True, ["b"]), (0.0, Decimal("0.00"), 0.0, big, None, None)]
+    keys = [(e, m, t) for e in (big, big + 1, 0, None) for m in ("x", "", None) for t in (date(2024, 1, 1), date(1970, 1, 1), None)]
+    at = datetime(2024, 1, 1, 0, 0, 0, 123456)
+    batches = [[(*key, *values[(run + n) % 5][:4], at, Decimal(run), *values[(run + n) % 5][4:]) for n, key in enumerate(keys)] for run in (2, 9, 10, 100)]
+
+    def derived(of):
+        # Says what the stored columns hold, to the last digit.
+        texts = [F.coalesce(F.to_json(F.struct(of(c).alias("v"))), F.lit("-")) for c in ("run_id", "output", "cached", "cache_write", "input", "flag", "tags", "entity_id")]
+        return {"snapshot_id": F.concat_ws(" ", *texts), "pricing_unit": of("flag").cast("string"), "source_url": of("tags").cast("string")}
+
+    for rows in batches:
+        deliver(spark, tmp_path / "in", rows, schema)
+    stream = jobs.read_files(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    for name, value in changes.STATE_STORE.items():
+        spark.conf.set(name, value)
+    events = changes.live_changes(stream, IDENTITY, ORDER, 3, derived)
+    plan = events._jdf.queryExecution().analyzed().toString()
+    moved = plan[plan.index("FlatMapGroupsInPandasWithState"):]
+    assert moved.count("to_json") == 1 and "to_json" in moved and "snapshot_id" not in moved  # only the array is a text
+    events.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination()
+    whole = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    wanted = diff.price_history_changes(whole, IDENTITY, ORDER, derived=derived)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.columns == wanted.columns and found.count() > 300
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+
+
 LANDED = f"{landing.ENVELOPE_DDL}, {RAW_PRICE_DDL.replace('batch_id STRING, ', '')}"
 
 
